@@ -44,3 +44,22 @@ def running_totals(
         *[F.col(f"`{c}`") for c in df.columns],
         *[(zero(n, "_off_") + zero(n, "_loc_")).alias(n) for n in names],
     )
+
+
+def previous_rows(df: DataFrame, group: list[str], order: list[str], columns: list[str]) -> DataFrame:
+    """Add ``prev``: ``columns`` of the preceding row of the group (null at its start).
+
+    Sliced like :func:`running_totals`; only the last row before each slice
+    border travels between slices.
+    """
+    ranged = df.repartitionByRange(*[F.col(c) for c in group + order])
+    ranged, _ = stage(ranged.withColumn("_slice", F.spark_partition_id()), "ranged")
+    value = F.struct(*columns)
+    ends = ranged.groupBy(*group, "_slice").agg(F.max_by(value, F.struct(*order)).alias("_end"))
+    spread = ends.groupBy(*group).agg(F.count("*").alias("_slices")).filter("_slices > 1").drop("_slices")
+    crossing = ends.join(spread, group, "left_semi")
+    border = crossing.select(*group, "_slice", F.lag("_end").over(Window.partitionBy(*group).orderBy("_slice")).alias("_border"))
+    inside = Window.partitionBy(*group, "_slice").orderBy(*order)
+    local = ranged.withColumn("_local", F.lag(value).over(inside))
+    joined = local.join(F.broadcast(border), [*group, "_slice"], "left")
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], F.coalesce("_local", "_border").alias("prev"))
