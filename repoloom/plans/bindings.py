@@ -98,11 +98,14 @@ from events""",
 
 
 def tables(spark: SparkSession, sf_dir: str) -> None:
-    """Register the Parquet tables and the estate views of ``sf_dir``."""
+    """Register the Parquet tables and the estate views of ``sf_dir`` (once per session)."""
+    if spark.conf.get("repoloom.tables", None) == sf_dir and spark.catalog.tableExists("e_traces"):
+        return
     for name in TABLES:
         spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
     for name, sql in VIEWS.items():
         spark.sql(sql).createOrReplaceTempView(name)
+    spark.conf.set("repoloom.tables", sf_dir)
 
 
 def oracle(sql: str, *views: str) -> str:
