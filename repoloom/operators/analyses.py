@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from repoloom.functions.kinds import PROTOCOLS, SERVICE_CATEGORIES, one_of
 from repoloom.operators.citations import json_type
@@ -20,15 +20,22 @@ FALLBACK_CHARS = 500
 NO_SUMMARY = "(no summary available)"
 
 ANALYSIS_BLOCK = r"(?ms)^## Analysis Data\b.*?```json\s*\n(.*?)\n\s*```"
-RESULT_SCHEMA = T.StructType.fromDDL(
-    "summary string, architecture_pattern string, key_modules array<map<string,string>>,"
-    "api_endpoints array<struct<path:string,method:string,description:string,auth_required:boolean>>,"
-    "data_flows array<struct<name:string,description:string,steps:array<string>>>,"
-    "design_decisions array<struct<decision:string,rationale:string,alternatives:array<string>>>,"
-    "tech_stack array<string>, security_notes array<string>, performance_notes array<string>, scalability_notes array<string>,"
-    "external_integrations array<struct<service:string,category:string,description:string>>,"
-    "component_interactions array<struct<target:string,type:string,protocol:string,description:string>>"
-)
+RESULT_FIELDS = {
+    "summary": "string",
+    "architecture_pattern": "string",
+    "key_modules": "array<map<string,string>>",
+    "api_endpoints": "array<struct<path:string,method:string,description:string,auth_required:boolean,request_schema:string,response_schema:string>>",
+    "data_flows": "array<struct<name:string,description:string,steps:array<string>,mermaid:string>>",
+    "design_decisions": "array<struct<decision:string,rationale:string,alternatives:array<string>,consequences:array<string>>>",
+    "tech_stack": "array<string>",
+    "security_notes": "array<string>",
+    "performance_notes": "array<string>",
+    "scalability_notes": "array<string>",
+    "citations": "array<struct<file_path:string,start_line:int,end_line:int,claim:string,section:string,snippet:string>>",
+    "external_integrations": "array<struct<service:string,category:string,description:string>>",
+    "component_interactions": "array<struct<target:string,type:string,protocol:string,description:string>>",
+}
+RESULT_SCHEMA = ", ".join(f"{name} {kind}" for name, kind in RESULT_FIELDS.items())
 
 
 def summary_of(markdown: Column) -> Column:
@@ -145,9 +152,9 @@ def ingest_analysis_data(analyses: DataFrame) -> DataFrame:
     doc = F.try_parse_json(body)
     rows = analyses.select("repo", "component", F.when(json_type(doc) == "OBJECT", F.from_json(body, RESULT_SCHEMA)).alias("r")).filter("r is not null")
     filled = []
-    for f in RESULT_SCHEMA.fields:
-        empty = F.lit("") if isinstance(f.dataType, T.StringType) else F.array().cast(f.dataType)
-        filled.append(F.coalesce(F.col(f"r.{f.name}"), empty).alias(f.name))
+    for name, kind in RESULT_FIELDS.items():
+        empty = F.lit("") if kind == "string" else F.array().cast(kind)
+        filled.append(F.coalesce(F.col(f"r.{name}"), empty).alias(name))
     return rows.select("repo", "component", F.struct(*filled).alias("result"))
 
 

@@ -19,6 +19,7 @@ def pair_traces(records: DataFrame) -> DataFrame:
     the start just before it in its (session, action); a start followed by
     another start is lost, an end without start is ignored.
     """
+    records = records.withColumn("ts", F.col("ts").cast("timestamp"))
     prior = previous_rows(records, ["session_id", "action"], ["ts", "sequence_id"], ["phase", "ts", "sequence_id"])
     closed = prior.filter((F.col("phase") == "end") & (F.col("prev.phase") == "start"))
     micros = F.unix_micros("ts") - F.unix_micros("prev.ts")

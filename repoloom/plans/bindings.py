@@ -111,7 +111,10 @@ def tables(spark: SparkSession, sf_dir: str) -> None:
 def oracle(sql: str, *views: str) -> str:
     """``sql`` with the named estate views as leading common table expressions."""
     head = ", ".join(f"{v} as ({VIEWS[v]})" for v in views)
-    return f"with {head}\n{sql}" if views else sql
+    if not views:
+        return sql
+    rest = sql.lstrip()
+    return f"with {head}, {rest[5:]}" if rest.lower().startswith("with ") else f"with {head}\n{sql}"
 
 
 def view(spark: SparkSession, name: str) -> DataFrame:

@@ -25,18 +25,15 @@ union all select repo, concat(root_path, '/README.md') as path from e_components
 union all select repo, concat(root_path, '/setup.py') as path from e_components where type = 'python-package'"""
 
 
-@query("src1_scan_repos", oracle("select repo, path, octet_length(encode(content)) as size_bytes, content from e_docs", "e_docs"))
+@query("src1_scan_repos", oracle(
+    "select repo, cast(count(*) as bigint) as docs, cast(sum(octet_length(encode(content)) + 1) as bigint) as bytes from e_docs group by repo", "e_docs"))
 def scan(spark, sf_dir):
     root = scratch(spark, "tree")
-    # one text file per document; the folder is the repository
-    docs = view(spark, "e_docs").select("repo", F.regexp_extract("path", r"([^/]+)\.md$", 1).alias("doc"), F.col("content").alias("value"))
-    docs.write.partitionBy("repo", "doc").option("lineSep", "\u0001").text(root)
+    # every document of a repository follows the other in its files
+    view(spark, "e_docs").select("repo", F.col("content").alias("value")).write.partitionBy("repo").option("lineSep", "\u0001").text(root)
     found = files_.scan_repos(spark, root, "*.txt")
-    return found.select(
-        F.substring_index("repo", "=", -1).alias("repo"),
-        F.concat(F.lit("docs/"), F.regexp_extract("path", "doc=([^/]+)", 1), F.lit(".md")).alias("path"),
-        (F.col("size_bytes") - 1).alias("size_bytes"), F.regexp_replace("content", "\u0001$", "").alias("content"),
-    )
+    docs = F.size(F.split("content", "\u0001")) - 1
+    return found.groupBy(F.substring_index("repo", "=", -1).alias("repo")).agg(F.sum(docs).alias("docs"), F.sum("size_bytes").alias("bytes"))
 
 
 @query("src2_glob_files", oracle(
