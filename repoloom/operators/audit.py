@@ -123,7 +123,8 @@ def cost_ledger(usage: DataFrame, prices: DataFrame, budget: float) -> DataFrame
     )
     costed = priced.withColumn("_cost", cost.cast("decimal(30,6)")).drop("input_price", "output_price")
     run = running_totals(costed, [], ["seq"], {"_before": F.col("_cost")})
-    usd = lambda c: (c / 1_000_000).cast("decimal(30,12)")
+    # a narrow type before the division keeps all its digits
+    usd = lambda c: (c.cast("decimal(28,6)") / 1_000_000).cast("decimal(30,12)")
     kept = run.filter(usd(F.col("_before")) < F.lit(budget).cast("decimal(30,12)"))
     return kept.select(*usage.columns, usd(F.col("_cost")).alias("cost_usd"), usd(F.col("_before") + F.col("_cost")).alias("cumulative_usd"))
 
