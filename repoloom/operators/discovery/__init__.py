@@ -1,0 +1,68 @@
+"""Component discovery: one job per ecosystem, ``files -> Inventory``."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, functions as F
+
+from repoloom.functions.running import running_totals
+from repoloom.operators.discovery import go, python, rust, solidity, swift, typescript
+from repoloom.operators.discovery.common import Inventory, merge
+from repoloom.operators.inventory import dedupe_components, resolve_internal_deps
+from repoloom.runtime import stage
+from repoloom.sources import files as file_rules
+
+Job = Callable[[DataFrame, str], Inventory]
+
+# In order of precedence: the first component found at a root path stays.
+ECOSYSTEMS: dict[str, Job] = {
+    "go": go.discover,
+    "python": python.discover,
+    "typescript": typescript.discover,
+    "rust": rust.discover,
+    "solidity": solidity.discover,
+    "swift": swift.discover,
+}
+
+
+def register(name: str, job: Job, manifests: list[str], excludes: list[str] = ()) -> None:
+    """Add an ecosystem after the known ones.
+
+    ``job(files, mode)`` returns an :class:`Inventory`, most easily built with
+    the helpers in ``common``.
+    """
+    if name in ECOSYSTEMS:
+        raise ValueError(f"ecosystem {name!r} exists")
+    precedence = len(ECOSYSTEMS)
+    file_rules.MANIFESTS.extend((m, name, precedence, i) for i, m in enumerate(manifests))
+    file_rules.EXCLUDES[name] = list(excludes)
+    ECOSYSTEMS[name] = job
+
+
+def unregister(name: str) -> None:
+    ECOSYSTEMS.pop(name)
+    file_rules.EXCLUDES.pop(name, None)
+    file_rules.MANIFESTS[:] = [m for m in file_rules.MANIFESTS if m[1] != name]
+
+
+def discover(files: DataFrame, ecosystems: list[str] | None = None, mode: str = "segment") -> Inventory:
+    """Inventory of all repositories in ``files`` (repo, path, content).
+
+    Components are unique per root path and numbered in discovery order
+    (``ordinal``, counted per repository over range partitions); internal
+    dependencies are component names, by ``component``.
+    """
+    chosen = list(ECOSYSTEMS) if ecosystems is None else ecosystems
+    raw = merge([ECOSYSTEMS[name](files, mode) for name in chosen])
+    first = dedupe_components(raw.components, F.col("ord"))
+    numbered = running_totals(first, ["repo"], ["ord"], {"ordinal": F.lit(1).cast("bigint")})
+    components, _ = stage(numbered.drop("ord"), "components")
+    owner = components.select("repo", "ckey", F.col("name").alias("component"))
+    internal, _ = stage(raw.internal.join(owner, ["repo", "ckey"]).select("repo", "ckey", "component", "pos", "dep"), "internal")
+    external = raw.external.join(owner, ["repo", "ckey"]).select("repo", "component", "pos", "name", "version", "category")
+    metadata = None
+    if raw.metadata is not None:
+        metadata = raw.metadata.join(owner, ["repo", "ckey"]).select("repo", "component", "key", "value")
+    resolved = resolve_internal_deps(components, internal).drop("ckey")
+    return Inventory(components.drop("ckey"), resolved, external, metadata)
