@@ -30,6 +30,11 @@ def all_groups(text: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+def strip(text: Column) -> Column:
+    """Remove white space of any kind at both ends (``trim`` removes blanks only)."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def strip_chars(text: Column, chars: str) -> Column:
     """Remove any run of ``chars`` (a regex character class body) at both ends."""
     return F.regexp_replace(text, f"^[{chars}]+|[{chars}]+$", "")

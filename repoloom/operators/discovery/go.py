@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from repoloom.functions.paths import basename, segments
-from repoloom.functions.text import NEWLINE, all_groups, first_group, hit_mask
+from repoloom.functions.text import all_groups, first_group, hit_mask, NEWLINE, strip
 from repoloom.operators.discovery.common import (
     Inventory, component_rows, external_rows, flag, folder_name, folders_holding, internal_rows, manifests, sources, under, union,
 )
+from repoloom.runtime import stage
 
 FILE = "go.mod"
 # Top folders that are no packages.
@@ -36,7 +37,7 @@ NAME_BONUS = 2
 
 
 def module_path(content: Column) -> Column:
-    return F.trim(first_group(content, r"(?m)^\s*module +(\S.*)$"))
+    return strip(first_group(content, r"(?m)^\s*module +(\S.*)$"))
 
 
 def requirements(mods: DataFrame) -> DataFrame:
@@ -47,7 +48,7 @@ def requirements(mods: DataFrame) -> DataFrame:
     """
     block = all_groups(F.col("content"), r"(?ms)^\s*require \([^\n]*\n(.*?)(?:^\s*\)\s*$|\z)")
     rows = mods.select("repo", "manifest_path", "module", F.posexplode(F.split(F.array_join(block, "\n"), NEWLINE)).alias("pos", "line"))
-    line = F.trim("line")
+    line = strip(F.col("line"))
     parts = F.split(line, r"\s+")
     base = F.array_join(F.slice(F.split("module", "/"), 1, 3), "/")
     kept = rows.filter(
@@ -64,12 +65,20 @@ def imported(content: Column) -> Column:
     return F.array_distinct(F.concat(inner, all_groups(content, r'import\s+"([^"]+)"')))
 
 
+def facts(files: DataFrame) -> DataFrame:
+    """What the job needs from each ``.go`` file: two bit masks of signs, whether
+    it is a main package, and its imports. Contents are read once, here."""
+    low, text = F.lower("content"), F.col("content")
+    return sources(files, ".go").select(
+        "repo", "dir", hit_mask(low, SERVICE_SIGNS).alias("svc"), hit_mask(low, CLI_SIGNS).alias("cli"),
+        is_main(text).alias("main"), imported(text).alias("imports"),
+    )
+
+
 def executable_kinds(code: DataFrame, folders: DataFrame) -> DataFrame:
-    """(repo, root, kind) for executable folders (repo, root), from all ``.go``
-    files below each. Files shrink to two bit masks before they are joined."""
-    low = F.lower("content")
-    masks = code.select("repo", "dir", hit_mask(low, SERVICE_SIGNS).alias("svc"), hit_mask(low, CLI_SIGNS).alias("cli"))
-    per = under(masks, folders.select("repo", "root").distinct()).groupBy("repo", "root").agg(F.bit_or("svc").alias("svc"), F.bit_or("cli").alias("cli"))
+    """(repo, root, kind) for executable folders (repo, root), from the facts of
+    all ``.go`` files below each."""
+    per = under(code.select("repo", "dir", "svc", "cli"), folders.select("repo", "root").distinct()).groupBy("repo", "root").agg(F.bit_or("svc").alias("svc"), F.bit_or("cli").alias("cli"))
     name = F.lower(folder_name(F.col("root")))
     hint = lambda words: F.when(F.rlike(name, F.lit("|".join(words))), NAME_BONUS).otherwise(0)
     service = F.bit_count("svc") + hint(SERVICE_NAMES)
@@ -80,7 +89,7 @@ def executable_kinds(code: DataFrame, folders: DataFrame) -> DataFrame:
 
 def is_main(content: Column) -> Column:
     """Is the first code line ``package main``?"""
-    code = F.filter(F.transform(F.split(content, NEWLINE), F.trim), lambda l: (l != "") & ~F.rlike(l, F.lit(r"^(?://|/\*)")))
+    code = F.filter(F.transform(F.split(content, NEWLINE), strip), lambda l: (l != "") & ~F.rlike(l, F.lit(r"^(?://|/\*)")))
     return F.rlike(F.coalesce(F.get(code, F.lit(0)), F.lit("")), F.lit(r"^package\s+main(?:\s|$)"))
 
 
@@ -126,7 +135,7 @@ def binaries(files: DataFrame, pkgs: DataFrame) -> DataFrame:
 
 
 def _monorepos(files: DataFrame, code: DataFrame, pkgs: DataFrame) -> Inventory:
-    bins = binaries(files, pkgs)
+    bins, _ = stage(binaries(files, pkgs), "go-binaries")
     kinds = executable_kinds(code, bins)
     lib = F.lit("go-module")
     pkg_rows = component_rows(
@@ -138,7 +147,7 @@ def _monorepos(files: DataFrame, code: DataFrame, pkgs: DataFrame) -> Inventory:
         rank=2, label=F.col("root"), order=F.concat(F.array(F.col("rank").cast("string")), segments(F.col("root"))),
     )
     # top package of every import below the own module, per source file
-    used = code.select("repo", "dir", imported(F.col("content")).alias("imports")).filter(F.size("imports") > 0)
+    used = code.select("repo", "dir", "imports").filter(F.size("imports") > 0)
     modules = pkgs.select("repo", "module").distinct()
     tops = F.array_distinct(F.transform(
         F.filter("imports", lambda i: F.startswith(i, F.concat("module", F.lit("/")))),
@@ -162,7 +171,7 @@ def _single_modules(files: DataFrame, code: DataFrame, mods: DataFrame) -> Inven
     below_cmd = files.filter(F.rlike("path", F.lit("(?:^|/)cmd/"))).select("repo", segments(F.col("path")).alias("p"))
     spots = F.filter(F.sequence(F.lit(1), F.size("p") - 1), lambda i: F.element_at("p", i) == "cmd")
     with_cmd = below_cmd.select("repo", F.explode(F.transform(spots, lambda i: F.array_join(F.slice("p", F.lit(1), i - 1), "/"))).alias("dir")).distinct()
-    mains = code.select("repo", "dir", is_main(F.col("content")).alias("m")).filter("m").select("repo", "dir").distinct()
+    mains = code.filter("main").select("repo", "dir").distinct()
     marked = flag(flag(flag(own, direct, ["repo", "dir"], "has_main"), with_cmd, ["repo", "dir"], "has_cmd"), mains, ["repo", "dir"], "main_package")
     runs = F.col("has_main") | (~F.col("has_cmd") & F.col("main_package"))
 
@@ -188,9 +197,10 @@ def _single_modules(files: DataFrame, code: DataFrame, mods: DataFrame) -> Inven
 
 
 def discover(files: DataFrame, mode: str = "segment") -> Inventory:
-    mods = manifests(files, FILE, mode).withColumn("module", module_path(F.col("content"))).filter("module is not null")
-    code = sources(files, ".go")
-    pkgs = packages(files, mods)
+    found = manifests(files, FILE, mode).withColumn("module", module_path(F.col("content"))).filter("module is not null")
+    mods, _ = stage(found, "go-modules")
+    code, _ = stage(facts(files), "go-facts")
+    pkgs, _ = stage(packages(files, mods), "go-packages")
     split = pkgs.select("repo", "manifest_path").distinct()
     mono = _monorepos(files, code, pkgs)
     single = _single_modules(files, code, mods.join(split, ["repo", "manifest_path"], "left_anti"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from repoloom.functions.text import NEWLINE, all_groups, contains_any, first_group, strip_chars
+from repoloom.functions.text import all_groups, contains_any, first_group, NEWLINE, strip, strip_chars
 from repoloom.operators.discovery.common import (
     Inventory, component_rows, external_rows, flag, folder_name, internal_rows, manifests, workspace_members,
 )
+from repoloom.runtime import stage
 
 FILE = "Cargo.toml"
 # Texts and names that mark a service or a CLI; cli is also the default.
@@ -45,7 +46,7 @@ def dependencies(crates: DataFrame) -> DataFrame:
     rows = crates.select("repo", "ckey", F.posexplode(tables).alias("t", "table"))
     rows = rows.select("repo", "ckey", "t", "table.section", F.posexplode(F.split("table.body", NEWLINE)).alias("l", "line"))
     pattern = r"^\s*([a-zA-Z0-9_-]+)\s*=\s*(.*)"
-    value = F.trim(F.regexp_extract("line", pattern, 2))
+    value = strip(F.regexp_extract("line", pattern, 2))
     bare = strip_chars(value, "\"'")
     inline = F.coalesce(first_group(value, r"version\s*=\s*[\"']([^\"']+)"), F.lit(""))
     return rows.filter(F.rlike("line", F.lit(pattern))).select(
@@ -79,7 +80,7 @@ def discover(files: DataFrame, mode: str = "segment") -> Inventory:
     # a workspace root gives way to its members, which are manifests themselves
     crates = manifests(files, FILE, mode).filter(~is_workspace(F.col("content")))
     crates = flag(crates, _holding(files, "src/main.rs"), ["repo", "dir"], "main_rs")
-    crates = flag(crates, _holding(files, "src/lib.rs"), ["repo", "dir"], "lib_rs")
+    crates, _ = stage(flag(crates, _holding(files, "src/lib.rs"), ["repo", "dir"], "lib_rs"), "crates")
     name = F.coalesce(package_field(F.col("content"), "name"), folder_name(F.col("dir")))
     rows = component_rows(
         crates, FILE, name=name, kind=_kind(), type=F.lit("rust-crate"), root=F.col("dir"), description=package_field(F.col("content"), "description")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from repoloom.functions.paths import join_path, segments
-from repoloom.functions.text import NEWLINE, all_groups, first_group, strip_chars
-from repoloom.operators.discovery.common import Inventory, ckey, component_rows, external_rows, folder_name, internal_rows, manifests, sources, union
+from repoloom.functions.text import all_groups, first_group, NEWLINE, strip, strip_chars
+from repoloom.operators.discovery.common import Inventory, ckey, component_rows, external_rows, folder_name, internal_rows, manifests, merge, sources, union
+from repoloom.runtime import stage
 from repoloom.sources.files import exclude_vendored
 
 FOUNDRY = "foundry.toml"
@@ -30,9 +31,9 @@ def setting(content: Column, name: str, default: str) -> Column:
 def remappings(content: Column) -> Column:
     """ARRAY of (prefix, target) in the order of the file."""
     block = F.split(F.regexp_extract(content, REMAPPINGS, 1), NEWLINE)
-    lines = F.filter(F.transform(block, lambda l: strip_chars(F.trim(l), ",\"'")), lambda l: F.contains(l, F.lit("=")))
+    lines = F.filter(F.transform(block, lambda l: strip_chars(strip(l), ",\"'")), lambda l: F.contains(l, F.lit("=")))
     return F.transform(lines, lambda l: F.struct(
-        F.trim(F.substring_index(l, "=", 1)).alias("prefix"), F.trim(F.regexp_replace(l, "^[^=]*=", "")).alias("target")
+        strip(F.substring_index(l, "=", 1)).alias("prefix"), strip(F.regexp_replace(l, "^[^=]*=", "")).alias("target")
     ))
 
 
@@ -41,6 +42,16 @@ def remapped(path: Column, table: Column) -> Column:
     return F.when(hit.isNotNull(), F.concat(hit["target"], F.substr(path, F.length(hit["prefix"]) + 1))).otherwise(path)
 
 
+def facts(files: DataFrame) -> DataFrame:
+    """(repo, path, declared, imports, pragma) per ``.sol`` file; contents are read once."""
+    text = F.col("content")
+    declared = F.transform(all_groups(text, DECLARATION), lambda d: F.regexp_replace(d, r"\s+", " "))
+    return sources(files, ".sol").select(
+        "repo", "path", declared.alias("declared"), F.array_distinct(all_groups(text, IMPORT)).alias("imports"),
+        strip(first_group(text, PRAGMA)).alias("pragma"),
+    )
+
+
 def _below(rows: DataFrame, projects: DataFrame) -> DataFrame:
     """Rows (repo, path, …) joined to projects by their source folder ``src``;
     adds ``pkg``, the first folder below it (null for files directly in it)."""
@@ -62,8 +73,7 @@ def _kind(per: Column) -> Column:
 
 def _declared(below: DataFrame) -> DataFrame:
     """(repo, manifest_path, pkg, declaration, n): declarations by kind."""
-    kinds = F.transform(all_groups(F.col("content"), DECLARATION), lambda d: F.regexp_replace(d, r"\s+", " "))
-    return below.select("repo", "manifest_path", "pkg", F.explode(kinds).alias("declaration")).groupBy(
+    return below.select("repo", "manifest_path", "pkg", F.explode("declared").alias("declaration")).groupBy(
         "repo", "manifest_path", "pkg", "declaration"
     ).agg(F.count("*").alias("n"))
 
@@ -75,8 +85,8 @@ def _declared_metadata(counts: DataFrame, keyed: DataFrame, on: list[str]) -> Da
 
 def versions(below: DataFrame) -> DataFrame:
     """(repo, manifest_path, version) from the first file, by path, with a pragma."""
-    found = below.select("repo", "manifest_path", "path", F.trim(first_group(F.col("content"), PRAGMA)).alias("v")).filter("v is not null")
-    return found.groupBy("repo", "manifest_path").agg(F.min_by("v", segments(F.col("path"))).alias("version"))
+    found = below.filter("pragma is not null")
+    return found.groupBy("repo", "manifest_path").agg(F.min_by("pragma", segments(F.col("path"))).alias("version"))
 
 
 def vendored_libraries(files: DataFrame, projects: DataFrame) -> DataFrame:
@@ -98,8 +108,8 @@ def _foundry(files: DataFrame, sol: DataFrame, mode: str) -> Inventory:
         join_path(F.col("dir"), setting(text, "libs", "lib")).alias("lib"), remappings(text).alias("remap"),
     )
     holders = _below(files.select("repo", "path"), projects.select("repo", "src", "manifest_path")).select("repo", "manifest_path").distinct()
-    projects = projects.join(holders, ["repo", "manifest_path"], "left_semi")
-    below = _below(sol, projects.select("repo", "src", "manifest_path"))
+    projects, _ = stage(projects.join(holders, ["repo", "manifest_path"], "left_semi"), "foundry")
+    below, _ = stage(_below(sol, projects.select("repo", "src", "manifest_path")), "foundry-sources")
     pkgs = _packages(below)
     split = pkgs.select("repo", "manifest_path").distinct()
     counts = _declared(below)
@@ -127,7 +137,7 @@ def _foundry(files: DataFrame, sol: DataFrame, mode: str) -> Inventory:
     )
 
     # imports of each package, remapped, to sibling packages
-    used = below.filter("pkg is not null").select("repo", "manifest_path", "pkg", F.explode(F.array_distinct(all_groups(F.col("content"), IMPORT))).alias("i"))
+    used = below.filter("pkg is not null").select("repo", "manifest_path", "pkg", F.explode("imports").alias("i"))
     path = remapped(F.col("i"), F.col("remap"))
     arcs = used.distinct().join(projects.select("repo", "manifest_path", "remap"), ["repo", "manifest_path"]).select("repo", "manifest_path", "pkg", path.alias("i"))
     inner = arcs.filter(~F.rlike("i", F.lit(r"^(?:lib/|node_modules/|\./|\.\./)")))
@@ -158,8 +168,8 @@ def _hardhat(files: DataFrame, sol: DataFrame, filename: str, mode: str) -> Inve
     places = F.transform(F.array(F.lit("contracts"), F.lit("src")), lambda p: join_path(F.col("dir"), p))
     options = projects.select("repo", "manifest_path", F.posexplode(places).alias("rank", "src"))
     held = _below(files.select("repo", "path"), options).groupBy("repo", "manifest_path").agg(F.min_by("src", "rank").alias("src"))
-    projects = projects.join(held, ["repo", "manifest_path"])
-    below = _below(sol, projects.select("repo", "src", "manifest_path"))
+    projects, _ = stage(projects.join(held, ["repo", "manifest_path"]), "hardhat")
+    below, _ = stage(_below(sol, projects.select("repo", "src", "manifest_path")), "hardhat-sources")
     pkgs = _packages(below)
     counts = _declared(below)
     lib = F.lit("solidity-contract")
@@ -198,7 +208,5 @@ def _hardhat(files: DataFrame, sol: DataFrame, filename: str, mode: str) -> Inve
 
 
 def discover(files: DataFrame, mode: str = "segment") -> Inventory:
-    from repoloom.operators.discovery.common import merge
-
-    sol = sources(files, ".sol").drop("dir")
+    sol, _ = stage(facts(files), "sol-facts")
     return merge([_foundry(files, sol, mode), *[_hardhat(files, sol, name, mode) for name in HARDHAT]])

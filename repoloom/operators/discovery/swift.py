@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from repoloom.functions.paths import join_path, segments
 from repoloom.functions.text import all_groups, contains_any, first_group
 from repoloom.operators.discovery.common import Inventory, ckey, component_rows, external_rows, folder_name, internal_rows, manifests, sources, under, union
+from repoloom.runtime import stage
 
 FILE = "Package.swift"
 # Formats of manifest parts.
@@ -47,16 +48,20 @@ def targets(packages: DataFrame) -> DataFrame:
     )
 
 
+def facts(files: DataFrame) -> DataFrame:
+    """(repo, path, dir, main, sign) per ``.swift`` file; contents are read once."""
+    text, low = F.col("content"), F.lower("content")
+    sign = F.when(contains_any(low, SERVER_SIGNS), "service").when(contains_any(low, APP_SIGNS), "frontend")
+    return sources(files, ".swift").select("repo", "path", "dir", F.rlike(text, F.lit(r"@main\b")).alias("main"), sign.alias("sign"))
+
+
 def _signals(code: DataFrame, folders: DataFrame) -> DataFrame:
-    """(repo, root, main, first_kind) per source folder (repo, root).
+    """(repo, root, main, …, first_kind) per source folder (repo, root).
 
     ``first_kind`` is what the first telling file, in path order, points to.
     """
-    text, low = F.col("content"), F.lower("content")
-    sign = F.when(contains_any(low, SERVER_SIGNS), "service").when(contains_any(low, APP_SIGNS), "frontend")
-    flags = code.select("repo", "path", "dir", F.rlike(text, F.lit(r"@main\b")).alias("main"), sign.alias("sign"))
     file = F.substring_index("path", "/", -1)
-    told = under(flags, folders.select("repo", "root").distinct())
+    told = under(code, folders.select("repo", "root").distinct())
     order = F.when(F.col("sign").isNotNull(), segments(F.col("path")))
     return told.groupBy("repo", "root").agg(
         F.bool_or(F.col("main")).alias("main"),
@@ -83,9 +88,10 @@ def _located(rows: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def discover(files: DataFrame, mode: str = "segment") -> Inventory:
-    packages = manifests(files, FILE, mode).withColumn("package", F.coalesce(first_group(F.col("content"), PACKAGE_NAME), folder_name(F.col("dir"))))
-    code = sources(files, ".swift")
-    all_targets = targets(packages)
+    found = manifests(files, FILE, mode).withColumn("package", F.coalesce(first_group(F.col("content"), PACKAGE_NAME), folder_name(F.col("dir"))))
+    packages, _ = stage(found, "swift-packages")
+    code, _ = stage(facts(files), "swift-facts")
+    all_targets, _ = stage(targets(packages), "swift-targets")
     real = F.col("type") != "testTarget"
     shape = all_targets.groupBy("repo", "manifest_path").agg(F.count("*").alias("targets"), F.count_if(real).alias("real"))
     lib = F.lit("swift-package")
@@ -93,6 +99,7 @@ def discover(files: DataFrame, mode: str = "segment") -> Inventory:
     # packages with targets: one component per target that is no test
     rows = _located(all_targets.filter(real).join(shape, ["repo", "manifest_path"]), files)
     rows = rows.join(_signals(code, rows.select("repo", F.col("home").alias("root"))).withColumnRenamed("root", "home"), ["repo", "home"], "left")
+    rows, _ = stage(rows, "swift-rows")
     runs = (F.col("type") == "executableTarget") | (
         (F.col("type") == "target") & F.coalesce(F.col("main") | F.col("main_file"), F.lit(False))
     )

@@ -8,6 +8,7 @@ from repoloom.operators.citations import json_type
 from repoloom.operators.discovery.common import (
     Inventory, component_rows, external_rows, flag, folder_name, folders_holding, folders_with, internal_rows, manifests, workspace_members,
 )
+from repoloom.runtime import stage
 
 FILE = "package.json"
 # Dependencies that mark a frontend or a server.
@@ -68,7 +69,7 @@ def discover(files: DataFrame, mode: str = "segment") -> Inventory:
     pkgs = parsed(manifests(files, FILE, mode)).filter(~is_workspace_root())
     pkgs = flag(pkgs, folders_holding(files, ["wrangler.toml", "wrangler.jsonc"]), ["repo", "dir"], "wrangler")
     typed = folders_holding(files, ["tsconfig.json"]).unionByName(folders_with(files, ".ts"))
-    pkgs = flag(pkgs, typed, ["repo", "dir"], "ts")
+    pkgs, _ = stage(flag(pkgs, typed, ["repo", "dir"], "ts"), "npm-packages")
     name = F.coalesce("name", folder_name(F.col("dir")))
     rows = component_rows(
         pkgs, FILE, name=name, kind=_kind(), type=F.when(F.col("ts"), "typescript-package").otherwise("javascript-package"),

@@ -11,8 +11,22 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from repoloom.plans.bindings import view
+from repoloom.runtime import stage
 
 NL = "\n"
+_WRITTEN: dict[tuple, DataFrame] = {}
+
+
+def written(build):
+    """Write a rendered corpus once per application and data folder."""
+
+    def get(spark: SparkSession) -> DataFrame:
+        key = (spark.sparkContext.applicationId, spark.conf.get("repoloom.tables"), build.__name__)
+        if key not in _WRITTEN:
+            _WRITTEN[key] = stage(build(spark), build.__name__)[0]
+        return _WRITTEN[key]
+
+    return get
 
 
 def _files(df: DataFrame, path: Column, content: Column | str) -> DataFrame:
@@ -28,6 +42,7 @@ def _all(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.union, parts)
 
 
+@written
 def components(spark: SparkSession) -> DataFrame:
     """Components with ``deps`` (names) and ``exts`` (service ids) arrays."""
     sets = lambda v, out: view(spark, v).groupBy("repo", F.col("source").alias("name")).agg(F.array_sort(F.collect_set("target")).alias(out))
@@ -48,6 +63,7 @@ def repos(spark: SparkSession) -> DataFrame:
     return view(spark, "e_components").select("repo").distinct()
 
 
+@written
 def npm(spark: SparkSession) -> DataFrame:
     c = components(spark)
     pair = lambda k, v: F.struct(k.alias("key"), v.alias("value"))
@@ -72,6 +88,7 @@ def npm(spark: SparkSession) -> DataFrame:
     ])
 
 
+@written
 def go_modules(spark: SparkSession) -> DataFrame:
     c = components(spark)
     mod = F.concat(F.lit("// module file\nmodule example.org/estate/"), "name", F.lit("\n\ngo 1.21\n\nrequire (\n"),
@@ -89,6 +106,7 @@ def go_modules(spark: SparkSession) -> DataFrame:
     ])
 
 
+@written
 def go_mono(spark: SparkSession) -> DataFrame:
     c = components(spark)
     folder = lambda tail: F.concat("name", F.lit(tail))
@@ -103,6 +121,7 @@ def go_mono(spark: SparkSession) -> DataFrame:
     ])
 
 
+@written
 def python_mono(spark: SparkSession) -> DataFrame:
     c = components(spark)
     folder = lambda tail: F.concat(F.lit("src/my_proj/"), "name", F.lit(tail))
@@ -120,6 +139,7 @@ def python_mono(spark: SparkSession) -> DataFrame:
     ])
 
 
+@written
 def python_projects(spark: SparkSession) -> DataFrame:
     c = components(spark)
     head = F.concat(F.lit('name = "'), "name", F.lit('"\n'))
@@ -135,6 +155,7 @@ def python_projects(spark: SparkSession) -> DataFrame:
     ])
 
 
+@written
 def cargo(spark: SparkSession) -> DataFrame:
     c = components(spark)
     ext = lambda s: F.when(F.endswith(s, F.lit("3")), F.concat(s, F.lit(' = { version = "1.3", features = ["a"] }'))).otherwise(F.concat(s, F.lit(' = "1.0"')))
@@ -155,6 +176,7 @@ def cargo(spark: SparkSession) -> DataFrame:
     ])
 
 
+@written
 def foundry(spark: SparkSession) -> DataFrame:
     c = components(spark)
     r = repos(spark)
@@ -172,6 +194,7 @@ def foundry(spark: SparkSession) -> DataFrame:
     ])
 
 
+@written
 def swift_packages(spark: SparkSession) -> DataFrame:
     c = components(spark)
     kind = F.col("kind")
