@@ -243,6 +243,7 @@ def sw_internal(spark, sf_dir):
 # --- all ecosystems -----------------------------------------------------------------
 
 
+@rendered.written
 def mixed(spark):
     """Each ecosystem in repositories of its own, and two sharing root paths."""
     tag = lambda df, t: df.withColumn("repo", F.concat(F.lit(t + "/"), "repo"))
