@@ -54,7 +54,7 @@ def scan_repos(spark: SparkSession, root: str, path_glob: str | None = None) ->
     return reader.load(base).select(
         F.substring_index(rel, "/", 1).alias("repo"),
         F.regexp_replace(rel, "^[^/]*/", "").alias("path"),
-        F.decode("content", "UTF-8").alias("content"),
+        F.make_valid_utf8(F.col("content").cast("string")).alias("content"),
         F.col("length").alias("size_bytes"),
     )
 

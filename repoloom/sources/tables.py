@@ -70,7 +70,7 @@ def load_components(spark: SparkSession, path: str) -> DataFrame:
         .option("pathGlobFilter", "components.json").load(path)
     )
     rel = F.substring_index("path", path.rstrip("/") + "/", -1)
-    return components_from_json(docs.select(F.substring_index(rel, "/", 1).alias("repo"), F.decode("content", "UTF-8").alias("content")))
+    return components_from_json(docs.select(F.substring_index(rel, "/", 1).alias("repo"), F.make_valid_utf8(F.col("content").cast("string")).alias("content")))
 
 
 def latest_manifest(manifests: DataFrame) -> DataFrame:
