@@ -23,19 +23,24 @@ def local_session(cpus: str = "*", app: str = "repoloom") -> SparkSession:
     )
 
 
+_LOCAL_ROOTS: dict[str, str] = {}
+
+
 def stage_root(spark: SparkSession) -> str:
     """Shared folder for intermediate tables: ``spark.checkpoint.dir``.
 
     Only a local session may run without the setting; it gets a fresh
     temporary folder.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="repoloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if root:
+        return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_ROOTS:
+        _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="repoloom-")
+    return _LOCAL_ROOTS[app]
 
 
 def stage(df: DataFrame, label: str, **metrics: Column) -> tuple[DataFrame, dict]:

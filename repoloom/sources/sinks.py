@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from repoloom.functions.kinds import parse_kind
 from repoloom.operators.citations import source_url
@@ -178,14 +178,14 @@ def graph_report(components: DataFrame, internal: DataFrame, external: DataFrame
     tick = lambda col: F.concat(lit("`"), col, lit("`"))
     lead = F.when(F.col("dep") == F.col("_first"), "- **Depends On**: ").otherwise(", ")
     bare = c.join(firsts.select("repo", F.col("component").alias("name")), ["repo", "name"], "left_anti")
-    ext = (
-        external.select("repo", "component", F.struct("pos", "name", "version").alias("_d")).groupBy("repo", "component")
-        .agg(F.array_sort(F.collect_list("_d")).alias("_all"))
-    )
-    label = lambda d: F.concat(tick(d["name"]), F.when(F.coalesce(d["version"], lit("")) != "", F.concat(lit(" ("), d["version"], lit(")"))).otherwise(""))
-    shown = F.array_join(F.transform(F.slice("_all", 1, SHOWN_DEPS), label), ", ")
-    more = F.when(F.size("_all") > SHOWN_DEPS, F.concat(lit(" (+"), (F.size("_all") - SHOWN_DEPS).cast("string"), lit(" more)"))).otherwise("")
-    with_ext = c.join(ext.withColumnRenamed("component", "name"), ["repo", "name"])
+    by_pos = Window.partitionBy("repo", "component").orderBy("pos", "name")
+    head = external.withColumn("_n", F.row_number().over(by_pos)).filter(F.col("_n") <= SHOWN_DEPS)
+    label = F.concat(tick(F.col("name")), F.when(F.coalesce("version", lit("")) != "", F.concat(lit(" ("), "version", lit(")"))).otherwise(""))
+    shown = head.groupBy("repo", "component").agg(F.array_sort(F.collect_list(F.struct("_n", label.alias("l")))).alias("_head"))
+    total = external.groupBy("repo", "component").agg(F.count("*").alias("_all"))
+    listed = F.array_join(F.transform("_head", lambda s: s["l"]), ", ")
+    more = F.when(F.col("_all") > SHOWN_DEPS, F.concat(lit(" (+"), (F.col("_all") - SHOWN_DEPS).cast("string"), lit(" more)"))).otherwise("")
+    with_ext = c.join(shown.join(total, ["repo", "component"]).withColumnRenamed("component", "name"), ["repo", "name"])
     parts = [
         piece(c, 0, zero, F.concat(lit("### "), tick(F.col("name")), lit(" ("), F.col("kind"), lit(")"))),
         piece(c, 1, zero, F.concat(lit("- **Type**: "), F.col("type"))),
@@ -195,7 +195,7 @@ def graph_report(components: DataFrame, internal: DataFrame, external: DataFrame
             "repo", "depth", "name", lit(4).alias("line_no"),
             F.when(F.col("dep") == F.col("_first"), 0).otherwise(1).cast("bigint").alias("pos"), F.concat(lead, tick(F.col("dep"))).alias("text"),
         ),
-        piece(with_ext, 5, zero, F.concat(lit("- **External Dependencies**: "), shown, more)),
+        piece(with_ext, 5, zero, F.concat(lit("- **External Dependencies**: "), listed, more)),
     ]
     if "description" in components.columns:
         told = c.filter(F.col("description") != "")
