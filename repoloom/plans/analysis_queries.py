@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from repoloom.operators import analyses, artifacts, audit, citations, observability
 from repoloom.plans.bindings import oracle, view
-from repoloom.plans.estate_queries import DEPTHS, _DONE, acyclic_levels, as_deps, recursive
+from repoloom.plans.estate_queries import DEPTHS, _DONE, acyclic_levels, recursive
 from repoloom.plans.registry import query
 
 # --- citations: Spark renders the Markdown, the oracle reads the rows ------------

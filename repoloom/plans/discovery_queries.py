@@ -6,11 +6,9 @@ from pyspark.sql import functions as F
 
 from repoloom.operators import graph as kg
 from repoloom.operators.discovery import discover, go, python, rust, solidity, swift, typescript
-from repoloom.operators.discovery.common import manifests
 from repoloom.plans import rendered
-from repoloom.plans.bindings import oracle, view
+from repoloom.plans.bindings import oracle
 from repoloom.plans.registry import query
-from repoloom.sources import sinks
 
 
 def shown(inventory):

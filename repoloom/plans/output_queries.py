@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from repoloom.operators import artifacts, audit, citations
 from repoloom.operators import graph as kg
-from repoloom.plans.analysis_queries import _FOUND, _LANGS, _RAW, _VALID, _discrepancies, _mismatches, rendered
+from repoloom.plans.analysis_queries import _FOUND, _LANGS, _VALID, _discrepancies, _mismatches, rendered
 from repoloom.plans.bindings import oracle, view
 from repoloom.plans.estate_queries import DEPTHS, acyclic_levels, as_deps, recursive
 from repoloom.plans.registry import query
