@@ -22,6 +22,7 @@ from __future__ import annotations
 import bisect
 import itertools
 import os
+import string
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 
@@ -34,6 +35,7 @@ from pyspark.sql import functions as F
 #: Id that closes every document.
 CLOSING_ID = 1
 SLICES = 1024
+SIGNS = string.punctuation
 PIECE_SCHEMA = "id long, piece int, start long, length long, ids binary"
 
 
@@ -67,18 +69,24 @@ class Encoder:
         if len(self.known) > self.most:
             self.known, self.older = {"": b""}, self.known
         known, older = self.known, self.older
-        plain, ended = set(), []
+        parts, composed = set(), []
         for word in set().union(*words).difference(known):
             if word in older:
                 known[word] = older[word]
-            elif len(word) > 1 and word[-1] in ".," and word[-2].isalpha():
-                ended.append(word)  # letters and the sign after them are separate tokens
-                plain.update((word[:-1], word[-1]))
+                continue
+            core = word.rstrip(SIGNS)
+            if core.isalpha():
+                # letters and the signs after them are separate tokens, and the tokenizer lowers letters one by one
+                low = core.lower() if max(core) < "\u0180" else core
+                composed.append((word, low, word[len(core) :]))
+                parts.update(composed[-1][1:])
             else:
-                plain.add(word)
-        self._learn([w for w in plain if w not in known])
-        for word in ended:
-            known[word] = known[word[:-1]] + known[word[-1]]
+                parts.add(word)
+        for word in parts.intersection(older):
+            known[word] = older[word]
+        self._learn(list(parts.difference(known)))
+        for word, low, signs in composed:
+            known[word] = known[low] + known[signs]
         get = known.__getitem__
         return [b"".join(map(get, w)) for w in words]
 
@@ -240,6 +248,10 @@ def plan_packing(counts: dict[int, int], capacity: int = 4096, grain: int = 16)
     unit_of = -(-np.arange(capacity + 1) // grain)
     unit_of[unit_of > units] = 0  # too long for a whole number of units: best fit takes it
     demand = np.bincount(unit_of, weights=left, minlength=units + 1).astype(np.int64)
+    # short pieces close gaps best: up to a tenth of all tokens is left to best fit
+    share = np.cumsum(left * np.arange(capacity + 1))
+    small = min(capacity // 8, int(np.searchsorted(share, share[-1] / 10)))
+    demand[: small // grain] = 0
     demand[0] = 0
     pools = {u: [int(s) for s in np.flatnonzero((unit_of == u) & (left > 0))] for u in range(1, units + 1)}
     for pattern, amount in solve_patterns(demand.astype(float), units):

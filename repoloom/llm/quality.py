@@ -86,6 +86,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, float]], rank: int, neighbours:
         counts[i, at] = values
     rarity = np.log((1 + len(rows)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + 1
     rarity[WORDS:] = 2.0  # shapes matter by share, not by rarity
+    rarity[WORDS + SHAPES :] = 4.0
     counts *= rarity
     draw = np.random.default_rng(7).standard_normal((WIDTH, rank + 8)).astype(np.float32)
     range_of = counts @ draw

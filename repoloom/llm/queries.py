@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from repoloom.llm import chat, decontaminate, exactdup, packing, quality, secrets, warc
+from repoloom.llm import chat, decontaminate, exactdup, neardup, packing, quality, secrets, warc
 from repoloom.runtime import stage
 
 RUNS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,6 +117,31 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+OP6_SQL = r"""
+with recursive d as (
+  select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents
+), w as (
+  select doc_id, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from d
+), s as (
+  select distinct doc_id, array_to_string(w[k:k + 4], ' ') as s
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as k from w where len(w) > 0)
+), n as (select doc_id, count(*) as n from s group by doc_id),
+links as (
+  select a, b from (select x.doc_id as a, y.doc_id as b, count(*) as c from s x join s y on x.s = y.s and x.doc_id <> y.doc_id group by all)
+  join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * c >= 75 * (na.n + nb.n - c)
+), reach(doc_id, r) as (
+  select doc_id, doc_id from documents union select reach.doc_id, links.b from reach join links on links.a = reach.r
+)
+select d.doc_id, coalesce(n, 0) as n_shingles, min(r) as component_id, d.doc_id = min(r) as kept
+from d left join n using (doc_id) join reach on reach.doc_id = d.doc_id group by d.doc_id, n
+"""
+
+
+@query("op6_minhash_near_dedup", OP6_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 OP7_SQL = """
 with p as (
   select page_id, coalesce(html, '') as html, octet_length(encode(coalesce(html, ''))) as n from pages
