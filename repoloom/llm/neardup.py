@@ -11,12 +11,13 @@ their full sets, so every link is exact.
 
 Equal sets are one class from the start. Within a band's bucket nothing is
 paired all against all: every member is compared with the bucket's heads, the
-class with most copies and the smallest id. Buckets that still hold several
-components elect a head from the smallest component not led so far, and every
-member of another component is compared with it; this goes on until no bucket
-has a component left to lead or a whole round finds no link. Links are joined to components by
-alternating star contraction. Hot heads are salted. At a similarity of 0.75 a
-pair shares no band with probability 5e-6.
+class with most copies and the smallest id. Links are joined to components by
+alternating star contraction. Documents in buckets that then still hold several
+components are bucketed again by 64 groups of eight registers, drawn anew each
+turn, where again every member meets heads of other components, the smallest
+id and one by hash; turns go on until one finds no link or no bucket is left.
+Hot heads are salted. At a similarity of 0.75 a pair shares no band with
+probability 5e-6.
 
 Defined cases: null, empty and blank texts have empty sets, link with nothing
 and stay. Rows without an id take no part and stay. Rows that share an id are
@@ -37,11 +38,11 @@ from pyspark.sql import functions as F
 
 from repoloom.runtime import stage
 
-REGISTERS, BAND = 128, 4
+REGISTERS, BAND, FINE = 128, 4, 64
 #: Parameters of the sketch: spacing of register values, rate, largest value.
 BASE, RATE, TOP = 1.001, 20.0, 65535
-#: An estimate so far below the threshold is five deviations off.
-SLACK = 0.2
+#: An estimate so far below the threshold is four deviations off.
+SLACK = 0.16
 PER_SALT = 256
 
 _draw = np.random.default_rng(20240229)
@@ -111,6 +112,24 @@ def _estimator(least: float) -> Callable:
     return near
 
 
+def _fine_keys(turn: int) -> Callable:
+    """Hashes of ``FINE`` groups of registers, drawn anew each turn, twice as long as a band."""
+    draw = np.random.default_rng(turn)
+    groups = np.stack([draw.permutation(REGISTERS)[: 2 * BAND] for _ in range(FINE)])
+    mix = draw.integers(1, 1 << 63, (FINE, 2 * BAND), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+    @F.pandas_udf("array<long>")
+    def keys(regs: pd.Series) -> pd.Series:
+        rows = np.frombuffer(b"".join(regs), dtype="<u2").reshape(-1, REGISTERS)
+        out = np.zeros((len(rows), FINE), dtype=np.uint64)
+        for k in range(2 * BAND):
+            out = (out ^ rows[:, groups[:, k]].astype(np.uint64)) * mix[:, k]
+            out ^= out >> np.uint64(31)
+        return pd.Series(list(out.view(np.int64)))
+
+    return keys
+
+
 def _verifier(part: int, whole: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """Rows come sorted by head and salt, the head's own row first."""
 
@@ -175,35 +194,37 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .filter(F.col("rows") > 1).select("key", (-F.col("most.minus")).alias("most"), "least")
     )
     shared, _ = stage(bands.select("key", "id").join(heads, "key"), "shared-bands")
-    led = shared.select("key", F.explode(F.array_distinct(F.array("most", "least"))).alias("id")).distinct()
     pairs = shared.select("id", F.explode(F.array_distinct(F.array("most", "least"))).alias("head")).filter("id <> head")
     side = reps.select("id", "n", "regs")
-    tested, linked, labels = None, None, None
+    tested, labels, turn = None, None, 0
     while True:
         pairs = pairs.select("id", "head").distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["id", "head"], "left_anti")
         known = pairs.join(side, "id").join(side.select(F.col("id").alias("head"), F.col("n").alias("n_head"), F.col("regs").alias("regs_head")), "head")
         known = known.filter(F.expr(f"{whole} * least(n, n_head) >= {part} * greatest(n, n_head)"))
-        close, _ = stage(known.filter(_estimator(part / whole - SLACK)("regs", "regs_head", "n", "n_head")).select("id", "head").distinct(), "likely-pairs")
-        new, found = stage(_verified(texts, close, part, whole), "links", n=F.count(F.lit(1)))
+        close, likely = stage(
+            known.filter(_estimator(part / whole - SLACK)("regs", "regs_head", "n", "n_head")).select("id", "head").distinct(), "likely-pairs", n=F.count(F.lit(1)))
         tested = close if tested is None else tested.unionByName(close)
-        if labels is not None and not found["n"]:
+        if likely["n"] or labels is None:
+            new, found = stage(_verified(texts, close, part, whole), "links", n=F.count(F.lit(1)))
+        if labels is not None and not (likely["n"] and found["n"]):
             break
-        linked = new if labels is None else new.unionByName(labels.withColumnRenamed("root", "head"))
-        labels = components(linked)
-        # buckets that still hold several components, and the next head of each
+        labels = components(new if labels is None else new.unionByName(labels.withColumnRenamed("root", "head")))
+        # documents in buckets that still hold several components
         at = shared.select("key", "id").join(labels, "id", "left").withColumn("root", F.coalesce("root", "id"))
         several = at.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).filter("_a <> _b").select("key")
-        at, left = stage(at.join(several, "key"), "open-buckets", n=F.count(F.lit(1)))
+        at, left = stage(at.join(several, "key").select("id", "root").distinct(), "open-documents", n=F.count(F.lit(1)))
         if not left["n"]:
             break
-        done = led.withColumn("led", F.lit(1))
-        groups = at.join(done, ["key", "id"], "left").groupBy("key", "root").agg(F.max("led").alias("led"), F.count(F.lit(1)).alias("rows"), F.min("id").alias("id"))
-        next_heads, _ = stage(
-            groups.filter("led is null").groupBy("key").agg(F.min(F.struct("rows", "id", "root")).alias("h")).select("key", F.col("h.id").alias("head"), F.col("h.root").alias("head_root")), "next-heads")
-        led = led.unionByName(next_heads.select("key", F.col("head").alias("id")))
-        pairs = at.join(next_heads, "key").filter("root <> head_root").select("id", "head")
+        turn += 1
+        fine = at.join(side.select("id", "regs"), "id").select("id", "root", F.explode(_fine_keys(turn)("regs")).alias("key"))
+        member = F.struct("id", "root")
+        fine_heads = (
+            fine.groupBy("key").agg(F.min(member).alias("least"), F.min_by(member, F.xxhash64("id", "key")).alias("any"), F.min("root").alias("_a"), F.max("root").alias("_b"))
+            .filter("_a <> _b").select("key", F.explode(F.array_distinct(F.array("least", "any"))).alias("h"))
+        )
+        pairs = fine.join(fine_heads, "key").filter("root <> h.root").select("id", F.col("h.id").alias("head"))
     of_class = classes.select("digest", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
         "digest", F.coalesce("root", "rep").alias("component_id"))
     alone = sketches.filter("n = 0 or id is null").select(F.col("id"), "n", F.col("id").alias("component_id"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from repoloom.llm import chat, decontaminate, exactdup, neardup, packing, quality, secrets, warc
+from repoloom.llm import chat, decontaminate, exactdup, lmscore, neardup, packing, pii, quality, secrets, warc
 from repoloom.runtime import stage
 
 RUNS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,6 +117,15 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+#: Key of the query's surrogates; a real job brings its own secret.
+SURROGATE_KEY = b"repoloom surrogate key"
+
+
+@query("op5_pii_surrogates")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_entities(table(spark, sf_dir, "documents"), SURROGATE_KEY).select("doc_id", "text", "entities", "n_entities")
+
+
 OP6_SQL = r"""
 with recursive d as (
   select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents
@@ -208,3 +217,9 @@ select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(d.t) as tex
 @query("op9_exact_dedup", OP9_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdup.exact_groups(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@query("op10_lm_scoring")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lmscore.lm_scores(table(spark, sf_dir, "documents"))
+    return scored.withColumn("mean_score", F.when(F.col("n_words") > 0, F.col("score") / F.col("n_words")))
