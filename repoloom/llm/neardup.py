@@ -44,6 +44,7 @@ BASE, RATE, TOP = 1.001, 20.0, 65535
 #: An estimate so far below the threshold is four deviations off.
 SLACK = 0.16
 PER_SALT = 256
+ROWS_PER_FILE = 200_000
 
 _draw = np.random.default_rng(20240229)
 _SCALE = _draw.integers(1, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -152,6 +153,9 @@ def _verifier(part: int, whole: int) -> Callable[[Iterator[pd.DataFrame]], Itera
 
 def components(links: DataFrame, label: str = "components") -> DataFrame:
     """``id, root`` (smallest id reachable) for the ids of ``links`` (id, head), by alternating star contraction."""
+    def small(df: DataFrame, rows: int) -> DataFrame:
+        return df.coalesce(rows // ROWS_PER_FILE + 1)
+
     check = {"n": F.count(F.lit(1)), "s": F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))}
     edges, before = stage(links.select(F.greatest("id", "head").alias("a"), F.least("id", "head").alias("b")).filter("a <> b").distinct(), label, **check)
     while before["n"]:
@@ -159,11 +163,11 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large, _ = stage(large, label)
+        large, _ = stage(small(large, before["n"]), label)
         # small star: a node and its neighbours below hang on the least of them
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("e")).select("e.a", F.col("e.m").alias("b"))
-        edges, after = stage(small.filter("a <> b").distinct(), label, **check)
+        pulled = large.join(least, "a").select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("e")).select("e.a", F.col("e.m").alias("b"))
+        edges, after = stage(small(pulled.filter("a <> b").distinct(), 2 * before["n"]), label, **check)
         if after == before:
             break
         before = after
@@ -175,7 +179,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, part: int, whole: int) -> DataF
     degree = pairs.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / PER_SALT).cast("int").alias("salts"))
     members = pairs.join(degree, "head").select("id", "head", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("member"))
     heads = degree.select(F.col("head").alias("id"), "head", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("member"))
-    rows = docs.join(members.unionByName(heads), "id").select("head", "salt", "member", "id", "text")
+    rows = docs.hint("merge").join(members.unionByName(heads), "id").select("head", "salt", "member", "id", "text")
     rows = rows.repartition("head", "salt").sortWithinPartitions("head", "salt", "member")
     return rows.mapInPandas(_verifier(part, whole), "id long, head long").distinct()
 
@@ -196,6 +200,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shared, _ = stage(bands.select("key", "id").join(heads, "key"), "shared-bands")
     pairs = shared.select("id", F.explode(F.array_distinct(F.array("most", "least"))).alias("head")).filter("id <> head")
     side = reps.select("id", "n", "regs")
+    # the texts that may need comparing travel once; later turns read this table
+    texts, _ = stage(texts.hint("merge").join(shared.select("id").distinct(), "id", "left_semi"), "candidate-texts")
     tested, labels, turn = None, None, 0
     while True:
         pairs = pairs.select("id", "head").distinct()
@@ -207,7 +213,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             known.filter(_estimator(part / whole - SLACK)("regs", "regs_head", "n", "n_head")).select("id", "head").distinct(), "likely-pairs", n=F.count(F.lit(1)))
         tested = close if tested is None else tested.unionByName(close)
         if likely["n"] or labels is None:
-            new, found = stage(_verified(texts, close, part, whole), "links", n=F.count(F.lit(1)))
+            new, found = stage(_verified(texts, close, part, whole).coalesce(likely["n"] // ROWS_PER_FILE + 8), "links", n=F.count(F.lit(1)))
         if labels is not None and not (likely["n"] and found["n"]):
             break
         labels = components(new if labels is None else new.unionByName(labels.withColumnRenamed("root", "head")))
