@@ -40,21 +40,29 @@ BLOCK_SCHEMA = "bucket int, n int, batch string, keys binary, counts binary"
 REPLY_SCHEMA = "batch string, n int, bucket int, counts binary"
 
 
-def _zip(values: np.ndarray) -> bytes:
-    return zstandard.compress(np.ascontiguousarray(values).tobytes(), 1)
+def _zip(values: np.ndarray, width: int = 8) -> bytes:
+    """Unsigned numbers, their lowest ``width`` bytes one plane after the other, compressed."""
+    planes = np.ascontiguousarray(values.astype("<u8")).view("u1").reshape(-1, 8).T[:width]
+    return zstandard.compress(planes.tobytes(), 3)
 
 
-def _unzip(data: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(data), dtype=kind)
+def _unzip(data: bytes, width: int = 8) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), dtype="u1").reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), dtype="u1")
+    out[:, :width] = planes.T
+    return out.view("<u8")[:, 0]
 
 
 def _batches(most: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """Documents → rows of ``BATCH_SCHEMA`` of about ``most`` tokens."""
 
     def row(ids: list, hashes: list[np.ndarray]) -> pd.DataFrame:
-        vocabulary, words = np.unique(np.concatenate(hashes), return_inverse=True)
+        vocabulary, words, counts = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+        order = np.argsort(-counts, kind="stable")  # frequent words get small numbers
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order))
         lengths = [len(h) for h in hashes]
-        words, vocabulary = _zip(words.astype("<u4")), vocabulary.astype("<u8").tobytes()
+        words, vocabulary = _zip(rank[words], 4), _zip(vocabulary[order], HASH_BITS // 8)
         return pd.DataFrame({"batch": [uuid.uuid4().hex], "ids": [ids], "lengths": [lengths], "words": [words], "vocabulary": [vocabulary], "tokens": [sum(lengths)]})
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -63,7 +71,7 @@ def _batches(most: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFr
             for own, text in zip(batch["id"], batch["text"], strict=True):
                 words = (text or "").encode("utf-8", "surrogatepass").lower().split()
                 ids.append(None if pd.isna(own) else int(own))
-                hashes.append(np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words)))
+                hashes.append(np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words)) >> np.uint64(64 - HASH_BITS))
                 size += len(words)
                 if size >= most:
                     yield row(ids, hashes)
@@ -92,8 +100,8 @@ def _grams(words: np.ndarray, lengths: np.ndarray) -> list[tuple[np.ndarray, np.
 
 
 def _decoded(row) -> tuple[np.ndarray, np.ndarray]:
-    vocabulary = np.frombuffer(row.vocabulary, dtype="<u8")
-    return vocabulary[_unzip(row.words, "<u4")], np.array(row.lengths, dtype=np.int64)
+    vocabulary = _unzip(row.vocabulary, HASH_BITS // 8)
+    return vocabulary[_unzip(row.words, 4).astype(np.int64)], np.array(row.lengths, dtype=np.int64)
 
 
 def _asking(bits: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -108,7 +116,7 @@ def _asking(bits: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFra
                     keys, counts = np.unique(hashes, return_counts=True)
                     cuts = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
                     rows = [
-                        (b, n, row.batch, _zip(np.diff(keys[a:z], prepend=np.uint64(0)).astype("<u8").view("u1").reshape(-1, 8).T), _zip(counts[a:z].astype("<u4")))
+                        (b, n, row.batch, _zip(np.diff(keys[a:z], prepend=np.uint64(0))), _zip(counts[a:z]))
                         for b, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False)) if z > a
                     ]
                     yield pd.DataFrame(rows, columns=["bucket", "n", "batch", "keys", "counts"])
@@ -117,22 +125,24 @@ def _asking(bits: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFra
 
 
 def _count(blocks: pd.DataFrame) -> pd.DataFrame:
-    """One count table (a hash range of one order): add up the blocks and answer each in its order."""
-    keys = [np.cumsum(_unzip(k, "u1").reshape(8, -1).T.copy().view("<u8")[:, 0], dtype=np.uint64) for k in blocks["keys"]]
+    """One count table (a hash range of one order): add up the blocks, answer each with what the others have of its n-grams."""
+    keys = [np.cumsum(_unzip(k), dtype=np.uint64) for k in blocks["keys"]]
+    own = np.concatenate([_unzip(c) for c in blocks["counts"]])
     table, where = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(where, weights=np.concatenate([_unzip(c, "<u4") for c in blocks["counts"]]), minlength=len(table)).astype("<u8")
+    total = np.bincount(where, weights=own, minlength=len(table)).astype("<u8")
     cuts = np.cumsum([len(k) for k in keys])[:-1]
     return pd.DataFrame({
-        "batch": blocks["batch"], "n": blocks["n"], "bucket": blocks["bucket"],
-        "counts": [_zip(total[part].astype("<u8").view("u1").reshape(-1, 8).T) for part in np.split(where, cuts)]})
+        "batch": blocks["batch"], "n": blocks["n"], "bucket": blocks["bucket"], "counts": [_zip(rest) for rest in np.split(total[where] - own, cuts)]})
 
 
-def token_scores(words: np.ndarray, lengths: np.ndarray, corpus: list[np.ndarray], tokens: int) -> np.ndarray:
-    """Natural logarithm of every token's score; ``corpus``: per order the counts of the batch's distinct n-grams."""
+def token_scores(words: np.ndarray, lengths: np.ndarray, others: list[np.ndarray], tokens: int) -> np.ndarray:
+    """Natural logarithm of every token's score; ``others``: per order the counts that other
+    batches have of this one's distinct n-grams."""
     document = np.repeat(np.arange(len(lengths)), lengths)
     elsewhere = []  # per order, per token: corpus count without the own document's
-    for (at, hashes), counts in zip(_grams(words, lengths), corpus, strict=True):
-        keys, where = np.unique(hashes, return_inverse=True)
+    for (at, hashes), rest in zip(_grams(words, lengths), others, strict=True):
+        keys, where, counts = np.unique(hashes, return_inverse=True, return_counts=True)
+        counts = counts + rest
         pair = document[at].astype(np.int64) * (len(keys) + 1) + where
         _, own_at, own = np.unique(pair, return_inverse=True, return_counts=True)
         left = np.zeros(len(words))
@@ -156,8 +166,8 @@ def _scoring(tokens: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.Data
 
     def result(row, answers: list[list[np.ndarray]]) -> pd.DataFrame:
         words, lengths = _decoded(row)
-        corpus = [np.concatenate(a) if a else np.empty(0) for a in answers]
-        scores = token_scores(words, lengths, corpus, tokens) if len(words) else np.empty(0)
+        others = [np.concatenate(a) if a else np.empty(0) for a in answers]
+        scores = token_scores(words, lengths, others, tokens) if len(words) else np.empty(0)
         sums = np.bincount(np.repeat(np.arange(len(lengths)), lengths), weights=scores, minlength=len(lengths))
         return pd.DataFrame({"id": pd.array(list(row.ids), dtype="Int64"), "n_words": lengths, "score": sums})
 
@@ -170,14 +180,14 @@ def _scoring(tokens: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.Data
                         yield result(current, answers)
                     current, answers = row, [[] for _ in range(ORDER)]
                 else:
-                    answers[int(row.n) - 1].append(_unzip(row.counts, "u1").reshape(8, -1).T.copy().view("<u8")[:, 0].astype(float))
+                    answers[int(row.n) - 1].append(_unzip(row.counts).astype(float))
         if current is not None:
             yield result(current, answers)
 
     return score
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_tokens: int = 2_000_000, table_tokens: int = 4_000_000) -> DataFrame:
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_tokens: int = 1_500_000, table_tokens: int = 4_000_000) -> DataFrame:
     """Per row: its id, ``n_words`` and ``score``, the sum of the tokens' log scores."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     held, found = stage(texts.mapInPandas(_batches(batch_tokens), BATCH_SCHEMA), "lm-batches", tokens=F.sum("tokens"))
