@@ -153,7 +153,8 @@ def solve_patterns(demand: np.ndarray, units: int, epsilon: float = 0.2, rounds:
     sizes = np.flatnonzero(demand)
     if not len(sizes):
         return []
-    weight, covered = np.ones(units + 1), np.zeros(units + 1)
+    # long pieces start dear: they are hardest to place
+    weight, covered = demand * (np.arange(units + 1) / units) ** 2, np.zeros(units + 1)
     amounts: dict[tuple, float] = defaultdict(float)
     goal = np.log(len(sizes) + 1) / epsilon**2
     for _ in range(rounds):
