@@ -2,10 +2,12 @@
 
 ``write_archives`` writes one archive per task into a shared folder and
 returns the index: file, offset, length, URL and payload digest per record.
-An attempt writes under a name of its own and the index is committed by
-Spark, so a lost executor leaves at most a file that no index row names.
-``read_records`` starts from index rows: it sorts the selected ones per file,
-coalesces neighbours into ranges of bounded size, and reads each range once.
+Each record is a gzip member of its own, as WARC archives are commonly kept,
+so any record can be read alone. An attempt writes under a name of its own
+and the index is committed by Spark, so a lost executor leaves at most a file
+that no index row names. ``read_records`` starts from index rows: it sorts the
+selected ones per file, coalesces neighbours into ranges of bounded size, deals
+the ranges over tasks by bytes, and reads each range once.
 
 Of records with equal payloads of at least ``least_bytes`` the one with the
 largest id is the response; the others become revisit records that name it.
@@ -20,8 +22,10 @@ empty index.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import itertools
+import math
 import uuid
 from collections.abc import Callable, Iterator
 from urllib.parse import quote
@@ -37,6 +41,7 @@ from repoloom.runtime import stage, stage_root
 CRLF = b"\r\n"
 END = b"\r\n\r\n"
 VERSION = b"WARC/1.1"
+GZIP_LEVEL = 3
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 INDEX_SCHEMA = "file string, offset long, length long, url string, payload_digest string"
@@ -47,13 +52,22 @@ def mark_revisits(pages: DataFrame, id_col: str, payload_col: str, least_bytes:
     """``id, url?, payload, refers_to``: refers_to is null for responses.
 
     Rows group by SHA-256 and length of the payload. The group's largest id is
-    pre-aggregated; large groups of copies split in the join.
+    pre-aggregated. Groups above a thousandth of all grouped rows, fewer than
+    a thousand by that, are broadcast; their rows and the ungrouped ones are
+    spread over all tasks in the join that the remaining groups need.
     """
     rows = pages.withColumn("_payload", F.encode(F.coalesce(F.col(payload_col), F.lit("")), "UTF-8"))
     rows = rows.withColumn("_key", F.when(F.octet_length("_payload") >= least_bytes, F.sha2("_payload", 256)))
-    groups = rows.filter("_key is not null").groupBy("_key").agg(F.max(id_col).alias("_last"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    return rows.join(groups, "_key", "left").withColumn(
-        "_refers", F.when(F.col(id_col) < F.col("_last"), F.col("_last"))).drop("_key", "_last", "_n")
+    counted = rows.filter("_key is not null").groupBy("_key").agg(F.max(id_col).alias("_last"), F.count(F.lit(1)).alias("_n"))
+    groups, found = stage(counted.filter("_n > 1"), "copies", n=F.sum("_n"))
+    hot = F.col("_n") * 1000 > F.lit(found["n"] or 0)
+    most = F.broadcast(groups.filter(hot).select("_key", F.col("_last").alias("_hot_last")))
+    rows = rows.join(most, "_key", "left").withColumn(
+        "_key", F.when(F.col("_key").isNull() | F.col("_hot_last").isNotNull(), F.concat(F.lit("#"), F.xxhash64(id_col, "_payload").cast("string")))
+        .otherwise(F.col("_key")))
+    last = F.coalesce("_hot_last", "_last")
+    return rows.join(groups.filter(~hot).select("_key", "_last"), "_key", "left").withColumn(
+        "_refers", F.when(F.col(id_col) < last, last)).drop("_key", "_last", "_hot_last")
 
 
 def _header(fields: list[tuple[str, object]]) -> bytes:
@@ -77,12 +91,12 @@ def encode_record(row_id: object, url: str | None, payload: bytes, refers_to: ob
         ("WARC-Refers-To", _name(refers_to) if revisit else None),
         ("Content-Type", "application/http; msgtype=response"), ("Content-Length", len(block)),
     ])
-    return head + block + END, sha
+    return gzip.compress(head + block + END, GZIP_LEVEL, mtime=0), sha
 
 
 def decode_record(data: bytes) -> tuple:
     """id, URL, type, referred id, bare hexadecimal digest, payload length and payload of one record."""
-    head, _, rest = data.partition(END)
+    head, _, rest = gzip.decompress(data).partition(END)
     fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
     block = rest[: int(fields["Content-Length"])]
     http, _, payload = block.partition(END)
@@ -105,8 +119,8 @@ def _writer(folder: str, date: str) -> Callable[[Iterator[pd.DataFrame]], Iterat
             return
         store, base = fs.FileSystem.from_uri(folder)
         store.create_dir(base, recursive=True)
-        name = f"{uuid.uuid4().hex}.warc"
-        with store.open_output_stream(f"{base}/{name}") as out:
+        name = f"{uuid.uuid4().hex}.warc.gz"
+        with store.open_output_stream(f"{base}/{name}", compression=None) as out:
             at = 0
             for batch in itertools.chain([first], batches):
                 rows = []
@@ -168,6 +182,13 @@ def _reader(keep_payload: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[p
     return read
 
 
-def read_records(spark: SparkSession, selected: DataFrame, gap: int = 1 << 16, most: int = 8 << 20, keep_payload: bool = True) -> DataFrame:
-    """The records that the index rows ``selected`` name, each range of bytes read once."""
-    return byte_ranges(selected, gap, most).mapInPandas(_reader(keep_payload), RECORD_SCHEMA)
+def read_records(
+    spark: SparkSession, selected: DataFrame, gap: int = 1 << 16, most: int = 8 << 20, keep_payload: bool = True, task_bytes: int = 64 << 20,
+) -> DataFrame:
+    """The records that the index rows ``selected`` name, each range of bytes read once, about ``task_bytes`` a task.
+
+    Index rows are small beside what they point to, so the ranges are dealt by the bytes to read.
+    """
+    total = selected.agg(F.sum("length")).first()[0] or 0
+    ranges = byte_ranges(selected, gap, most).repartition(max(1, math.ceil(total / task_bytes)), "file", "start")
+    return ranges.mapInPandas(_reader(keep_payload), RECORD_SCHEMA)
