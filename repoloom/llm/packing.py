@@ -52,6 +52,10 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        vocab, suffix = self.tokenizer.get_vocab(), getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.closes = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        if suffix:
+            self.closes[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
         self.known: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
 
@@ -63,13 +67,25 @@ class Encoder:
             ids = np.array(got.ids, dtype="<u4").tobytes()
             self.known.update(zip(part, (ids[a:b] for a, b in itertools.pairwise(cuts.tolist())), strict=True))
 
+    def _learn_letters(self, words: list[str]) -> None:
+        """Words of letters alone, one token run each: the ids that close a run part the words."""
+        for first in range(0, len(words), 256):
+            part = words[first : first + 256]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = (4 * np.flatnonzero(self.closes[ids]) + 4).tolist()
+            if len(ends) != len(part):  # some letter is none to the tokenizer
+                self._learn(part)
+                continue
+            raw = ids.tobytes()
+            self.known.update(zip(part, (raw[a:b] for a, b in itertools.pairwise([0, *ends])), strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         words = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         if len(self.known) > self.most:
             self.known, self.older = {"": b""}, self.known
         known, older = self.known, self.older
-        parts, composed = set(), []
+        parts, letters, composed = set(), set(), []
         for word in set().union(*words).difference(known):
             if word in older:
                 known[word] = older[word]
@@ -79,12 +95,14 @@ class Encoder:
                 # letters and the signs after them are separate tokens, and the tokenizer lowers letters one by one
                 low = core.lower() if max(core) < "\u0180" else core
                 composed.append((word, low, word[len(core) :]))
-                parts.update(composed[-1][1:])
+                letters.add(low)
+                parts.add(word[len(core) :])
             else:
                 parts.add(word)
-        for word in parts.intersection(older):
+        for word in (parts | letters).intersection(older):
             known[word] = older[word]
         self._learn(list(parts.difference(known)))
+        self._learn_letters(list(letters.difference(known)))
         for word, low, signs in composed:
             known[word] = known[low] + known[signs]
         get = known.__getitem__
