@@ -49,7 +49,7 @@ def folders_above(path: Column) -> Column:
 
 
 def glob_regex(pattern: str) -> str:
-    """Anchored Java regex of a glob: ``**`` spans folders, ``*`` and ``?`` do not."""
+    """Anchored Java regex of a glob: ``**`` spans folders, ``*``, ``?`` and ``[ab]`` do not."""
     out, i = "", 0
     while i < len(pattern):
         if pattern.startswith("**/", i):
@@ -60,6 +60,10 @@ def glob_regex(pattern: str) -> str:
             out, i = out + "[^/]*", i + 1
         elif pattern[i] == "?":
             out, i = out + "[^/]", i + 1
+        elif pattern[i] == "[" and (stop := pattern.find("]", i + 2)) > 0:
+            inner = pattern[i + 1 : stop]
+            negated = inner[0] == "!"
+            out, i = out + ("[^/" if negated else "[") + re.sub(r"([\\^\[&])", r"\\\1", inner[negated:]) + "]", stop + 1
         else:
             out, i = out + re.escape(pattern[i]), i + 1
     return f"^{out}$"
@@ -68,5 +72,8 @@ def glob_regex(pattern: str) -> str:
 def glob_regex_col(pattern: Column) -> Column:
     """As :func:`glob_regex` for a pattern column without ``**``."""
     quoted = F.regexp_replace(pattern, r"([\\.\[\]{}()+\-^$|])", r"\\$1")
-    stars = F.regexp_replace(quoted, r"\*+", "[^/]*")
+    # a closed bracket is a set of characters again, its ranges and a leading ! included
+    sets = F.regexp_replace(quoted, r"\\\[(!?)((?:[^/\]\\]|\\[^\]])+)\\\]", "[$1$2]")
+    sets = F.regexp_replace(F.regexp_replace(sets, r"(\[[^\]]*?\w)\\-(?=\w)", "$1-"), r"(?<!\\)\[!", "[^/")
+    stars = F.regexp_replace(sets, r"\*+", "[^/]*")
     return F.concat(F.lit("^"), F.regexp_replace(stars, r"\?", "[^/]"), F.lit("$"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, SparkSession, functions as F
 
 NEWLINE = r"\r\n|\r|\n"
 
@@ -21,6 +21,13 @@ def line_count(content: Column) -> Column:
     return F.size(lines(content))
 
 
+def json_variant(text: Column) -> Column:
+    """Parsed JSON, null for broken text. Of a key given twice the last value counts:
+    the session setting for that is switched on, as the parser refuses such objects otherwise."""
+    SparkSession.active().conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    return F.try_parse_json(text)
+
+
 def first_group(text: Column, pattern: str, group: int = 1) -> Column:
     """First match of ``pattern``, null when there is none or it is empty."""
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from repoloom.functions.kinds import PROTOCOLS, SERVICE_CATEGORIES, one_of
-from repoloom.functions.text import strip
+from repoloom.functions.text import json_variant, strip
 from repoloom.operators.citations import json_type
 from repoloom.operators.graph import EDGE_COLUMNS, simple_graph
 from repoloom.runtime import stage
@@ -150,7 +150,7 @@ def ingest_analysis_data(analyses: DataFrame) -> DataFrame:
     """(repo, component, result STRUCT): the analysis-data block with defaults
     for missing fields; analyses without a JSON object there are left out."""
     body = strip(F.regexp_extract("markdown", ANALYSIS_BLOCK, 1))
-    doc = F.try_parse_json(body)
+    doc = json_variant(body)
     rows = analyses.select("repo", "component", F.when(json_type(doc) == "OBJECT", F.from_json(body, RESULT_SCHEMA)).alias("r")).filter("r is not null")
     filled = []
     for name, kind in RESULT_FIELDS.items():

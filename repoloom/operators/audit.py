@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from repoloom.functions.text import json_variant
 from repoloom.functions.running import running_totals
 
 # Evidence types by expected category.
@@ -52,8 +53,8 @@ def extract_json(answers: DataFrame) -> DataFrame:
     ``parse_failed`` when neither parses. The slow scan runs only for answers
     without a usable fence.
     """
-    fenced = F.try_parse_json(F.nullif(F.regexp_extract("raw", FENCED, 1), F.lit("")))
-    doc = F.when(fenced.isNotNull(), fenced).otherwise(F.try_parse_json(_first_balanced(F.col("raw"))))
+    fenced = json_variant(F.nullif(F.regexp_extract("raw", FENCED, 1), F.lit("")))
+    doc = F.when(fenced.isNotNull(), fenced).otherwise(json_variant(_first_balanced(F.col("raw"))))
     return answers.select("repo", doc.alias("doc")).select(
         "repo", F.when(F.col("doc").isNull(), "parse_failed").otherwise("ok").alias("status"), "doc"
     )
@@ -158,10 +159,11 @@ def findings(mismatches: DataFrame, discrepancies: DataFrame, languages: DataFra
     return kinds.unionByName(edges)
 
 
-def exemplars(found: DataFrame, k: int = 3, order: list[str] | None = None) -> DataFrame:
-    """The first ``k`` findings per (language, bucket)."""
+def exemplars(found: DataFrame, k: int | None = None, order: list[str] | None = None) -> DataFrame:
+    """Findings ranked per (language, bucket); the first ``k`` if given."""
     w = Window.partitionBy("language", "bucket").orderBy(*(order or ["repo", "item"]))
-    return found.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= k)
+    ranked = found.withColumn("pos", F.row_number().over(w))
+    return ranked if k is None else ranked.filter(F.col("pos") <= k)
 
 
 def audit_totals(audits: DataFrame, discrepancies: DataFrame, languages: DataFrame) -> DataFrame:

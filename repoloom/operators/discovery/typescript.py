@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from repoloom.functions.text import json_variant
 from repoloom.operators.citations import json_type
 from repoloom.operators.discovery.common import (
     Inventory, component_rows, external_rows, flag, folder_name, folders_holding, folders_with, internal_rows, manifests, workspace_members,
@@ -31,7 +32,7 @@ def truthy(raw: Column) -> Column:
 
 def parsed(found: DataFrame) -> DataFrame:
     """Manifest fields; files that are no JSON object are left out."""
-    good = found.filter(json_type(F.try_parse_json("content")) == "OBJECT")
+    good = found.filter(json_type(json_variant(F.col("content"))) == "OBJECT")
     raw = good.select("repo", "manifest_path", "dir", F.json_tuple("content", *TEXTS, *MAPS).alias(*TEXTS, *[f"_{m}" for m in MAPS]))
     empty = F.create_map().cast("map<string,string>")
     as_map = lambda c: F.coalesce(F.from_json(c, "map<string,string>"), empty)

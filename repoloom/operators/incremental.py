@@ -64,10 +64,10 @@ def diff_plan(repos: DataFrame, changed: DataFrame, components: DataFrame, polic
     )
 
 
-def change_worklist(changed: DataFrame, components: DataFrame, files_per_component: int = 10, unmapped_files: int = 20) -> DataFrame:
+def change_worklist(changed: DataFrame, components: DataFrame, files_per_component: int | None = None, unmapped_files: int | None = None) -> DataFrame:
     """(repo, section, component, pos, path): each affected component with its
-    first changed files (all files below its root count), and the first files
-    outside known components."""
+    changed files (all files below its root count), and the files outside known
+    components, both ranked by path; the limits, if given, keep the first ones."""
     affected, unmapped = map_files(changed, components)
     touched = _clean_roots(components).select("repo", F.col("name").alias("component"), "root").join(affected, ["repo", "component"], "left_semi")
     below = (
@@ -76,9 +76,11 @@ def change_worklist(changed: DataFrame, components: DataFrame, files_per_compone
     )
     path_order = segments(F.col("path"))
     first = below.withColumn("pos", F.row_number().over(Window.partitionBy("repo", "component").orderBy(path_order)))
-    first = first.filter(F.col("pos") <= files_per_component)
+    if files_per_component is not None:
+        first = first.filter(F.col("pos") <= files_per_component)
     loose = unmapped.withColumn("pos", F.row_number().over(Window.partitionBy("repo").orderBy(path_order)))
-    loose = loose.filter(F.col("pos") <= unmapped_files)
+    if unmapped_files is not None:
+        loose = loose.filter(F.col("pos") <= unmapped_files)
     return first.select("repo", F.lit("changed").alias("section"), "component", "pos", "path").unionByName(
         loose.select("repo", F.lit("unmapped").alias("section"), F.lit(None).cast("string").alias("component"), "pos", "path")
     )

@@ -428,7 +428,7 @@ select coalesce(l.language, 'unknown') as language, concat('kind:', deterministi
 union all select coalesce(l.language, 'unknown'), concat('edge:', category), m.repo, concat(source, ' -> ', target) from ({_DISCREPANT}) m left join ({_LANGS}) l on l.repo = m.repo"""
 
 
-@query("aud8_exemplars", oracle(f"select * from (select *, row_number() over (partition by language, bucket order by repo, item) as pos from ({_FOUND}) f) x where pos <= 3",
+@query("aud8_exemplars", oracle(f"select * from (select *, row_number() over (partition by language, bucket order by repo, item) as pos from ({_FOUND}) f) x",
     "e_components", "e_audit_kinds", "e_edges", "e_audit_edges"))
 def exemplars(spark, sf_dir):
     return audit.exemplars(audit.findings(_mismatches(spark), _discrepancies(spark), spark.sql(_LANGS)))

@@ -398,11 +398,11 @@ def plan(spark, sf_dir):
 with o as ({_OWNED.format(pick="arg_min", key="c.ordinal")}), a as (select distinct repo, component from o where component is not null),
 b as (select distinct f.repo, a.component, f.path from a join ({_ROOTS}) c on c.repo = a.repo and c.name = a.component
   join e_files f on f.repo = c.repo and (f.path = c.root_path or starts_with(f.path, c.root_path || '/')))
-select repo, 'changed' as section, component, path, pos from (select *, row_number() over (partition by repo, component order by string_split(path, '/')) as pos from b) x where pos <= 2
-union all select repo, 'unmapped', null, path, pos from (select *, row_number() over (partition by repo order by string_split(path, '/')) as pos from o where component is null) y where pos <= 3""",
+select repo, 'changed' as section, component, path, pos from (select *, row_number() over (partition by repo, component order by string_split(path, '/')) as pos from b) x
+union all select repo, 'unmapped', null, path, pos from (select *, row_number() over (partition by repo order by string_split(path, '/')) as pos from o where component is null) y""",
     "e_files", "e_roots"))
 def worklist(spark, sf_dir):
-    return incremental.change_worklist(view(spark, "e_files"), spark.sql(_ROOTS), files_per_component=2, unmapped_files=3)
+    return incremental.change_worklist(view(spark, "e_files"), spark.sql(_ROOTS))
 
 
 @query("dif4_affected_dependents", recursive(

@@ -90,20 +90,19 @@ from (select repo, path, string_split_regex(content, '\\r\\n|\\r|\\n') as parts
 
 
 @query("src6_read_lines", oracle(
-    f"select repo, path, cast(i as int) as line_no, case when length(parts[i]) > 2000 then concat(left(parts[i], 2000), '... (truncated)') else parts[i] end as line, "
-    f"cast(len(parts) as int) as total_lines, case when len(parts) > 4 then concat('(Showing lines 2-4 of ', len(parts), ' total lines)') end as note "
-    f"from (select *, unnest(range(2, least(len(parts), 4) + 1)) as i from ({_LINES}) l) r", "e_docs"))
+    f"select repo, path, cast(i as int) as line_no, parts[i] as line, "
+    f"cast(len(parts) as int) as total_lines, cast(null as varchar) as note "
+    f"from (select *, unnest(range(1, len(parts) + 1)) as i from ({_LINES}) l) r", "e_docs"))
 def read(spark, sf_dir):
-    return files_.read_lines(view(spark, "e_docs"), offset=2, limit=3)
+    return files_.read_lines(view(spark, "e_docs"))
 
 
 _GREP = r"[A-Za-z0-9._]+@[a-z]+\.|License"
 
 
 @query("src7_grep", oracle(
-    f"select repo, path, line_no, line from (select *, row_number() over (partition by repo order by string_split(path, '/'), line_no) as n "
-    f"from (select repo, path, cast(i as int) as line_no, parts[i] as line from (select *, unnest(range(1, len(parts) + 1)) as i from ({_LINES}) l) r) x "
-    f"where regexp_matches(line, '{_GREP}')) y where n <= 500", "e_docs"))
+    f"select repo, path, line_no, line from (select repo, path, cast(i as int) as line_no, parts[i] as line from (select *, unnest(range(1, len(parts) + 1)) as i from ({_LINES}) l) r) x "
+    f"where regexp_matches(line, '{_GREP}')", "e_docs"))
 def grep(spark, sf_dir):
     return files_.grep(view(spark, "e_docs"), _GREP, include="*.md")
 

@@ -37,7 +37,6 @@ EXCLUDES = {
     ],
     "swift": ["**/.build/**", "**/.git/**", "**/Pods/**", "**/Carthage/**", "**/DerivedData/**"],
 }
-MAX_LINE = 2000
 
 
 def scan_repos(spark: SparkSession, root: str, path_glob: str | None = None) -> DataFrame:
@@ -93,10 +92,10 @@ def match_manifests(files: DataFrame) -> DataFrame:
     return files.withColumn("_m", found).filter("_m is not null").select(*files.columns, "_m.*")
 
 
-def glob_files(files: DataFrame, pattern: str, prefix: str | None = None, cap: int | None = 500) -> DataFrame:
-    """The first ``cap`` matching paths per repo in path order: (repo, path, pos).
+def glob_files(files: DataFrame, pattern: str, prefix: str | None = None, cap: int | None = None) -> DataFrame:
+    """Matching paths per repo with their place in path order: (repo, path, pos).
 
-    Pair it with :func:`glob_overflow` for the number left out.
+    ``cap`` keeps the first ones; :func:`glob_overflow` counts what it leaves out.
     """
     hit = _globbed(files, pattern, prefix)
     order = Window.partitionBy("repo").orderBy(segments(F.col("path")))
@@ -135,15 +134,18 @@ def exclude_vendored(files: DataFrame, candidates: DataFrame | None = None) -> D
     return rows.join(vendored, ["repo", "path"], "left_anti")
 
 
-def read_lines(files: DataFrame, offset: int = 1, limit: int = 2000) -> DataFrame:
-    """Numbered lines [offset, offset + limit) of every file.
+def read_lines(files: DataFrame, offset: int = 1, limit: int | None = None, max_line: int | None = None) -> DataFrame:
+    """Numbered lines [offset, offset + limit) of every file; without ``limit`` up to the end.
 
-    (repo, path, line_no, line, total_lines, note). Lines over 2000 characters
+    (repo, path, line_no, line, total_lines, note). Lines over ``max_line`` characters
     are shortened as a viewer would; ``note`` is set when lines follow the window.
     """
     total = line_count(F.col("content"))
-    last = offset - 1 + limit
-    window = F.slice(lines(F.col("content")), offset, limit)
+    last = 2**31 - 1 if limit is None else offset - 1 + limit
+    window = F.slice(lines(F.col("content")), offset, last - offset + 1)
+    line = F.col("_l")
+    if max_line is not None:
+        line = F.when(F.length("_l") > max_line, F.concat(F.substring("_l", 1, max_line), F.lit("... (truncated)"))).otherwise(line)
     note = F.when(
         total > last,
         F.concat(F.lit(f"(Showing lines {offset}-{last} of "), total.cast("string"), F.lit(" total lines)")),
@@ -151,7 +153,7 @@ def read_lines(files: DataFrame, offset: int = 1, limit: int = 2000) -> DataFram
     rows = files.select("repo", "path", total.alias("total_lines"), note.alias("note"), F.posexplode(window).alias("_i", "_l"))
     return rows.select(
         "repo", "path", (F.col("_i") + offset).alias("line_no"),
-        F.when(F.length("_l") > MAX_LINE, F.concat(F.substring("_l", 1, MAX_LINE), F.lit("... (truncated)"))).otherwise(F.col("_l")).alias("line"),
+        line.alias("line"),
         "total_lines", "note",
     )
 
@@ -168,8 +170,8 @@ def matching_lines(files: DataFrame, pattern: str, include: str | None = None) -
     return rows.filter(F.rlike("line", F.lit(pattern))).select("repo", "path", (F.col("_i") + 1).alias("line_no"), "line")
 
 
-def grep(files: DataFrame, pattern: str, include: str | None = None, cap: int | None = 500) -> DataFrame:
-    """The first ``cap`` matching lines per repo, in path and line order."""
+def grep(files: DataFrame, pattern: str, include: str | None = None, cap: int | None = None) -> DataFrame:
+    """All matching lines, to be sorted by path and line; with ``cap`` the first ones per repo in that order."""
     hits = matching_lines(files, pattern, include)
     if cap is None:
         return hits

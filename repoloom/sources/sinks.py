@@ -17,7 +17,6 @@ from repoloom.operators.citations import source_url
 from repoloom.operators.graph import Graph, graph_stats, simple_graph, typed_edges
 from repoloom.operators.inventory import inventory_counts
 
-MAX_COMPONENTS = 100
 SHOWN_DEPS = 5
 DEP_TYPE = "array<struct<name:string,version:string,category:string,purpose:string>>"
 
@@ -132,16 +131,17 @@ def analysis_order(components: DataFrame, levels: DataFrame) -> tuple[DataFrame,
     return order, totals
 
 
-def discovery_summary(repos: DataFrame, components: DataFrame, edges: DataFrame, levels: DataFrame, max_components: int = MAX_COMPONENTS) -> DataFrame:
-    """(repo, status, component_count, edge_count, depth_levels)."""
+def discovery_summary(repos: DataFrame, components: DataFrame, edges: DataFrame, levels: DataFrame, max_components: int | None = None) -> DataFrame:
+    """(repo, status, component_count, edge_count, depth_levels); above ``max_components``, if given, the status says so."""
     count = lambda df, name: df.groupBy("repo").agg(F.count("*").alias(name))
     depth = levels.groupBy("repo").agg((F.max("depth") + 1).alias("depth_levels"))
     joined = repos.select("repo").distinct()
     for part in (count(components, "component_count"), count(edges, "edge_count"), depth):
         joined = joined.join(part, "repo", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    many = F.lit(False) if max_components is None else zero("component_count") > max_components
     return joined.select(
-        "repo", F.when(zero("component_count") > max_components, "too_many_components").otherwise("ok").alias("status"),
+        "repo", F.when(many, "too_many_components").otherwise("ok").alias("status"),
         zero("component_count").alias("component_count"), zero("edge_count").alias("edge_count"), zero("depth_levels").alias("depth_levels"),
     )
 

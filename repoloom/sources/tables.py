@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
+from repoloom.functions.text import json_variant
 from repoloom.functions.kinds import parse_kind, slugify
 
 TRACE_SCHEMA = T.StructType([
@@ -33,7 +34,7 @@ def components_from_json(documents: DataFrame) -> DataFrame:
     A document is an object with a ``components`` array or a bare array;
     anything else, or an empty one, has no rows. Missing fields take defaults.
     """
-    doc = F.try_parse_json("content")
+    doc = json_variant(F.col("content"))
     items = F.coalesce(
         F.try_variant_get(doc, "$.components", "array<variant>"), F.try_variant_get(doc, "$", "array<variant>")
     )

@@ -137,7 +137,7 @@ def test_files(spark, tree, tmp_path):
     assert {(r.path, r.ecosystem) for r in fs.match_manifests(files).collect()} >= {("a/go.mod", "go"), ("foundry.toml", "solidity")}
     assert paths(fs.glob_files(files, "**/*.py")) == {"a/env/x.py", "environment/y.py"} and paths(fs.glob_files(files, "*/x.py", prefix="a/")) == {"a/env/x.py"}
     assert [(r.line_no, r.line) for r in fs.grep(files, r"^print", include="*.py").collect()] == [(2, "print(1)")]
-    window = {(r.path, r.line_no): (len(r.line), r.note) for r in fs.read_lines(files, 1, 2).collect()}
+    window = {(r.path, r.line_no): (len(r.line), r.note) for r in fs.read_lines(files, 1, 2, max_line=2000).collect()}
     assert window[("long.txt", 1)] == (2015, "(Showing lines 1-2 of 3 total lines)") and window[("a/env/x.py", 2)] == (8, None)
     root = tmp_path / "repos" / "one" / "sub"
     root.mkdir(parents=True)
@@ -179,3 +179,28 @@ def test_registered_queries(spark):
         columns = [d[0] for d in cur.description]
         assert sorted(columns) == sorted(df.columns)
         assert rows_of(df.columns, df.collect()) == rows_of(columns, cur.fetchall()), name
+
+
+def test_reading_keeps_whole_lines_and_all_hits(spark):
+    files = spark.createDataFrame([("r", f"d/f{i}.txt", "hit\n" + "x" * 3000 + "\nhit") for i in range(600)], "repo string, path string, content string")
+    assert fs.grep(files, "^hit").count() == 1200 and fs.glob_files(files, "**/*.txt").agg({"pos": "max"}).first()[0] == 600
+    read = fs.read_lines(files)
+    assert read.count() == 1800 and read.filter("length(line) = 3000 and note is null").count() == 600
+
+
+def test_bracket_globs(spark):
+    from repoloom.functions.paths import glob_regex, glob_regex_col
+
+    cases = [("pk[ab]/*", "pka/x", True), ("pk[ab]/*", "pkc/x", False), ("v[0-9]", "v7", True), ("v[0-9]", "v-", False), ("v[!0-9]", "vx", True),
+             ("v[!0-9]", "v7", False), ("a[b", "a[b", True), ("a.b", "axb", False), ("x[.]y", "x.y", True), ("x[.]y", "xzy", False)]
+    rows = spark.createDataFrame([(p, t, want, glob_regex(p)) for p, t, want in cases], "pattern string, path string, want boolean, plain string")
+    rows = rows.withColumn("got", F.rlike("path", glob_regex_col(F.col("pattern")))).withColumn("other", F.rlike("path", F.col("plain")))
+    assert [r for r in rows.collect() if r.got != r.want or r.other != r.want] == []
+
+
+def test_duplicate_json_keys_keep_the_last(spark):
+    from repoloom.functions.text import json_variant
+
+    rows = spark.createDataFrame([('{"name": "a", "name": "b"}',), ("{broken",), (None,)], "content string")
+    got = rows.select(F.try_variant_get(json_variant(F.col("content")), "$.name", "string").alias("n")).collect()
+    assert [r.n for r in got] == ["b", None, None]
