@@ -19,7 +19,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.train(docs, labels.filter(~quality.held_out(F.col("doc_id"))))
-    return docs.withColumn("_score", quality.score(docs, model)).filter("_score >= 0.5").drop("_score")
+    return docs.filter(quality.score(docs, model) >= 0.5)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

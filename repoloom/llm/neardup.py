@@ -242,4 +242,4 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, one document per group, with all their columns."""
     out = near_groups(docs, id_col, text_col).filter("not kept").select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(out, F.col(id_col) == F.col("_gone"), "left_anti")
+    return docs.join(out, docs[id_col] == out["_gone"], "left_anti")

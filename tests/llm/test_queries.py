@@ -2,10 +2,97 @@
 
 from __future__ import annotations
 
+import collections
+import re
+
 import corpus_pipeline
 from repoloom.llm import queries
 
 SF = "/root/testdata/sf0.001"
+STAGE = dict(corpus_pipeline.STAGES)
+
+
+def lowered(text):
+    return re.sub("[A-Z]+", lambda m: m[0].lower(), text or "")
+
+
+def texts(df):
+    return {r.doc_id: r.text for r in df.select("doc_id", "text").collect()}
+
+
+def near_components(docs):
+    """Smallest id reachable over links of at least 0.75, by comparing every pair that shares a shingle."""
+    words = {i: re.findall(r"[^\x20\x09-\x0D]+", lowered(t)) for i, t in docs.items()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} for i, w in words.items() if w}
+    holders = collections.defaultdict(list)
+    for i, own in sets.items():
+        for s in own:
+            holders[s].append(i)
+    root = {i: i for i in docs}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, own in sets.items():
+        shared = collections.Counter(j for s in own for j in holders[s] if j < i)
+        for j, n in shared.items():
+            if 100 * n >= 75 * (len(own) + len(sets[j]) - n):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return {i: find(i) for i in docs}
+
+
+def hit_documents(docs, items):
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered(t))
+    windows = collections.defaultdict(set)
+    for w in map(words, items):
+        for k in range(max(len(w) - 9, 1) if w else 0):
+            windows[min(len(w), 10)].add(tuple(w[k : k + 10]))
+    hit = set()
+    for i, t in docs.items():
+        w = words(t)
+        if any(tuple(w[k : k + n]) in found for n, found in windows.items() for k in range(len(w) - n + 1)):
+            hit.add(i)
+    return hit
+
+
+def test_filter_stages_equal_plain_python(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    every = texts(docs)
+    first = {}
+    for i in sorted(every):
+        first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", every[i] or ""), i)
+    assert set(texts(STAGE["exact dedup"](spark, docs, SF))) == set(first.values())
+    roots = near_components(every)
+    assert set(texts(STAGE["near dedup"](spark, docs, SF))) == set(roots.values())
+    items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    assert set(texts(STAGE["benchmark decontamination"](spark, docs, SF))) == set(every) - hit_documents(every, items)
+    got = {r.doc_id: r.component_id for r in queries.RUNS["op6_minhash_near_dedup"](spark, SF).collect()}
+    assert got == roots
+
+
+def test_stages_on_awkward_rows(spark):
+    """Nulls in any column, empty and blank texts, a very long text, repeated rows, clashing names, no rows."""
+    data = [
+        (1, "a b c d e f", "en", "s", 1, "x", 0.1, 7, 1, "q"), (2, None, None, None, None, None, None, None, None, None), (3, "", "en", "s", 0, "x", 0.2, 7, 1, "q"), (4, " \n\t", "en", "s", 3, "x", 0.3, 7, 1, "q"),
+        (5, " ".join(f"word{k % 5003}" for k in range(60_000)), "en", "s", 9, "x", 0.4, 7, 1, "q"), (6, "a b c d e f", "de", "t", 1, "y", 0.5, 8, 2, "r"), (6, "a b c d e f", "de", "t", 1, "y", 0.5, 8, 2, "r"),
+        (None, "without an id", "en", "s", 1, "x", 0.6, 7, 1, "q"),
+    ]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long, digest string, _score double, _gone long, id long, items string")
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        left = step(spark, docs, SF)
+        assert left.columns == docs.columns, name
+        kept = collections.Counter(tuple(r) for r in left.collect())
+        assert not kept - collections.Counter(data), name
+        assert step(spark, docs.limit(0), SF).count() == 0, name
+    name, pack = corpus_pipeline.STAGES[-1]
+    packed = pack(spark, docs, SF).collect()
+    assert collections.Counter(r.doc_id for r in packed if r.piece == 0) == collections.Counter(d[0] for d in data), name
+    assert pack(spark, docs.limit(0), SF).count() == 0
+    assert sorted((r.doc_id or 0 for r in STAGE["exact dedup"](spark, docs, SF).collect())) == [0, 1, 2, 4, 5]
+    assert sorted((r.doc_id or 0 for r in STAGE["near dedup"](spark, docs, SF).collect())) == [0, 1, 2, 3, 4, 5]
 
 
 def test_pipeline_stages_only_drop_rows(spark):
