@@ -24,11 +24,6 @@ def join_path(parent: Column, child: Column) -> Column:
     return F.when(parent == "", child).otherwise(F.concat(parent, F.lit("/"), child))
 
 
-def root_or_dot(folder: Column) -> Column:
-    """Components at the repository root carry '.' as their root path."""
-    return F.when(folder == "", F.lit(".")).otherwise(folder)
-
-
 def ancestors(path: Column, with_self: bool = True) -> Column:
     """All prefixes of ``path`` ending at a segment boundary, shortest first.
 
@@ -43,11 +38,6 @@ def ancestors(path: Column, with_self: bool = True) -> Column:
     )
 
 
-def folders_above(path: Column) -> Column:
-    """The folders that contain ``path``, the repository root '' included."""
-    return F.concat(F.array(F.lit("")), ancestors(path, with_self=False))
-
-
 def glob_regex(pattern: str) -> str:
     """Anchored Java regex of a glob: ``**`` spans folders, ``*``, ``?`` and ``[ab]`` do not."""
     out, i = "", 0

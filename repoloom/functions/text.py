@@ -28,6 +28,23 @@ def json_variant(text: Column) -> Column:
     return F.try_parse_json(text)
 
 
+# Names of JSON types in messages.
+JSON_TYPE_NAMES = {
+    "OBJECT": "dict", "ARRAY": "list", "STRING": "str", "BIGINT": "int", "DECIMAL": "float", "DOUBLE": "float",
+    "BOOLEAN": "bool", "VOID": "NoneType",
+}
+
+
+def json_type(value: Column) -> Column:
+    """OBJECT, ARRAY, STRING, BIGINT, DECIMAL, DOUBLE, BOOLEAN or VOID."""
+    return F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
+
+
+def json_type_name(kind: Column) -> Column:
+    names = F.create_map(*[F.lit(x) for kv in JSON_TYPE_NAMES.items() for x in kv])
+    return F.coalesce(F.try_element_at(names, kind), kind)
+
+
 def first_group(text: Column, pattern: str, group: int = 1) -> Column:
     """First match of ``pattern``, null when there is none or it is empty."""
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))

@@ -9,10 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from repoloom.functions.kinds import PROTOCOLS, SERVICE_CATEGORIES, one_of
-from repoloom.functions.text import json_variant, strip
-from repoloom.operators.citations import json_type
+from repoloom.functions.text import json_type, json_variant, strip
 from repoloom.operators.graph import EDGE_COLUMNS, simple_graph
-from repoloom.runtime import stage
+from repoloom.runtime import StagedLevels, stage
 
 # Summary headings, limits and the text without a summary.
 SUMMARY_HEADINGS = ["## Summary", "## Overview"]
@@ -109,22 +108,21 @@ def fold_upstream(
     ``fn`` gives the own value: a column expression over the component's and
     the combined columns, or a Python function of such a row (text values). All repositories
     at a depth go together. Dependencies on the same level (cycles) are not seen.
+
+    A finished level hands its values along its edges to the levels that need
+    them, in a table laid out by level; so a level reads its own rows, its own
+    edges and what was handed to it, whatever came before.
     """
-    work, seen = stage(
-        components.join(levels.select("repo", "name", "depth"), ["repo", "name"]), "fold", top=F.max("depth")
-    )
-    pairs, _ = stage(
-        simple_graph(edges).join(levels.select("repo", F.col("name").alias("source"), "depth"), ["repo", "source"]), "fold-pairs"
-    )
+    place = levels.select("repo", "name", "depth")
+    work = StagedLevels(components.join(place, ["repo", "name"]), "depth", "fold")
+    of = lambda end, at: place.select("repo", F.col("name").alias(end), F.col("depth").alias(at))
+    arcs = simple_graph(edges).join(of("source", "depth"), ["repo", "source"]).join(of("target", "_from"), ["repo", "target"])
+    pairs = StagedLevels(arcs.filter("_from < depth"), "_from", "fold-pairs")
+    handed = StagedLevels(None, "depth", "fold-handed", like=f"repo string, name string, value {value_type}, depth int", spark=components.sparkSession)
     done: list[DataFrame] = []
-    for depth in range((seen["top"] if seen["top"] is not None else -1) + 1):
-        rows = work.filter(F.col("depth") == depth)
-        if done:
-            values = reduce(DataFrame.unionByName, done).select("repo", F.col("name").alias("target"), "value")
-            up = pairs.filter(F.col("depth") == depth).join(values, ["repo", "target"]).groupBy("repo", F.col("source").alias("name")).agg(*combine)
-        else:
-            empty = work.limit(0).select("repo", F.col("name").alias("_n"), F.lit(None).cast(value_type).alias("value"))
-            up = empty.groupBy("repo", F.col("_n").alias("name")).agg(*combine)
+    for depth in range((work.top if work.top is not None else -1) + 1):
+        rows = work.level(depth)
+        up = handed.level(depth).groupBy("repo", "name").agg(*combine)
         rows = rows.join(up, ["repo", "name"], "left")
         if isinstance(fn, Column):
             out = rows.select("repo", "name", fn.cast(value_type).alias("value"))
@@ -133,8 +131,11 @@ def fold_upstream(
             out = rows.mapInPandas(row_function(fn, columns), "repo string, name string, value string")
         out, _ = stage(out, f"fold-{depth}")
         done.append(out.withColumn("depth", F.lit(depth)))
+        if depth < work.top:
+            sent = pairs.level(depth).join(out.withColumnRenamed("name", "target"), ["repo", "target"])
+            handed.add(sent.select("repo", F.col("source").alias("name"), "value", F.col("depth").cast("int").alias("depth")))
     if not done:
-        return work.select("repo", "name", "depth", F.lit(None).cast(value_type).alias("value"))
+        return components.limit(0).select("repo", "name", F.lit(0).alias("depth"), F.lit(None).cast(value_type).alias("value"))
     return reduce(DataFrame.unionByName, done).select("repo", "name", "depth", "value")
 
 
@@ -159,19 +160,18 @@ def ingest_analysis_data(analyses: DataFrame) -> DataFrame:
     return rows.select("repo", "component", F.struct(*filled).alias("result"))
 
 
-# Edge type per interaction type; anything else is a call.
-INTERACTION_TYPES = {"calls": "calls", "reads_from": "reads_from", "writes_to": "writes_to", "integrates_with": "integrates_with"}
+# Interactions with an edge type of their name; anything else is a call.
+INTERACTION_TYPES = ["calls", "reads_from", "writes_to", "integrates_with"]
 
 
 def runtime_edges(results: DataFrame) -> DataFrame:
     """Edges found by analysis: interactions between components and integrations
     with external services, with confidence below 1."""
     talk = results.select("repo", F.col("component").alias("source"), F.explode("result.component_interactions").alias("i"))
-    named = F.create_map(*[F.lit(x) for kv in INTERACTION_TYPES.items() for x in kv])
     text = lambda c: F.coalesce(c, F.lit(""))
     calls = talk.select(
         "repo", "source", F.col("i.target").alias("target"),
-        F.coalesce(F.try_element_at(named, F.lower(text(F.col("i.type")))), F.lit("calls")).alias("edge_type"),
+        one_of(text(F.col("i.type")), INTERACTION_TYPES, "calls").alias("edge_type"),
         F.when(text(F.col("i.protocol")) != "", one_of(F.col("i.protocol"), PROTOCOLS, "unknown")).alias("protocol"),
         text(F.col("i.description")).alias("description"), F.lit(0.8).alias("confidence"),
     )

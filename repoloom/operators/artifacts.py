@@ -45,11 +45,6 @@ def next_manifest(previous: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
-def manifest_totals(inventory: DataFrame) -> DataFrame:
-    """(service, category, files, bytes)."""
-    return inventory.groupBy("service", "category").agg(F.count("*").alias("files"), F.sum("size_bytes").alias("bytes"))
-
-
 def compare_inventory(before: DataFrame, after: DataFrame) -> DataFrame:
     """(service, path, change): added, removed, changed or same, by checksum."""
     old = before.select("service", "path", F.col("sha256").alias("_a"))

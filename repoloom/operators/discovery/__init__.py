@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F
 
 from repoloom.functions.running import running_totals
+from repoloom.functions.text import json_type, json_type_name, json_variant
 from repoloom.operators.discovery import go, python, rust, solidity, swift, typescript
-from repoloom.operators.discovery.common import Inventory, merge
+from repoloom.operators.discovery.common import Inventory, manifests, merge
 from repoloom.operators.inventory import dedupe_components, resolve_internal_deps
 from repoloom.runtime import stage
 from repoloom.sources import files as file_rules
@@ -66,3 +67,34 @@ def discover(files: DataFrame, ecosystems: list[str] | None = None, mode: str =
         metadata = raw.metadata.join(owner, ["repo", "ckey"]).select("repo", "component", "key", "value")
     resolved = resolve_internal_deps(components, internal).drop("ckey")
     return Inventory(components.drop("ckey"), resolved, external, metadata)
+
+
+def manifest_errors(files: DataFrame, mode: str = "segment") -> DataFrame:
+    """(repo, path, error): JSON manifests that discovery has to leave out."""
+    found = manifests(files, typescript.FILE, mode)
+    kind = json_type(json_variant(F.col("content")))
+    error = F.when(kind.isNull(), "Invalid JSON").when(kind != "OBJECT", F.concat(F.lit("must be a JSON object, got "), json_type_name(kind)))
+    return found.select("repo", F.col("manifest_path").alias("path"), error.alias("error")).filter("error is not null")
+
+
+def discover_corpus(repos: DataFrame, files: DataFrame, mode: str = "segment") -> tuple[Inventory, DataFrame]:
+    """(inventory, outcome) of all ``repos``, whatever happens to single ones.
+
+    Outcome is (repo, status, error): ``clone_failed`` without any file,
+    ``discovery_failed`` where unreadable manifests leave no component, else
+    ``ok``; the error names the first unreadable manifest, also of a
+    repository that is otherwise fine.
+    """
+    inventory = discover(files, mode=mode)
+    bad = manifest_errors(files, mode).groupBy("repo").agg(
+        F.min_by(F.concat("path", F.lit(": "), "error"), "path").alias("error"))
+    there = files.select("repo").distinct().withColumn("_there", F.lit(True))
+    has = inventory.components.select("repo").distinct().withColumn("_has", F.lit(True))
+    joined = repos.select("repo").distinct()
+    for part in (there, has, bad):
+        joined = joined.join(part, "repo", "left")
+    status = (
+        F.when(F.col("_there").isNull(), "clone_failed")
+        .when(F.col("_has").isNull() & F.col("error").isNotNull(), "discovery_failed").otherwise("ok")
+    )
+    return inventory, joined.select("repo", status.alias("status"), "error")

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from repoloom.functions.text import json_variant
-from repoloom.operators.citations import json_type
+from repoloom.functions.text import json_type, json_variant
 from repoloom.operators.discovery.common import (
     Inventory, component_rows, external_rows, flag, folder_name, folders_holding, folders_with, internal_rows, manifests, workspace_members,
 )

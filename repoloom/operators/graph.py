@@ -253,9 +253,11 @@ def _cycles(pairs: DataFrame) -> DataFrame:
 # --- cycles and depth --------------------------------------------------------
 
 
-def _inner_pairs(components: DataFrame, edges: DataFrame) -> DataFrame:
-    """Distinct depends_on pairs between known components, self-loops left out."""
-    pairs = simple_graph(edges).filter("source <> target")
+def _inner_pairs(components: DataFrame, edges: DataFrame, loops: bool = False) -> DataFrame:
+    """Distinct depends_on pairs between known components, self-loops only if asked for."""
+    pairs = simple_graph(edges)
+    if not loops:
+        pairs = pairs.filter("source <> target")
     for end in ("source", "target"):
         pairs = pairs.join(components.select("repo", F.col("name").alias(end)), ["repo", end], "left_semi")
     return pairs
@@ -268,7 +270,7 @@ class _Layers:
 
 
 def _layers(components: DataFrame, edges: DataFrame, need_depth: bool = True) -> _Layers:
-    pairs = _inner_pairs(components, edges)
+    pairs, _ = stage(_inner_pairs(components, edges), "pairs")
     removed, stuck = _peel(_seed(pairs), "peel")
     flat = removed.groupBy("repo", F.col("source").alias("name")).agg((F.max("depth") + 1).alias("depth"))
     if stuck is None:
@@ -343,11 +345,11 @@ def topological_order(subset: DataFrame, edges: DataFrame) -> DataFrame:
 
     Sorting by (level, name) gives the order. Fails on a cycle.
     """
-    loops = simple_graph(edges).filter("source = target").join(
-        subset.select("repo", F.col("name").alias("source")), ["repo", "source"], "left_semi"
-    )
-    removed, stuck = _peel(_seed(_inner_pairs(subset, edges)), "order")
-    if stuck is not None or not loops.isEmpty():
+    pairs, seen = stage(_inner_pairs(subset, edges, loops=True), "pairs", loops=F.count_if(F.col("source") == F.col("target")))
+    if seen["loops"]:
+        raise CycleError("the subset has a dependency cycle")
+    removed, stuck = _peel(_seed(pairs), "order")
+    if stuck is not None:
         raise CycleError("the subset has a dependency cycle")
     level = removed.groupBy("repo", F.col("source").alias("name")).agg((F.max("depth") + 1).alias("level"))
     return subset.select("repo", "name").distinct().join(level, ["repo", "name"], "left").select(

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from repoloom.operators import graph as kg
-from repoloom.operators.discovery import discover, go, python, rust, solidity, swift, typescript
+from repoloom.operators.discovery import common, discover, discover_corpus, go, python, register, rust, solidity, swift, typescript, unregister
 from repoloom.plans import rendered
 from repoloom.plans.bindings import oracle
 from repoloom.plans.registry import query
+from repoloom.sources import sinks
 
 
 def shown(inventory):
@@ -251,18 +252,66 @@ def mixed(spark):
     ])
 
 
+@rendered.written
+def swift_part(spark):
+    return rendered.swift_packages(spark).withColumn("repo", F.concat(F.lit("sw/"), "repo"))
+
+
+_COUNTS = """
+n as (select repo, count(*) as n, count(case when kind = 'frontend' then 1 end) as f from e_components group by repo),
+e as (select repo, count(*) as n from e_edges group by repo), r as (select n.*, coalesce(e.n, 0) as e from n left join e on e.repo = n.repo),
+g as (select repo, count(*) as n, count(case when kind in ('service', 'contract', 'frontend') then 1 end) as e from e_components group by repo),
+-- one component per root path: only these kinds have their main target elsewhere than the package and its kit
+sw as (select repo, n + e as n, e from g)"""
+
+
 @query("aud10_discover_corpus", oracle(
-    "with n as (select repo, count(*) as n, count(case when kind = 'frontend' then 1 end) as f from e_components group by repo),"
-    " e as (select repo, count(*) as n from e_edges group by repo), r as (select n.*, coalesce(e.n, 0) as e from n left join e on e.repo = n.repo)"
-    " select concat('py/', repo) as repo, n + 1 as component_count, n + e as edge_count from r union all select concat('rs/', repo), n, e from r"
-    " union all select concat('sol/', repo), n + 1, n + e from r union all select concat('sol/hh-', repo), 1, 0 from r"
-    " union all select concat('both/', repo), n + f, 0 from r", C, "e_edges"))
+    f"with {_COUNTS} select concat('py/', repo) as repo, 'ok' as status, n + 1 as component_count, n + e as edge_count, cast(null as varchar) as error from r"
+    " union all select concat('rs/', repo), 'ok', n, e, null from r union all select concat('sol/', repo), 'ok', n + 1, n + e, null from r"
+    " union all select concat('sol/hh-', repo), 'ok', 1, 0, null from r"
+    # each binary of a repository is named "run", and its edges leave that one name
+    " union all select concat('both/', repo), 'ok', n + f, f, 'broken/package.json: must be a JSON object, got list' from r"
+    " union all select concat('sw/', repo), 'ok', n, e, null from sw"
+    " union all select s_name, case when s_suppkey % 2 = 0 then 'clone_failed' else 'discovery_failed' end, 0, 0,"
+    " case when s_suppkey % 2 = 1 then 'package.json: Invalid JSON' end from supplier", C, "e_edges"))
 def corpus(spark, sf_dir):
-    files = mixed(spark)
-    inv = discover(files, ["go", "python", "typescript", "rust", "solidity"])
+    single = spark.sql("select s_name as repo, 'package.json' as path, '{' as content from supplier where s_suppkey % 2 = 1")
+    files = mixed(spark).unionByName(swift_part(spark)).unionByName(single)
+    broken = files.filter("repo like 'both/%'").select("repo").distinct().selectExpr("repo", "'broken/package.json' as path", "'[]' as content")
+    files = files.unionByName(broken)
+    repos = files.select("repo").union(spark.sql("select s_name from supplier"))
+    inv, outcome = discover_corpus(repos, files)
     g = kg.build_graph(inv.components, inv.internal)
-    # several binaries of a repository share the name "run", so nodes are fewer
-    distinct = g.edges.join(inv.components.filter("name = 'run'").select("repo", F.col("name").alias("source")).distinct(), ["repo", "source"], "left_anti")
-    counts = inv.components.groupBy("repo").agg(F.count("*").alias("component_count"))
-    edges = distinct.groupBy("repo").agg(F.count("*").alias("edge_count"))
-    return counts.join(edges, "repo", "left").select("repo", "component_count", F.coalesce("edge_count", F.lit(0)).alias("edge_count"))
+    flat = inv.components.select("repo", "name", F.lit(0).alias("depth"))
+    return sinks.discovery_summary(repos, inv.components, g.edges, flat, outcome=outcome).drop("depth_levels")
+
+
+# --- an ecosystem of the user ---------------------------------------------------------
+
+
+def _make(files, mode):
+    """Components named by Makefiles, one per file; ``include`` lines name others."""
+    found = common.manifests(files, "Makefile", mode)
+    name = F.regexp_extract("content", r"(?m)^NAME = (.*)$", 1)
+    rows = common.component_rows(found, "Makefile", name=name, kind=F.lit("library"), type=F.lit("make"), root=F.col("dir"))
+    wanted = F.regexp_extract_all("content", F.lit(r"(?m)^include (.*)$"), F.lit(1))
+    deps = found.select("repo", "manifest_path", F.posexplode(wanted).alias("pos", "dep")).join(rows.select("repo", "manifest_path", "ckey"), ["repo", "manifest_path"])
+    return common.Inventory(rows, common.internal_rows(deps, F.col("dep"), F.col("pos")), common.no_external(rows))
+
+
+@query("udx1_own_ecosystem", oracle(
+    "select c.repo, c.name, 'make' as type, c.root_path, e.target as dep from e_components c left join e_edges e on e.repo = c.repo and e.source = c.name", C, "e_edges"))
+def own_ecosystem(spark, sf_dir):
+    text = F.concat(F.lit("NAME = "), "name", F.lit("\n"), F.array_join(F.transform("deps", lambda d: F.concat(F.lit("include "), d)), "\n"))
+    made = rendered.components(spark)
+    files = made.select("repo", F.concat("root_path", F.lit("/Makefile")).alias("path"), text.alias("content"))
+    files = files.unionByName(files.select("repo", F.concat(F.lit("old/"), "path").alias("path"), F.lit("NAME = left out").alias("content")))
+    register("make", _make, ["Makefile"], ["old/**"])
+    try:
+        inv = discover(files, ["make"])
+        out = inv.components.select("repo", "name", "type", "root_path").join(
+            inv.internal.select("repo", F.col("component").alias("name"), "dep"), ["repo", "name"], "left")
+        out.schema  # the plan holds the rules now
+    finally:
+        unregister("make")
+    return out

@@ -151,6 +151,28 @@ def analyses_valid(spark, sf_dir):
     return inventory.validate_analyses(view(spark, "e_components"), done, cites, spark.sql(_SIZED))
 
 
+_SIDECARS = """
+select repo, name as component, case ordinal % 7 when 1 then '{bad' when 2 then '[1]' when 3 then '{"citations": {"a": 1}}'
+  when 4 then '{"citations": [1], "citations": null}' when 5 then '{}' else '{"citations": [{"claim": "x"}]}' end as content
+from e_components where ordinal % 7 <> 0"""
+
+
+@query("inv6_sidecar_files", oracle("""
+select repo, component, word as "check", concat('[', component, '] ', message) as message from (
+  select repo, name as component, case ordinal % 7 when 0 then 'missing_sidecar' when 1 then 'invalid_json' when 2 then 'no_object' when 5 then 'no_citations' else 'no_array' end as word,
+    case ordinal % 7 when 0 then concat('Missing sidecar file: ', name, '.citations.json') when 1 then concat('Invalid JSON in ', name, '.citations.json')
+      when 2 then concat(name, '.citations.json must be a JSON object, got list') when 3 then '''citations'' must be a JSON array, got dict'
+      when 5 then 'citations array is empty (expected 10+)' else '''citations'' must be a JSON array, got NoneType' end as message
+  from e_components where ordinal % 7 <> 6 and kind <> 'library') x
+union all select repo, name, 'missing_analysis', concat('Missing analysis file for component ''', name, '''') from e_components where kind = 'library'""", "e_components"))
+def sidecar_files(spark, sf_dir):
+    comps = view(spark, "e_components")
+    done = comps.filter("kind <> 'library'").select("repo", F.col("name").alias("component"))
+    cites = comps.filter("ordinal % 7 = 6").selectExpr("repo", "name as component", "0 as idx", "root_path as file_path", "1 as start_line", "1 as end_line")
+    files = comps.selectExpr("repo", "root_path as path", "1 as line_count")
+    return inventory.validate_analyses(comps, done, cites, files, spark.sql(_SIDECARS)).select("repo", "component", "check", "message")
+
+
 @query("inv7_kinds", oracle("""
 select name, kind as kind_parsed, case when t in ('library', 'service', 'cli', 'contract', 'infra', 'pipeline', 'frontend') then t else 'unknown' end as type_parsed,
   kind = 'library' as is_library, kind in ('service', 'cli', 'frontend', 'pipeline') as is_executable

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 
 def local_session(cpus: str = "*", app: str = "repoloom") -> SparkSession:
@@ -62,3 +62,29 @@ def stage(df: DataFrame, label: str, **metrics: Column) -> tuple[DataFrame, dict
     else:
         df.write.parquet(path)
     return spark.read.schema(schema).parquet(path), found
+
+
+class StagedLevels:
+    """A staged table in folders by level, so that one level is read without the others."""
+
+    def __init__(self, df: DataFrame | None, by: str, label: str, like: str | None = None, spark: SparkSession | None = None) -> None:
+        self.spark, self.by = spark or df.sparkSession, by
+        self.path = f"{stage_root(self.spark)}/{self.spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+        self.schema = like or df.schema
+        self.top: int | None = None
+        self.levels: set[int] = set()
+        if df is not None:
+            self.add(df)
+
+    def add(self, df: DataFrame) -> None:
+        """Append rows; the levels they have are noted while writing."""
+        obs = Observation()
+        seen = F.array_join(F.collect_set(F.col(self.by).cast("string")), ",")
+        df.observe(obs, seen.alias("seen")).write.mode("append").partitionBy(self.by).parquet(self.path)
+        self.levels.update(int(at) for at in (obs.get["seen"] or "").split(",") if at)
+        self.top = max(self.levels, default=None)
+
+    def level(self, at: int) -> DataFrame:
+        if at not in self.levels:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).option("basePath", self.path).parquet(f"{self.path}/{self.by}={at}")

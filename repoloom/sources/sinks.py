@@ -131,8 +131,11 @@ def analysis_order(components: DataFrame, levels: DataFrame) -> tuple[DataFrame,
     return order, totals
 
 
-def discovery_summary(repos: DataFrame, components: DataFrame, edges: DataFrame, levels: DataFrame, max_components: int | None = None) -> DataFrame:
-    """(repo, status, component_count, edge_count, depth_levels); above ``max_components``, if given, the status says so."""
+def discovery_summary(repos: DataFrame, components: DataFrame, edges: DataFrame, levels: DataFrame, max_components: int | None = None, outcome: DataFrame | None = None) -> DataFrame:
+    """(repo, status, component_count, edge_count, depth_levels); above ``max_components``, if given, the status says so.
+
+    With ``outcome`` (repo, status, error) of the discovery its status comes first and ``error`` is added.
+    """
     count = lambda df, name: df.groupBy("repo").agg(F.count("*").alias(name))
     depth = levels.groupBy("repo").agg((F.max("depth") + 1).alias("depth_levels"))
     joined = repos.select("repo").distinct()
@@ -140,9 +143,13 @@ def discovery_summary(repos: DataFrame, components: DataFrame, edges: DataFrame,
         joined = joined.join(part, "repo", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     many = F.lit(False) if max_components is None else zero("component_count") > max_components
+    status, more = F.when(many, "too_many_components"), []
+    if outcome is not None:
+        joined = joined.join(outcome.select("repo", F.col("status").alias("_status"), "error"), "repo", "left")
+        status, more = F.when(F.col("_status") != "ok", F.col("_status")).when(many, "too_many_components"), ["error"]
     return joined.select(
-        "repo", F.when(many, "too_many_components").otherwise("ok").alias("status"),
-        zero("component_count").alias("component_count"), zero("edge_count").alias("edge_count"), zero("depth_levels").alias("depth_levels"),
+        "repo", status.otherwise("ok").alias("status"),
+        zero("component_count").alias("component_count"), zero("edge_count").alias("edge_count"), zero("depth_levels").alias("depth_levels"), *more,
     )
 
 
