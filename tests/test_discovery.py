@@ -205,3 +205,16 @@ def test_discover_all_and_registry(tree):
         assert {(r.component, r.dep) for r in inv.internal.collect()} == {("web", "@org/shared-ui"), ("soup", "web")}
     finally:
         discovery.unregister("recipe")
+
+
+def test_corpus_status(spark, tree):
+    files = tree({
+        "good": {"package.json": '{"name": "g"}', "x/package.json": "[]"}, "bad": {"package.json": "{"}, "none": {"readme.md": "nothing here"}, "twice": {"package.json": '{"name": "a", "name": "b"}'},
+    })
+    repos = files.select("repo").union(spark.createDataFrame([("gone",)], "repo string"))
+    inv, outcome = discovery.discover_corpus(repos, files)
+    assert {(r.repo, r.name) for r in inv.components.collect()} == {("good", "g"), ("twice", "b")}
+    assert {r.repo: (r.status, r.error) for r in outcome.collect()} == {
+        "good": ("ok", "x/package.json: must be a JSON object, got list"), "bad": ("discovery_failed", "package.json: Invalid JSON"),
+        "none": ("ok", None), "twice": ("ok", None), "gone": ("clone_failed", None),
+    }

@@ -91,6 +91,28 @@ def test_fold_keeps_going_after_a_failure(spark):
     assert {(r.depth, r.succeeded, r.failed) for r in analyses.analysis_outcome(out).collect()} == {(0, 1, 0), (1, 0, 1), (2, 1, 0)}
 
 
+def test_fold_along_a_long_chain(spark):
+    n = 25
+    comps = spark.createDataFrame([("r", f"c{i}") for i in range(n)] + [("s", "far")], "repo string, name string")
+    edges = spark.createDataFrame([("r", f"c{i}", f"c{j}") for i in range(1, n) for j in {0, i - 1}], "repo string, source string, target string")
+    levels = spark.createDataFrame([("r", f"c{i}", i) for i in range(n)] + [("s", "far", 3)], "repo string, name string, depth int")
+    out = analyses.fold_upstream(comps, edges, levels, [F.sum("value").alias("below")], F.lit(1) + F.coalesce("below", F.lit(0)), value_type="bigint")
+    want = [1, 2]
+    for _ in range(2, n):
+        want.append(1 + want[0] + want[-1])
+    assert {(r.repo, r.name): r.value for r in out.collect()} == {**{("r", f"c{i}"): want[i] for i in range(n)}, ("s", "far"): 1}
+    nothing = analyses.fold_upstream(comps.limit(0), edges, levels, [F.sum("value").alias("below")], F.lit(1), value_type="bigint")
+    assert nothing.columns == ["repo", "name", "depth", "value"] and nothing.count() == 0
+
+
+def test_citation_files(spark):
+    analysed = spark.createDataFrame([("r", n) for n in "abcdefgh"], "repo string, component string")
+    texts = {"a": "", "b": "7", "c": '{"citations": "x"}', "d": '{"citations": []}', "e": '{"other": 1}', "f": None, "g": '{"citations": {}, "citations": []}'}
+    files = spark.createDataFrame([("r", k, v) for k, v in texts.items()], "repo string, component string, content string")
+    got = {r.component: r.check for r in inventory.sidecar_problems(analysed, files).collect()}
+    assert got == {"a": "invalid_json", "b": "no_object", "c": "no_array", "f": "invalid_json", "h": "missing_sidecar"}
+
+
 def test_audit_json(spark):
     cases = {
         "fence": 'x ```json\n{"classifications": [{"component_name": "a", "proposed_kind": "cli"}]}\n``` y', "bare": 'so {"classifications": [{"component_name": "b"}]} and {more}',
