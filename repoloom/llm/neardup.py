@@ -15,9 +15,12 @@ class with most copies and the smallest id. Links are joined to components by
 alternating star contraction. Documents in buckets that then still hold several
 components are bucketed again by 64 groups of eight registers, drawn anew each
 turn, where again every member meets heads of other components, the smallest
-id and one by hash; turns go on until one finds no link or no bucket is left.
-Hot heads are salted. At a similarity of 0.75 a pair shares no band with
-probability 5e-6.
+id and one by hash. When a turn finds no link and buckets still hold several
+components, their documents are finished exactly: every two of different
+components that share a shingle of their prefixes (rarest shingles first, with
+bounds by set size and position) are compared on their full sets. Hot heads
+and hot shingles are salted. At a similarity of 0.75 a pair shares no band
+with probability 5e-6.
 
 Defined cases: null, empty and blank texts have empty sets, link with nothing
 and stay. Rows without an id take no part and stay. Rows that share an id are
@@ -44,6 +47,8 @@ BASE, RATE, TOP = 1.001, 20.0, 65535
 #: An estimate so far below the threshold is four deviations off.
 SLACK = 0.16
 PER_SALT = 256
+#: Shingles are ordered by how often their highest bits occur among the open documents.
+RARITY_BITS = 18
 ROWS_PER_FILE = 200_000
 
 _draw = np.random.default_rng(20240229)
@@ -184,6 +189,57 @@ def _verified(docs: DataFrame, pairs: DataFrame, part: int, whole: int) -> DataF
     return rows.mapInPandas(_verifier(part, whole), "id long, head long").distinct()
 
 
+def _rarity(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    counts = np.zeros(1 << RARITY_BITS, dtype=np.int64)
+    for batch in batches:
+        for text in batch["text"]:
+            np.add.at(counts, shingles(text) >> np.uint64(64 - RARITY_BITS), 1)
+    held = counts.nonzero()[0]
+    yield pd.DataFrame({"slot": held, "n": counts[held]})
+
+
+def _prefixes(often: np.ndarray, part: int, whole: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """The shingles of which two similar sets share one at least: ``short`` ones suffice for the smaller set."""
+
+    usual = int(often.mean())
+
+    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            kept, taken = [], []
+            for text in batch["text"]:
+                members = shingles(text)
+                n, times = len(members), often[members >> np.uint64(64 - RARITY_BITS)]
+                order = np.lexsort((members, times))[: n + part * n // -whole + 1]
+                at = np.arange(len(order))
+                # a slot that occurs once holds a shingle of this set only
+                some = times[order] > 1
+                at, order = at[some], order[some]
+                kept.append((np.full(len(at), n), at, at <= n + 2 * part * n // -(part + whole), members[order].view(np.int64), np.maximum(times[order].astype(np.int64) - usual, 0) // (4 * PER_SALT) + 1))
+                taken.append(len(at))
+            if kept:
+                out = pd.DataFrame(dict(zip(["n", "at", "short", "shingle", "salts"], map(np.concatenate, zip(*kept, strict=True)), strict=True)))
+                out.insert(0, "root", np.repeat(batch["root"].to_numpy(), taken))
+                out.insert(0, "id", np.repeat(batch["id"].to_numpy(), taken))
+                yield out
+
+    return prefixes
+
+
+def _sharing(open_texts: DataFrame, part: int, whole: int) -> DataFrame:
+    """Pairs (id, head) of different components, all that can reach the threshold among them; ``open_texts`` has ``id, root, text``."""
+    often = np.zeros(1 << RARITY_BITS, dtype=np.int32)
+    counted = open_texts.select("text").mapInPandas(_rarity, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    often[counted["slot"]] = counted["n"].clip(upper=2**31 - 1)
+    rows, _ = stage(open_texts.select("id", "root", "text").mapInPandas(
+        _prefixes(often, part, whole), "id long, root long, n long, at long, short boolean, shingle long, salts long"), "prefixes")
+    larger = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts"))).drop("short", "salts")
+    smaller = rows.filter("short").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).select(
+        "shingle", "salt", F.col("id").alias("head"), F.col("root").alias("root_head"), F.col("n").alias("n_head"), F.col("at").alias("at_head"))
+    return larger.hint("merge").join(smaller, ["shingle", "salt"]).filter(F.expr(
+        f"root <> root_head and (n_head < n or n_head = n and head < id) and {whole} * n_head >= {part} * n"
+        f" and {part + whole} * least(n - at, n_head - at_head) >= {part} * (n + n_head)")).select("id", "head").distinct()
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part: int = 75, whole: int = 100) -> DataFrame:
     """Per row: its id, ``n_shingles, component_id, kept``; links at ``whole * intersection >= part * union``."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -202,7 +258,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     side = reps.select("id", "n", "regs")
     # the texts that may need comparing travel once; later turns read this table
     texts, _ = stage(texts.hint("merge").join(shared.select("id").distinct(), "id", "left_semi"), "candidate-texts")
-    tested, labels, turn = None, None, 0
+    tested, labels, turn, at = None, None, 0, None
     while True:
         pairs = pairs.select("id", "head").distinct()
         if tested is not None:
@@ -215,6 +271,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if likely["n"] or labels is None:
             new, found = stage(_verified(texts, close, part, whole).coalesce(likely["n"] // ROWS_PER_FILE + 8), "links", n=F.count(F.lit(1)))
         if labels is not None and not (likely["n"] and found["n"]):
+            # what is still open is finished exactly
+            still, _ = stage(texts.hint("merge").join(at, "id"), "open-texts")
+            pairs, several = stage(_sharing(still, part, whole).join(tested, ["id", "head"], "left_anti"), "sharing-pairs", n=F.count(F.lit(1)))
+            if several["n"]:
+                new, _ = stage(_verified(still, pairs, part, whole).coalesce(several["n"] // ROWS_PER_FILE + 8), "links")
+                labels = components(new.unionByName(labels.withColumnRenamed("root", "head")))
             break
         labels = components(new if labels is None else new.unionByName(labels.withColumnRenamed("root", "head")))
         # documents in buckets that still hold several components

@@ -67,6 +67,15 @@ def test_near_groups_link_through_others(spark):
     assert all(linked) and {r.component_id for r in got} == {0}
 
 
+def test_near_groups_inside_a_template_family(spark):
+    """A pair of 0.78 that shares only what 1000 members of at most 0.72 share, so it meets in crowded buckets alone."""
+    texts = [" ".join([f"licence{i}" for i in range(160)] + [f"own{k}x{i}" for i in range(22 if k in (234, 545) else 40)]) for k in range(1000)]
+    got = {r.doc_id: r.component_id for r in neardup.near_groups(spark.createDataFrame(rows(*enumerate(texts)), SCHEMA)).collect()}
+    of = lambda k: set(neardup.shingles(texts[k]))
+    assert 100 * len(of(0) & of(234)) < 73 * len(of(0) | of(234)) and 100 * len(of(234) & of(545)) >= 75 * len(of(234) | of(545))
+    assert {k: c for k, c in got.items() if k != c} == {545: 234}
+
+
 def test_estimate_follows_similarity():
     import numpy as np
 
