@@ -11,9 +11,12 @@ gets the same surrogate everywhere, different ones get different ones.
 
 A surrogate can still be somebody else's real value. A distributed check joins
 all surrogates with all entities of the corpus; entities that collide, or that
-share a surrogate, take the next image, until none is left. The few exceptions
-are joined back to the documents that need them, broadcast only below a
-counted size.
+share a surrogate, take the next image. Where a shape has fewer free strings
+than values, or does not settle in ``TURNS`` images, all its values keep their
+first image: one permutation, so they stay distinct; those that equal another
+real value are marked ``real`` in the table and counted in a warning. The few
+exceptions are joined back to the documents that need them, broadcast only
+below a counted size.
 
 Defined cases: null text stays null, texts without entities stay as they are.
 Repeated rows get equal results. Rows without an id are rewritten without
@@ -25,8 +28,11 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import logging
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -64,14 +70,29 @@ _ALPHABETS = [
     "".join(map(chr, range(0x3B1, 0x3C2))), "".join(map(chr, range(0x391, 0x3A2))),
 ]
 _PLACE = {c: (a, i) for a in _ALPHABETS for i, c in enumerate(a)}
-_HAN = range(0x4E00, 0xA000)
+#: Scripts whose letters are one long row.
+_ROWS = ["".join(map(chr, range(0x4E00, 0xA000))), "".join(map(chr, range(0xAC00, 0xD7A4)))]
+#: Images a value takes before its shape counts as not settling.
+TURNS = 50
 
 
-def _digit_of(c: str) -> tuple[int, int] | None:
-    """(radix, value) of a character that gets replaced."""
+@cache
+def _block(number: int, category: str) -> str:
+    """The letters of one category among 64 neighbouring characters that no alphabet has."""
+    return "".join(c for c in map(chr, range(64 * number, 64 * number + 64)) if c not in _PLACE and unicodedata.category(c) == category)
+
+
+def _alphabet(c: str) -> tuple[str, int] | None:
+    """The characters among which one gets replaced, and its place there."""
     if c in _PLACE:
-        return len(_PLACE[c][0]), _PLACE[c][1]
-    return (len(_HAN), ord(c) - _HAN[0]) if ord(c) in _HAN else None
+        return _PLACE[c]
+    for row in _ROWS:
+        if row[0] <= c <= row[-1]:
+            return row, ord(c) - ord(row[0])
+    if c.isalpha() and not c.isascii():
+        block = _block(ord(c) >> 6, unicodedata.category(c))
+        return block, block.index(c)
+    return None
 
 
 def _permuted(key: bytes, tweak: bytes, number: int, size: int) -> int:
@@ -90,11 +111,11 @@ def _permuted(key: bytes, tweak: bytes, number: int, size: int) -> int:
 
 def _image(key: bytes, kind: str, value: str, valid: Callable[[str], bool]) -> str:
     """Image of ``value`` among the valid strings of its shape."""
-    places = [(i, *d) for i, c in enumerate(value) if (d := _digit_of(c))]
+    places = [(i, len(d[0]), d[1]) for i, c in enumerate(value) if (d := _alphabet(c))]
     size = 1
     for _, radix, _ in places:
         size *= radix
-    shape = "".join("?" if _digit_of(c) else c for c in value)
+    shape = "".join("?" if _alphabet(c) else c for c in value)
     tweak = hashlib.sha256(f"{kind}|{shape}|{[p[1] for p in places]}".encode()).digest()
     number = 0
     for _, radix, digit in places:
@@ -104,7 +125,7 @@ def _image(key: bytes, kind: str, value: str, valid: Callable[[str], bool]) -> s
         out, rest = list(value), number
         for i, radix, _ in reversed(places):
             rest, digit = divmod(rest, radix)
-            out[i] = chr(_HAN[0] + digit) if radix == len(_HAN) else _PLACE[value[i]][0][digit]
+            out[i] = _alphabet(value[i])[0][digit]
         if valid("".join(out)):
             return "".join(out)
     return "".join(out)
@@ -116,9 +137,9 @@ def _luhn(digits: str) -> bool:
 
 
 def _like_phone(value: str) -> Callable[[str], bool]:
-    """Area code and exchange of ten-digit numbers keep a leading digit of 2 to 9 where they have one."""
-    fixed = [i for i in (0, 3) if len(value) == 10 and value[i] in "23456789"]
-    return lambda s: all(s[i] in "23456789" for i in fixed)
+    """Area code and exchange of ten-digit numbers keep a leading digit of 2 to 9 where they have one, and only there."""
+    leads = {i: value[i] in "23456789" for i in (0, 3) if len(value) == 10}
+    return lambda s: all((s[i] in "23456789") == own for i, own in leads.items())
 
 
 def canonical(kind: str, text: str) -> str:
@@ -178,6 +199,40 @@ def image(key: bytes, kind: str, value: str, gender: str = "", times: int = 1) -
     return out
 
 
+def shape_of(kind: str, value: str) -> tuple[str, float]:
+    """What all images of a canonical value have in common, and how many strings have it."""
+    if kind == "ip":
+        return kind, 2.0**32
+    kept, out, size = 0, [], 1.0
+    if kind == "name":
+        lists = {"m": MALE_NAMES, "f": FEMALE_NAMES}
+        words = [(w, next((g for g, n in lists.items() if w in n), "")) for w in value.split(" ")]
+    else:
+        kept = len(value) - 10 if kind == "phone" and 10 < len(value) <= 13 else 2 * (kind == "iban")
+        top = value.rpartition(".")[2] if kind == "email" else ""
+        words = [(value[kept : len(value) - len(top)], "")]
+        out = [value[:kept], top]
+        if kind == "card":
+            out.append(str(_luhn(value)))
+            size = 0.1 if _luhn(value) else 0.9
+        if kind == "phone" and len(words[0][0]) == 10:
+            leads = [words[0][0][i] in "23456789" for i in (0, 3)]
+            out.append(str(leads))
+            for own in leads:
+                size *= 0.8 if own else 0.2
+    for word, listed in words:
+        if listed:
+            out.append(f"<{listed}>")
+            size *= len(lists[listed])
+            continue
+        for c in word:
+            found = _alphabet(c)
+            out.append(f"{ord(found[0][0]):x}?" if found else f"={c}")
+            size = min(size * len(found[0]), 1e300) if found else size
+        out.append(" ")
+    return f"{kind}|{'|'.join(out)}", size
+
+
 def _dressed(kind: str, original: str, value: str) -> str:
     """The surrogate in the spelling of the original: its case, its spaces and signs."""
     if kind in ("ip", "name"):
@@ -239,6 +294,14 @@ def _next_image(key: bytes) -> Callable:
     return step
 
 
+def _shape() -> Callable:
+    @F.pandas_udf("shape string, room double")
+    def shape(kind: pd.Series, value: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([shape_of(k, v) for k, v in zip(kind, value, strict=True)], columns=["shape", "room"])
+
+    return shape
+
+
 def _rewriter(key: bytes) -> Callable:
     @F.pandas_udf("text string, entities string, n_entities long")
     def rewritten(texts: pd.Series, times: pd.Series) -> pd.DataFrame:
@@ -251,24 +314,49 @@ def _rewriter(key: bytes) -> Callable:
     return rewritten
 
 
+def _checked(table: DataFrame) -> tuple[DataFrame, dict]:
+    """The table with ``real`` (the surrogate is another real value) and ``bad`` (that, or another value's surrogate)."""
+    real = table.select("kind", F.col("value").alias("surrogate")).withColumn("_real", F.lit(True))
+    twice = table.groupBy("kind", "surrogate").agg(F.min("value").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+    checked = table.drop("real", "bad").join(real, ["kind", "surrogate"], "left").join(twice, ["kind", "surrogate"], "left")
+    # a value with no other string of its shape keeps its image
+    checked = checked.withColumn("real", F.col("_real").isNotNull() & (F.col("surrogate") != F.col("value")))
+    checked = checked.withColumn("bad", F.col("real") | (F.col("_first").isNotNull() & (F.col("_first") != F.col("value"))))
+    return stage(checked.drop("_real", "_first"), "checked-surrogates", n=F.sum(F.col("bad").cast("int")))
+
+
 def surrogates(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Entities per document, and the table ``kind, value, gender, times, surrogate`` without collisions."""
+    """Entities per document, and the table ``kind, value, gender, times, surrogate, real``; no two values of a kind share a surrogate."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     found, _ = stage(texts.mapInPandas(_entities(key), "id long, kind string, value string, gender string, surrogate string"), "entities")
     table, _ = stage(
         found.groupBy("kind", "value").agg(F.min("gender").alias("gender"), F.min("surrogate").alias("surrogate")).withColumn("times", F.lit(1)), "surrogates")
+    columns = ["kind", "value", "gender", "times", "surrogate", "real"]
+    table, left = _checked(table)
+    if not left["n"]:
+        return found, table.select(*columns)
+    # images stay inside a shape: only shapes with a collision go on
+    table, _ = stage(table.withColumn("_s", _shape()("kind", "value")).select(*columns, "bad", "_s.*"), "shaped-surrogates")
+    shapes = table.groupBy("shape").agg(F.max("bad").alias("open"), (2 * F.count(F.lit(1)) > F.first("room")).alias("full"))
+    shapes, _ = stage(shapes.filter("open"), "open-shapes")
+    done = table.join(shapes.filter("not full"), "shape", "left_anti").select(*columns)
+    first, _ = stage(table.join(shapes.filter("not full"), "shape", "left_semi"), "open-surrogates")
+    going, turn = first, 1
     while True:
-        real = table.select("kind", F.col("value").alias("surrogate")).withColumn("real", F.lit(True))
-        twice = table.groupBy("kind", "surrogate").agg(F.min("value").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-        checked = table.join(real, ["kind", "surrogate"], "left").join(twice, ["kind", "surrogate"], "left")
-        # a value with no other string of its shape keeps its image
-        bad = (F.col("real").isNotNull() & (F.col("surrogate") != F.col("value"))) | (F.col("first").isNotNull() & (F.col("first") != F.col("value")))
-        checked, left = stage(checked.withColumn("bad", bad & (F.col("times") < 50)).drop("real", "first"), "checked-surrogates", n=F.sum(F.col("bad").cast("int")))
-        if not left["n"]:
-            return found, checked.drop("bad")
-        moved = checked.filter("bad").withColumn("times", F.col("times") + 1)
+        going, left = _checked(going)
+        if not left["n"] or turn == TURNS:
+            break
+        turn += 1
+        moved = going.filter("bad").withColumn("times", F.col("times") + 1)
         moved = moved.withColumn("surrogate", _next_image(key)("kind", "value", "gender", "times"))
-        table, _ = stage(checked.filter("not bad").unionByName(moved).drop("bad"), "surrogates")
+        going, _ = stage(going.filter("not bad").unionByName(moved), "surrogates")
+    unsettled = going.filter("bad").select("shape").distinct()
+    table, real = stage(
+        done.unionByName(going.join(unsettled, "shape", "left_anti").select(*columns)).unionByName(first.join(unsettled, "shape", "left_semi").select(*columns)),
+        "settled-surrogates", n=F.sum(F.col("real").cast("int")))
+    if real["n"]:
+        logging.getLogger(__name__).warning("%d surrogates equal another real value: their shapes have too few free strings", real["n"])
+    return found, table
 
 
 def replace_entities(

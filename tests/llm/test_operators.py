@@ -215,6 +215,20 @@ def test_pii_corpus(spark, docs, none):
     assert pii.replace_entities(none, b"k").count() == 0
 
 
+def test_pii_dense_shapes(spark):
+    """All strings of a shape but a few, whole lists of given names, scripts beyond Latin."""
+    short = [c + v for c in "BCDFGHJKLMNPQRSTVWXYZ" for v in "aeiou"]
+    names = short[:-6] + pii.MALE_NAMES + ["김민수", "さくら", "محمد", "Łukasz"]
+    docs = spark.createDataFrame([(i, f"Dr {n}, hello") for i, n in enumerate(names)], "doc_id long, text string")
+    _, table = pii.surrogates(docs, b"k")
+    got = {r.value: r for r in table.collect()}
+    assert set(got) == set(names) and len({r.surrogate for r in got.values()}) == len(names)
+    assert all(r.real == (r.surrogate in got and r.surrogate != r.value) for r in got.values()) and got["James"].real
+    assert all(got[n].surrogate != n and pii.shape_of("name", got[n].surrogate) == pii.shape_of("name", n) for n in names[-4:])
+    out = pii.replace_entities(docs, b"k").collect()
+    assert {r.doc_id: r.text for r in out} == {i: f"Dr {got[n].surrogate}, hello" for i, n in enumerate(names)}
+
+
 def test_warc(spark):
     big = "x" * 1000
     data = [(1, "http://a/ é", big, "u"), (2, None, big, "u"), (3, "http://b/\r\nWARC: x", "a\r\n\r\nWARC/1.1\r\n", "u"), (4, "u", None, "u"), (5, "u", "", "u"), (None, "u", big, "u"), (2, None, big, "u"), (6, "u", "é" * 500, "u"), (7, "v", "é" * 500, "u")]
