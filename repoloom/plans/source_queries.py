@@ -131,6 +131,43 @@ def load(spark, sf_dir):
     return got.select("repo", "name", "kind", "type", "root_path", F.get("external_dependencies.name", F.lit(0)).alias("ext"), F.get("internal_dependencies", F.lit(0)).alias("dep"))
 
 
+def _write_inventories(root: str):
+    """One components.json per repository and bucket."""
+    def write(key, rows):
+        from pyarrow import fs
+
+        store, at = fs.FileSystem.from_uri(root if "://" in root else f"file://{root}")
+        folder = f"{at}/{key[0].replace('#', '-')}/{key[1]}"
+        store.create_dir(folder, recursive=True)
+        with store.open_output_stream(f"{folder}/components.json") as out:
+            out.write(('{"components": [' + ",".join(rows["one"]) + "]}").encode())
+        return rows[["repo"]].head(1)
+
+    return write
+
+
+@query("src8_load_dependencies", oracle(
+    "select c.repo, c.name, c.kind, c.type, c.root_path, d.scope, d.dependency from e_components c left join ("
+    "select repo, source, 'external' as scope, target as dependency from e_integrations "
+    "union all select repo, source, 'internal' as scope, target as dependency from e_edges) d on d.repo = c.repo and d.source = c.name",
+    "e_components", "e_integrations", "e_edges"))
+def load_files(spark, sf_dir):
+    root = scratch(spark, "inventories")
+    docs = spark.sql("""
+        select c.repo, c.ordinal div 5000 as bucket, to_json(struct(c.name, c.kind, c.type, c.root_path,
+            coalesce(e.targets, array()) as internal_dependencies, coalesce(i.targets, array()) as external_dependencies)) as one
+        from e_components c
+        left join (select repo, source, collect_list(target) as targets from e_integrations group by all) i on i.repo = c.repo and i.source = c.name
+        left join (select repo, source, collect_list(target) as targets from e_edges group by all) e on e.repo = c.repo and e.source = c.name""")
+    docs.groupBy("repo", "bucket").applyInPandas(_write_inventories(root), "repo string").count()
+    got = tables_.load_components(spark, root)
+    both = F.concat(
+        F.transform("external_dependencies", lambda d: F.struct(F.lit("external").alias("scope"), d["name"].alias("dependency"))),
+        F.transform("internal_dependencies", lambda d: F.struct(F.lit("internal").alias("scope"), d.alias("dependency"))))
+    return got.select(F.replace("repo", F.lit("-"), F.lit("#")).alias("repo"), "name", "kind", "type", "root_path", F.explode_outer(both).alias("d")).select(
+        "repo", "name", "kind", "type", "root_path", "d.scope", "d.dependency")
+
+
 @query("src9_latest_manifest", """
 select o_custkey as service, max(o_orderkey) as version, arg_max(o_orderpriority, o_orderkey) as model,
   arg_max(o_orderstatus, o_orderkey) as source_commit from orders group by o_custkey""")

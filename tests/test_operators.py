@@ -226,3 +226,13 @@ def test_duplicate_json_keys_keep_the_last(spark):
     rows = spark.createDataFrame([('{"name": "a", "name": "b"}',), ("{broken",), (None,)], "content string")
     got = rows.select(F.try_variant_get(json_variant(F.col("content")), "$.name", "string").alias("n")).collect()
     assert [r.n for r in got] == ["b", None, None]
+
+
+def test_load_dependencies_keeps_whole_lists(spark):
+    """Every dependency of every component comes back from the files."""
+    from repoloom.plans import catalog
+    from repoloom.plans.bindings import view
+
+    got = sorted((r.repo, r.name, r.scope, r.dependency) for r in catalog.RUNS["src8_load_dependencies"](spark, "/root/testdata/sf0.001").collect() if r.scope)
+    want = [(r.repo, r.source, scope, r.target) for scope, name in (("external", "e_integrations"), ("internal", "e_edges")) for r in view(spark, name).collect()]
+    assert got == sorted(want) and len(got) > 2 * len({g[:3] for g in got})
