@@ -20,9 +20,6 @@ packed each. Null ids pass through. An empty table gives no pieces.
 from __future__ import annotations
 
 import bisect
-import itertools
-import os
-import string
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 
@@ -32,96 +29,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from repoloom.llm import tokens
+
 #: Id that closes every document.
 CLOSING_ID = 1
 SLICES = 1024
-SIGNS = string.punctuation
 PIECE_SCHEMA = "id long, piece int, start long, length long, ids binary"
 
 
-class Encoder:
-    """Ids of whole texts by words between plain white space, each distinct word encoded once.
-
-    White space separates tokens and is dropped by the tokenizer, so the ids
-    of a text are those of its words in order. Known words are kept in two
-    generations of at most ``most`` words; frequent ones move to the newer.
-    """
-
-    def __init__(self, path: str, most: int = 500_000) -> None:
-        from tokenizers import Tokenizer
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
-        vocab, suffix = self.tokenizer.get_vocab(), getattr(self.tokenizer.model, "end_of_word_suffix", None)
-        self.closes = np.zeros(max(vocab.values()) + 1, dtype=bool)
-        if suffix:
-            self.closes[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
-        self.known: dict[str, bytes] = {"": b""}
-        self.older: dict[str, bytes] = {}
-
-    def _learn(self, words: list[str]) -> None:
-        for first in range(0, len(words), 8192):
-            part = words[first : first + 8192]
-            got = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            cuts = 4 * np.searchsorted(np.array(got.word_ids, dtype=np.int64), np.arange(len(part) + 1))
-            ids = np.array(got.ids, dtype="<u4").tobytes()
-            self.known.update(zip(part, (ids[a:b] for a, b in itertools.pairwise(cuts.tolist())), strict=True))
-
-    def _learn_letters(self, words: list[str]) -> None:
-        """Words of letters alone, one token run each: the ids that close a run part the words."""
-        for first in range(0, len(words), 256):
-            part = words[first : first + 256]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = (4 * np.flatnonzero(self.closes[ids]) + 4).tolist()
-            if len(ends) != len(part):  # some letter is none to the tokenizer
-                self._learn(part)
-                continue
-            raw = ids.tobytes()
-            self.known.update(zip(part, (raw[a:b] for a, b in itertools.pairwise([0, *ends])), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        words = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        if len(self.known) > self.most:
-            self.known, self.older = {"": b""}, self.known
-        known, older = self.known, self.older
-        parts, letters, composed = set(), set(), []
-        for word in set().union(*words).difference(known):
-            if word in older:
-                known[word] = older[word]
-                continue
-            core = word.rstrip(SIGNS)
-            if core.isalpha():
-                # letters and the signs after them are separate tokens, and the tokenizer lowers letters one by one
-                low = core.lower() if max(core) < "\u0180" else core
-                composed.append((word, low, word[len(core) :]))
-                letters.add(low)
-                parts.add(word[len(core) :])
-            else:
-                parts.add(word)
-        for word in (parts | letters).intersection(older):
-            known[word] = older[word]
-        self._learn(list(parts.difference(known)))
-        self._learn_letters(list(letters.difference(known)))
-        for word, low, signs in composed:
-            known[word] = known[low] + known[signs]
-        get = known.__getitem__
-        return [b"".join(map(get, w)) for w in words]
-
-
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def _cutter(path: str, capacity: int, texts_at_once: int = 64) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if path not in _ENCODERS:
-            _ENCODERS[path] = Encoder(path)
-        encoder, closing = _ENCODERS[path], np.array([CLOSING_ID], dtype="<u4").tobytes()
+        closing = np.array([CLOSING_ID], dtype="<u4").tobytes()
         for batch in batches:
             for first in range(0, len(batch), texts_at_once):
                 part = batch.iloc[first : first + texts_at_once]
                 rows = []
-                for own, ids in zip(part["id"], encoder.encode([t or "" for t in part["text"]]), strict=True):
+                for own, ids in zip(part["id"], tokens.encoder(path).encode([t or "" for t in part["text"]]), strict=True):
                     ids += closing
                     for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                         piece = ids[at : at + 4 * capacity]

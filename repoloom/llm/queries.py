@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from repoloom.llm import chat, decontaminate, exactdup, lmscore, neardup, packing, pii, quality, secrets, warc
+from repoloom.llm import chat, decontaminate, exactdup, histpack, lmscore, neardup, packing, pii, quality, resample, secrets, warc, whitening
 from repoloom.runtime import stage
 
 RUNS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -223,3 +223,51 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = lmscore.lm_scores(table(spark, sf_dir, "documents"))
     return scored.withColumn("mean_score", F.when(F.col("n_words") > 0, F.col("score") / F.col("n_words")))
+
+
+@query("op11_histogram_packing")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return histpack.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).withColumnRenamed("id", "doc_id")
+
+
+@query("op12_embedding_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+_WORD_LIST = f"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+#: DuckDB has no CRC-32: a table of 256 remainders, folded over the bytes of each distinct word.
+OP13_SQL = f"""
+with recursive steps(b, k, r) as (
+  select b, 0, b from range(256) t(b)
+  union all select b, k + 1, case when r & 1 = 1 then xor(r >> 1, 3988292384) else r >> 1 end from steps where k < 8
+), remainders as (select list(r order by b) as rs from steps where k = 8),
+d as (select doc_id, {_WORD_LIST} as w from documents), i as (select {_WORD_LIST} as w from benchmark),
+dw as (select doc_id, word, count(*) as c from (select doc_id, unnest(w) as word from d) group by all),
+iw as (select word, count(*) as c from (select unnest(w) as word from i) group by all),
+hashed as (
+  select word, xor(list_reduce(
+      list_prepend(4294967295, list_transform(range(1, length(hex(encode(word))), 2), lambda k: ('0x' || substr(hex(encode(word)), k, 2))::bigint)),
+      lambda a, x: xor(a >> 8, rs[xor(a & 255, x) + 1])), 4294967295) % 10000 as bucket
+  from (select word from dw union select word from iw), remainders
+), s as (select bucket, sum(c)::double as n from dw join hashed using (word) group by bucket),
+t as (select bucket, sum(c)::double as n from iw join hashed using (word) group by bucket),
+sizes as (select (select coalesce(sum(n), 0) from s) + 10000 as s_all, (select coalesce(sum(n), 0) from t) + 10000 as t_all),
+gains as (
+  select bucket, floor(1000 * ln((coalesce(t.n, 0) + 1) * s_all / ((s.n + 1) * t_all)))::bigint as gain
+  from s left join t using (bucket), sizes
+), weights as (select doc_id, sum(c)::bigint as n_features, sum(c * gain)::bigint as weight from dw join hashed using (word) join gains using (bucket) group by doc_id),
+scored as (
+  select d.doc_id, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || d.doc_id), 1, 8))::bigint + 0.5) / 4294967296)))::bigint as score, len(w) >= 20 as eligible
+  from d left join weights on weights.doc_id = d.doc_id
+), ranked as (select *, row_number() over (partition by eligible order by score desc, doc_id) as r, count(*) over (partition by eligible) as n from scored)
+select doc_id, n_features, weight, score, case when eligible and r <= floor(10 * n / 100) then r end as rank from ranked
+"""
+
+
+@query("op13_importance_resampling", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumnRenamed("id", "doc_id")

@@ -3,12 +3,19 @@
 from __future__ import annotations
 
 import collections
+import hashlib
 import math
+import random
+import re
+import unicodedata
 import zlib
 
+import numpy as np
+import public_tokenizers
 import pytest
 
-from repoloom.llm import chat, decontaminate, exactdup, lmscore, neardup, packing, pii, quality, secrets, warc
+from repoloom.llm import chat, decontaminate, exactdup, histpack, lmscore, neardup, packing, pii, quality, resample, secrets, tokens, warc, whitening
+from tokenizers import Tokenizer
 
 LONG = " ".join(f"w{i % 997}x{i % 31}" for i in range(30_000))
 BASE = " ".join(f"word{i}" for i in range(60))
@@ -119,9 +126,7 @@ def test_quality(spark, docs, none):
 
 
 def test_packing(docs, none):
-    import public_tokenizers
     from pyspark.sql import functions as F
-    from tokenizers import Tokenizer
 
     from repoloom.runtime import stage
 
@@ -149,14 +154,136 @@ def test_packing(docs, none):
 
 
 def test_encoder_agrees_with_tokenizer():
-    import public_tokenizers
-    from tokenizers import Tokenizer
-
+    """Whole texts as the tokenizer takes them: composing marks, lowering that lengthens, special tokens, odd white space."""
     path = public_tokenizers.path("word_bpe_49k.json")
-    texts = ["It's the END. Of it!! ÉCOLE, naïve... x²; <|endoftext|> <|ENDOFTEXT|>", "ΟΔΟΣ, İstanbul. ẞtraße!! don't we'LL. 3.14, abc%%%", "á école\x0b\x1c tab\tend\r\n", ""]
-    whole = Tokenizer.from_file(path)
+    whole, own = Tokenizer.from_file(path), tokens.Encoder(path, most=2000)
+    texts = [
+        "It's the END. Of it!! ÉCOLE, naïve... x²; <|endoftext|> <|ENDOFTEXT|>a<|startoftext|>", "ΟΔΟΣ, İstanbul. ẞtraße!! don't we'LL. 3.14, abc%%%", "á école\x0b\x1c tab\tend\r\n\x85x\xa0y", "",
+        "İ.", "ANKARA DEKİ, ", "क़.", "ড়,", "H\u0331. \u1e96. ſt ŉa ﬁ K Å", "日本語 テキスト。漢字1 مرحبا, 🙂👍🏽 ok", "'s 'sa x'S ''re 'LL", " \u0301x \ufeffa\u200bb\u3000e"]
+    marks = [c for c in map(chr, range(0x80, 0x2FFFF)) if c.isalpha() and (len(low := unicodedata.normalize("NFC", c).lower()) != 1 or not low.isalpha())]
+    texts += [f"x{c}{s} {c}{s}{c}" for c in marks for s in ".,'|-"]
+    draw = random.Random(5)
+    alphabet = "aAbBzZsStTdDmMlLrReEvV0129 .,'\"|<>_-!\n\u0327\u0331\u0301ÀéÜñşŞİıŸßĲŉſΣςक़ড়字🙂"
+    texts += ["".join(draw.choices(alphabet, k=draw.randint(1, 25))) for _ in range(1500)]
     want = [b"".join(i.to_bytes(4, "little") for i in whole.encode(t, add_special_tokens=False).ids) for t in texts]
-    assert packing.Encoder(path).encode(texts) == want
+    got = own.encode(texts)
+    assert [t for t, a, b in zip(texts, got, want, strict=True) if a != b] == []
+    assert own.encode(texts[::-1]) == want[::-1]
+    long = "Word's end. " * 200_000
+    assert own.encode([long])[0] == own.encode(["Word's end."])[0] * 200_000
+
+
+def histogram_of(plan, counts, capacity):
+    """Every sequence's length, by placing every piece; pieces must not overlap or leave a gap."""
+    filled = collections.defaultdict(list)
+    for length, n in counts.items():
+        for rank in range(n):
+            row = int(np.searchsorted(plan.keys, (length << 40) + rank, side="right")) - 1
+            nth = rank - int(plan.ranks[row])
+            if plan.offsets[row] >= 0:
+                filled[int(plan.places[row]) + nth].append((int(plan.offsets[row]), length))
+            else:
+                parts = list(histpack._fragments(plan, int(plan.places[row]) + nth * length, length))
+                assert sum(p[1] for p in parts) == length
+                for _, size, sequence, offset in parts:
+                    filled[sequence].append((offset, size))
+    ends = []
+    for places in filled.values():
+        at = 0
+        for offset, size in sorted(places):
+            assert offset == at
+            at += size
+        assert at <= capacity
+        ends.append(at)
+    return ends
+
+
+def test_shortest_pack_first():
+    draw = random.Random(3)
+    cases = [{3000: 40}, {k: 300 for k in range(1, 21)}, {1: 1}, {4096: 3}, {1: 5000, 5: 3}, {draw.randint(1, 4096): draw.randint(1, 9) for _ in range(300)}]
+    for counts in cases:
+        ends = histogram_of(histpack.plan_packing(counts), counts, 4096)
+        assert sum(ends) == sum(k * n for k, n in counts.items())
+        assert all(e & (e - 1) == 0 for e in ends) and sum(e < 4096 for e in ends) <= 12
+    packs = histpack.shortest_pack_first({6: 2, 3: 3, 2: 1}, 10)
+    assert sorted((p.count, p.room, sorted(s[0] for s in p.slots())) for p in packs) == [(1, 5, [2, 3]), (2, 1, [3, 6])]
+    assert len(histpack.plan_packing({}).keys) == 0
+    # no piece is cut where the lengths fit as they are
+    assert histpack.plan_packing({4096: 2, 2048: 2}).cut_lengths == []
+
+
+def test_histogram_packing(docs, none):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    got = histpack.pack_documents(docs, path).collect()
+    whole = Tokenizer.from_file(path)
+    for own, text, copies in [(1, BASE, 1), (4, "", 1), (6, "  \t", 1), (7, LONG, 1), (9, "one two", 2), (None, "no id", 1)]:
+        ids = [*whole.encode(text, add_special_tokens=False).ids, 2]
+        mine = [r for r in got if r.id == own]
+        assert sum(r.length for r in mine) == copies * len(ids) and {r.doc_tokens for r in mine} == {len(ids)}
+        for r in mine:
+            assert r.ids_crc32 == zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids[r.start : r.start + r.length]))
+    assert histpack.pack_documents(none, path).count() == 0
+
+
+@pytest.mark.parametrize("wide", [1e3, 1e9])
+def test_whitening_on_awkward_rows(spark, wide):
+    inf, nan = float("inf"), float("nan")
+    draw = random.Random(2)
+    good = [[draw.gauss(0, 1), draw.gauss(0, 3), 7.5, wide * draw.random()] for _ in range(40)]
+    bad = [None, [], [1.0, None, 2.0, 3.0], [nan, 1.0, 1.0, 1.0], [1.0, inf, 1.0, 1.0], [1.0, 2.0], [1e300, 1.0, 1.0, 1.0]]
+    data = [(k if k else None, v, "x", 0.0, 1) for k, v in enumerate([*good, good[3], *bad])]
+    vectors = spark.createDataFrame(data, "vec_id long, embedding array<double>, x string, whitened double, n int")
+    got = whitening.whiten(vectors).collect()
+    kept = [*good, good[3]]
+    n = len(kept)
+    x = [[math.floor(64 * c) + 1_000_000 for c in v] for v in kept]
+    sums = [sum(col) for col in zip(*x, strict=True)]
+    z = [[n * a - s for a, s in zip(v, sums, strict=True)] for v in x]
+    cov = [[sum(r[i] * r[j] for r in z) for j in range(4)] for i in range(4)]
+    counted, s, exact = whitening.covariance(whitening.fit_list(vectors))
+    assert (counted, s) == (n, sums) and [[c * n for c in row] for row in exact] == cov
+    assert {r.component for r in got} == {1, 2, 3, 4} and len(got) == 4 * n
+    size = lambda t: t if t < 1 << 63 else None
+    assert {(r.id, r.deviation) for r in got} == {(k if k else None, size(sum(c * c for c in z[k]))) for k in range(n)}
+    # beside a spread of 1e9 the others lie within rounding of zero
+    assert all((r.whitened is None) == (r.component > (1 if wide > 1e6 else 3)) and r.identity_error < 1e-4 for r in got)
+    assert whitening.whiten(vectors.limit(0)).count() == 0
+    same = whitening.whiten(spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, 2.0])], "vec_id long, embedding array<float>")).collect()
+    assert len(same) == 4 and {(r.whitened, r.explained, r.identity_error) for r in same} == {(None, 0.0, 0.0)}
+
+
+def resampled(docs, target, longest, buckets, percent, least):
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+
+    def grams(t):
+        w = words(t)
+        return [zlib.crc32(" ".join(w[i : i + n]).encode()) % buckets for n in range(1, longest + 1) for i in range(len(w) - n + 1)]
+
+    s, t = collections.Counter(g for d in docs for g in grams(d[1])), collections.Counter(g for i in target for g in grams(i))
+    gain = lambda b: math.floor(1000 * math.log((t[b] + 1) * (s.total() + buckets) / ((s[b] + 1) * (t.total() + buckets))))
+    out = []
+    for own, text in docs:
+        h = int(hashlib.sha256(f"2024:{'' if own is None else own}".encode()).hexdigest()[:8], 16)
+        weight = sum(map(gain, grams(text)))
+        out.append([own, len(grams(text)), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 2**32))), None])
+    able = sorted((r for r, d in zip(out, docs, strict=True) if len(words(d[1])) >= least), key=lambda r: (-r[3], -1 if r[0] is None else r[0], r[2], r[1]))
+    for k, r in enumerate(able[: percent * len(able) // 100]):
+        r[4] = k + 1
+    return collections.Counter(map(tuple, out))
+
+
+def test_resampling(spark, docs, none):
+    draw = random.Random(4)
+    texts = [" ".join(draw.choices(["alpha", "Beta", "g\u00e9ant", "x\0y", "d3lta", "..", "\u00c9e"], k=draw.randint(0, 40))) for _ in range(200)]
+    data = [*enumerate(texts), (3, texts[3]), (3, texts[3]), (None, texts[5]), (7, None), (8, ""), (9, LONG)]
+    target = ["alpha BETA alpha", None, "", "g\u00e9ant d3lta"]
+    rows_of = spark.createDataFrame([(i, t, "x", 1, 0) for i, t in data], "doc_id long, text string, id string, weight int, rank int").repartition(5)
+    items = spark.createDataFrame([(k, t) for k, t in enumerate(target)], "item_id long, text string")
+    for longest, buckets, percent, least in [(1, 10_000, 10, 20), (3, 97, 50, 3), (2, 500, 100, 0)]:
+        got = resample.resample(rows_of, items, longest=longest, buckets=buckets, percent=percent, least_words=least).collect()
+        assert collections.Counter(map(tuple, got)) == resampled(data, target, longest, buckets, percent, least)
+    assert resample.resample(rows_of, items.limit(0)).count() == len(data)
+    assert resample.resample(none, items).count() == 0
 
 
 def test_plan_is_close_to_the_bound():

@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 import collections
+import math
 import re
+import zlib
 
 import corpus_pipeline
+import numpy as np
+import public_tokenizers
+import pytest
 from repoloom.llm import queries
+from tokenizers import Tokenizer
 
 SF = "/root/testdata/sf0.001"
 STAGE = dict(corpus_pipeline.STAGES)
@@ -109,4 +115,65 @@ def test_pipeline_stages_only_drop_rows(spark):
 
 
 def test_every_operator_has_its_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.RUNS) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.RUNS) == list(range(1, 14))
+
+
+def sequences(rows, capacity=4096):
+    """Each sequence's length; its pieces lie gapless from 0."""
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r.sequence_id].append((r.offset, r.length))
+    out = []
+    for places in by.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at and length > 0
+            at += length
+        assert at <= capacity
+        out.append(at)
+    return out
+
+
+@pytest.mark.parametrize(("name", "closing"), [("op3_best_fit_packing", 1), ("op11_histogram_packing", 2)])
+def test_packed_ids_are_the_tokenizers(spark, name, closing):
+    whole = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    got = queries.RUNS[name](spark, SF).collect()
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r.doc_id].append((r.start, r.length, r.ids_crc32))
+    docs = texts(spark.read.parquet(f"{SF}/documents.parquet"))
+    assert set(by) == set(docs)
+    for i, text in docs.items():
+        ids = [*whole.encode(text or "", add_special_tokens=False).ids, closing]
+        at = 0
+        for start, length, crc in sorted(by[i]):
+            assert start == at and crc == zlib.crc32(b"".join(t.to_bytes(4, "little") for t in ids[at : at + length]))
+            at += length
+        assert at == len(ids)
+    lengths = sequences(got)
+    if name.startswith("op11"):
+        assert {r.doc_id: r.doc_tokens for r in got} == {i: sum(p[1] for p in pieces) for i, pieces in by.items()}
+        assert all(n & (n - 1) == 0 for n in lengths), "no sequence is padded"
+    else:
+        assert len(lengths) <= 1.02 * -(-sum(lengths) // 4096)
+
+
+def test_whitening_equals_exact_sums(spark):
+    rows = {r.vec_id: r.embedding for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()}
+    x = {i: [math.floor(64 * c) + 1_000_000 for c in v] for i, v in rows.items()}
+    n, d = len(x), len(next(iter(x.values())))
+    sums = [sum(v[j] for v in x.values()) for j in range(d)]
+    z = np.array([[n * v[j] - sums[j] for j in range(d)] for v in x.values()], dtype=object)
+    cov = (z.T.dot(z) / n**3).astype(float)
+    values, vectors = np.linalg.eigh(cov)
+    values, vectors = values[::-1][:32], vectors[:, ::-1][:, :32]
+    want = (z / n).astype(float) @ vectors / np.sqrt(values)
+    got = queries.RUNS["op12_embedding_whitening"](spark, SF).collect()
+    table = np.full((n, 32), np.nan)
+    at = {i: k for k, i in enumerate(x)}
+    for r in got:
+        table[at[r.vec_id], r.component - 1] = r.whitened
+        assert r.n == n and r.deviation == sum(t * t for t in z[at[r.vec_id]]) and r.identity_error < 1e-9
+        assert abs(r.explained - values[r.component - 1] / np.trace(cov)) < 1e-9
+    sign = np.sign((table * want).sum(axis=0))
+    assert len(got) == 32 * n and np.abs(table - want * sign).max() < 1e-6
