@@ -46,7 +46,7 @@ def _stretches(text: str) -> Iterator[str]:
 class Encoder:
     """Ids of texts; known words are kept in two generations of at most ``most``, frequent ones move to the newer."""
 
-    def __init__(self, path: str, most: int = 500_000) -> None:
+    def __init__(self, path: str, most: int = 700_000) -> None:
         from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -70,7 +70,7 @@ class Encoder:
     def _by_runs(self, words: list[str]) -> None:
         """Words of plain characters: lowered, parted into runs, and the runs' ids joined again."""
         found = _RUNS.findall("\n".join(words).lower())
-        if len(self.runs) > self.most:
+        if 2 * len(self.runs) > self.most:
             self.runs = {"\n": _BREAK}
         runs, raw, tokenize = self.runs, self.raw, self.tokenizer.model.tokenize
         for run in set(found).difference(runs):
@@ -83,9 +83,9 @@ class Encoder:
         if len(self.known) > self.most:
             self.known, self.older = {"": b""}, self.known
         new = words.difference(self.known)
-        met = new.intersection(self.older)
+        met = [w for w in new if w in self.older]  # intersection() would walk the whole dictionary
         self.known.update((w, self.older[w]) for w in met)
-        new -= met
+        new.difference_update(met)
         odd = set(filter(_ODD.search, new)) if _ODD.search("\n".join(new)) else set()
         self._whole(list(odd))
         if new - odd:
@@ -98,7 +98,8 @@ class Encoder:
         return self._encode(texts)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        words = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        plain = (t if _ODD.search(t) else t.lower() for t in texts)
+        words = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in plain]
         self._meet(set().union(*words))
         get = self.known.__getitem__
         return [b"".join(map(get, w)) for w in words]
