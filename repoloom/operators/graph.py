@@ -3,7 +3,8 @@
 A graph is three tables, each keyed by ``repo``: components, external services
 and a bag of edges (source, target, edge_type, protocol, confidence).
 Iterative parts work on all repositories at once and write one small table per
-round (see :func:`repoloom.runtime.stage`).
+round (see :func:`repoloom.runtime.stage`); chains and rings shrink by half in
+each, so that their length costs a logarithm of rounds.
 """
 
 from __future__ import annotations
@@ -125,60 +126,74 @@ def without_analysis(components: DataFrame, analyses: DataFrame) -> DataFrame:
     return components.join(analyses.select("repo", F.col("component").alias("name")), ["repo", "name"], "left_anti")
 
 
-# --- peeling ----------------------------------------------------------------
+# --- contraction ------------------------------------------------------------
 
+#: Longer than any path, so that the weights of edges inside cycles stay bounded.
+_FAR = 1 << 40
+#: Staged tables that are united before they are written as one.
+_UNITE = 16
 
-def _peel(edges: DataFrame, label: str) -> tuple[DataFrame, DataFrame | None]:
-    """Remove edges round by round, each at the depth of its target.
 
-    ``edges`` has (repo, source, target, known): ``known`` is the depth of the
-    target where it is settled already, null where the target has edges of its
-    own in here. In round r an edge goes when its target has depth r; a source
-    whose last edge goes in round r therefore has depth r + 1.
+def _gather(parts: list[DataFrame], label: str) -> list[DataFrame]:
+    """The same rows in one table, once there are many parts."""
+    return [stage(_union(parts), label)[0]] if len(parts) >= _UNITE else parts
 
-    Returns the removed edges as (repo, source, target, depth of target) and
-    what cannot be removed because of cycles (null if nothing is left).
-    """
-    gone: list[DataFrame] = []
-    left, at = edges, 0
-    placed = None
-    while True:
-        hit = F.coalesce(F.col("known") <= at, F.lit(False))
-        if placed is not None:
-            fresh = placed.select("repo", F.col("source").alias("target"), F.lit(True).alias("_hit"))
-            left = left.join(fresh, ["repo", "target"], "left")
-            hit = hit | F.coalesce("_hit", F.lit(False))
-        step = left.select("repo", "source", "target", "known", hit.alias("hit"))
-        step, seen = stage(
-            step, f"{label}-{at}",
-            hits=F.count_if("hit"), left=F.count_if(~F.col("hit")),
-            soonest=F.min(F.when(~F.col("hit"), F.col("known"))),
-        )
-        if seen["hits"]:
-            gone.append(step.filter("hit").select("repo", "source", "target", F.lit(at).alias("depth")))
-        left = step.filter("not hit").select("repo", "source", "target", "known")
-        if not seen["left"]:
-            return _removed(gone, edges), None
-        if seen["hits"]:
-            placed = step.groupBy("repo", "source").agg(F.bool_and("hit").alias("done")).filter("done")
-            at += 1
-        elif seen["soonest"] is not None:
-            placed, at = None, seen["soonest"]
-        else:
-            return _removed(gone, edges), left
+
+#: One round of :func:`_settle`. ``known`` is what a node's floor comes to where its last edge leads to a settled node.
+_STATUS = """
+select repo, source as name, count_if(target <> '') as n, max(case when target = '' then w end) as floor,
+  max(case when target <> '' then target end) as next, max(case when target <> '' then w end) as w
+from {rows} group by repo, source
+"""
+_ROUND = """
+with goals as (
+  select s.repo, s.name, s.n, s.floor, s.next, s.w, 
+    case when s.n = 0 then s.floor when z.name is not null then greatest(s.floor, s.w + z.floor) end as known
+  from {status} s left join (select repo, name, floor from {status} where n = 0) z on s.n = 1 and z.repo = s.repo and z.name = s.next
+), moved as (
+  select e.repo, e.source, inline(case
+    when g.name is null then array(struct('' as target, e.w as w, 1 as hit))
+    when g.known is not null then array(struct('' as target, e.w + g.known as w, 1 as hit))
+    when g.n = 1 and g.floor is null then array(struct(g.next as target, e.w + g.w as w, 0 as hit))
+    when g.n = 1 then array(struct(g.next as target, e.w + g.w as w, 0 as hit), struct('' as target, e.w + g.floor as w, 0 as hit))
+    else array(struct(e.target as target, e.w as w, 0 as hit)) end)
+  from {rows} e left join goals g on g.repo = e.repo and g.name = e.target where e.target <> ''
+)
+select repo, source, target, least(max(w), {far}) as w, sum(hit) as hit
+from (select * from moved union all select repo, name, '', floor, 0 from {status} where n > 0 and floor is not null)
+group by repo, source, target
+"""
 
 
-def _removed(gone: list[DataFrame], edges: DataFrame) -> DataFrame:
-    if gone:
-        return _union(gone)
-    return edges.limit(0).select("repo", "source", "target", F.lit(0).alias("depth"))
+def _settle(rows: DataFrame, label: str) -> tuple[DataFrame, DataFrame | None]:
+    """Longest way down from each source, and the sources that reach a cycle.
 
+    ``rows`` has (repo, source, target, w), one row per source and target: an
+    edge of length w or, with the target '' that is no name, a floor. In every
+    round, all at once, edges to settled nodes become floors, and edges to a
+    node with a single edge jump to where that leads, so a chain shortens by
+    half. One table is written per round, of the edges not yet settled.
 
-def _seed(pairs: DataFrame) -> DataFrame:
-    """Edges whose target has no edges of its own start with a known depth 0."""
-    sources = pairs.select("repo", F.col("source").alias("target")).distinct().withColumn("_busy", F.lit(True))
-    marked = pairs.join(sources, ["repo", "target"], "left")
-    return marked.select("repo", "source", "target", F.when(F.col("_busy").isNull(), F.lit(0)).alias("known"))
+    Returns (repo, name, depth) and (repo, name) of what reaches a cycle, null
+    if nothing does. Some edge becomes a floor in each round as long as a node
+    off the cycles is open, so a round without ends the search.
+    """
+    spark, settled, turn = rows.sparkSession, [], 0
+    while True:
+        status = spark.sql(_STATUS, rows=rows)
+        settled = _gather([*settled, status.filter("n = 0").selectExpr("repo", "name", "floor as depth")], f"{label}-settled")
+        after, seen = stage(spark.sql(_ROUND, rows=rows, status=status, far=_FAR), f"{label}-{turn}", edges=F.count_if(F.col("target") != ""), hits=F.sum("hit"))
+        if not seen["hits"]:
+            stuck = status.filter("n > 0").select("repo", "name")
+            return _union(settled), stuck if seen["edges"] else None
+        rows, turn = after.drop("hit"), turn + 1
+
+
+def _inside(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs with both ends among ``nodes`` (repo, name)."""
+    for end in ("source", "target"):
+        pairs = pairs.join(nodes.select("repo", F.col("name").alias(end)), ["repo", end], "left_semi")
+    return pairs
 
 
 def _flip(pairs: DataFrame) -> DataFrame:
@@ -208,46 +223,126 @@ def _spread(start: DataFrame, arcs: DataFrame, label: str) -> DataFrame:
         step += 1
 
 
-def _cycles(pairs: DataFrame) -> DataFrame:
-    """(repo, name, scc_id) of nodes on cycles, for a graph without sinks.
+@dataclass(frozen=True)
+class _Followers:
+    """Nodes with a single edge, out of the graph, and how to find them again."""
+
+    entries: DataFrame  # repo, source, target, end: edges of other nodes to followers, and where those lead
+    ends: DataFrame  # repo, name, end
+    jumps: list[DataFrame]  # by doubled distance: repo, name, next
+
+
+def _follow(pairs: DataFrame, label: str) -> tuple[DataFrame, _Followers, DataFrame, int] | None:
+    """Take the nodes with a single edge out of a graph: each leads, in doubled steps, to a node with several or round a ring.
+
+    Returns the edges among the others, now to where followers lead; the
+    followers; rings (repo, name, rep); and how many edges are left. Null if
+    there are no followers.
+    """
+    single = pairs.groupBy("repo", F.col("source").alias("name")).agg(F.count(F.lit(1)).alias("n"), F.max("target").alias("next")).filter("n = 1")
+    now, seen = stage(single.select("repo", "name", "next", F.col("name").alias("low")), f"{label}-single", n=F.count(F.lit(1)))
+    if not seen["n"]:
+        return None
+    jumps, reach = [now], 1
+    while True:
+        far = now.selectExpr("repo", "name as next", "next as beyond", "low as _low")
+        step = now.join(far, ["repo", "next"], "left").selectExpr(
+            "repo", "name", "coalesce(beyond, next) as next", "least(low, coalesce(_low, low)) as low", "beyond is not null as open")
+        step, moved = stage(step, f"{label}-jump-{len(jumps)}", open=F.count_if("open"))
+        if not moved["open"]:
+            break
+        now, reach = step.select("repo", "name", "next", "low"), 2 * reach
+        jumps.append(now)
+        if reach >= seen["n"]:  # whoever still leads to a follower leads into a ring of them
+            break
+    names = now.select("repo", F.col("name").alias("next"))
+    ends = now.join(names, ["repo", "next"], "left_anti").select("repo", "name", F.col("next").alias("end"))
+    on_ring = now.join(names, ["repo", "next"], "left_semi").select("repo", F.col("next").alias("name")).distinct()
+    rings = now.join(on_ring, ["repo", "name"], "left_semi").select("repo", "name", F.col("low").alias("rep"))
+    lost = now.join(names, ["repo", "next"], "left_semi").select("repo", F.col("name").alias("target"))
+    led = (
+        pairs.join(now.select("repo", F.col("name").alias("source")), ["repo", "source"], "left_anti")
+        .join(lost, ["repo", "target"], "left_anti")
+        .join(ends.select("repo", F.col("name").alias("target"), "end"), ["repo", "target"], "left"))
+    led, seen = stage(led, f"{label}-led", edges=F.count(F.lit(1)))
+    left = led.select("repo", "source", F.coalesce("end", "target").alias("target")).distinct()
+    return left, _Followers(led.filter("end is not null"), ends, jumps), rings, seen["edges"]
+
+
+def _unfollow(reps: DataFrame, took: _Followers, label: str) -> DataFrame:
+    """``reps`` (repo, name, rep) with the followers that lie on cycles: those on the way from an entry to its end, if both are on one cycle."""
+    of = lambda end: reps.select("repo", F.col("name").alias(end), F.col("rep").alias(f"_{end}"))
+    inner = took.entries.join(of("source"), ["repo", "source"]).join(of("end"), ["repo", "end"]).filter("_source = _end")
+    marked, seen = stage(inner.select("repo", F.col("target").alias("name")).distinct(), f"{label}-marked", n=F.count(F.lit(1)))
+    if not seen["n"]:
+        return reps
+    for k in reversed(range(len(took.jumps))):
+        further = marked.join(took.jumps[k], ["repo", "name"]).select("repo", F.col("next").alias("name"))
+        marked, _ = stage(marked.union(further).distinct(), f"{label}-marked-{k}")
+    on = marked.join(took.ends, ["repo", "name"]).join(of("end"), ["repo", "end"]).select("repo", "name", F.col("_end").alias("rep"))
+    return stage(reps.union(on), f"{label}-reps")[0]
+
+
+def _colours(pairs: DataFrame, label: str) -> DataFrame:
+    """(repo, name, rep) of some strong components, at least one of each graph.
 
     Every node takes the least name among itself and the nodes that reach it;
     a node that keeps its own name roots a component, made of the nodes with
-    its colour that reach back to it. Settled nodes leave and the rest repeats.
-    Work per round is linear in the edges, also for one giant cycle.
+    its colour that reach back to it: many roots at once.
     """
-    found: list[DataFrame] = []
-    _, core = _peel(_seed(_flip(pairs)), "trim")
-    turn = 0
-    while core is not None:
-        arcs = _flip(core.select("repo", "source", "target"))
-        ends = arcs.select("repo", F.col("source").alias("name")).union(arcs.select("repo", F.col("target").alias("name")))
-        nodes, _ = stage(ends.distinct(), f"core-{turn}")
-        colour = _spread(nodes.withColumn("mark", F.col("name")), arcs, f"colour-{turn}")
-        tint = lambda col: colour.select("repo", F.col("name").alias(col), F.col("mark").alias(f"_{col}"))
-        same = (
-            arcs.join(tint("source"), ["repo", "source"]).join(tint("target"), ["repo", "target"])
-            .filter("_source = _target").select("repo", "source", "target")
-        )
-        same, _ = stage(same, f"same-{turn}")
-        back = _spread(colour.filter("name = mark"), _flip(same), f"back-{turn}")
-        settled, _ = stage(back.select("repo", "name", F.col("mark").alias("scc_id")), f"scc-{turn}")
-        found.append(settled)
-        rest = arcs
-        for end in ("source", "target"):
-            rest = rest.join(settled.select("repo", F.col("name").alias(end)), ["repo", end], "left_anti")
-        rest, seen = stage(rest, f"rest-{turn}", n=F.count("*"))
-        # trim both ways: what now has no way in or out is on no cycle
-        core = _flip(rest) if seen["n"] else None
-        if core is not None:
-            _, lower = _peel(_seed(core), f"lower-{turn}")
-            core = None
-            if lower is not None:
-                _, core = _peel(_seed(_flip(lower)), f"upper-{turn}")
-        turn += 1
-    if not found:
+    ends = pairs.select("repo", F.col("source").alias("name")).union(pairs.select("repo", F.col("target").alias("name")))
+    colour = _spread(ends.distinct().withColumn("mark", F.col("name")), pairs, f"{label}-colour")
+    tint = lambda col: colour.select("repo", F.col("name").alias(col), F.col("mark").alias(f"_{col}"))
+    same = pairs.join(tint("source"), ["repo", "source"]).join(tint("target"), ["repo", "target"]).filter("_source = _target")
+    same, _ = stage(same.select("repo", "source", "target"), f"{label}-same")
+    back = _spread(colour.filter("name = mark"), _flip(same), f"{label}-back")
+    return back.select("repo", "name", F.col("mark").alias("rep"))
+
+
+def _cycles(pairs: DataFrame) -> DataFrame:
+    """(repo, name, scc_id) of the nodes on cycles, for a graph whose nodes all reach a cycle.
+
+    Nodes that no cycle reaches go first. Then nodes with a single edge out, or
+    in, are taken out in turn, with rings and chains of any length in a
+    logarithm of rounds, until what is left has neither; of that, colours find
+    components. Last, the nodes taken out join the components they lie on.
+    """
+    _, reached = _settle(_flip(pairs).withColumn("w", F.lit(1).cast("long")), "reached")
+    if reached is None:
         return pairs.limit(0).select("repo", F.col("source").alias("name"), F.col("target").alias("scc_id"))
-    return _union(found)
+    left, seen = stage(_inside(pairs, reached), "core", n=F.count(F.lit(1)))
+    undo: list[tuple[_Followers, DataFrame]] = []  # and the nodes that were left then with an edge to themselves
+    found: list[DataFrame] = []
+    none = left.limit(0).select("repo", F.col("source").alias("name"), F.col("target").alias("rep"))
+    turn, idle, flipped = 0, 0, False
+    while seen["n"]:
+        arcs = _flip(left) if flipped else left
+        took = _follow(arcs, f"follow-{turn}")
+        if took:
+            rest, followers, rings, _ = took
+            found.append(rings)
+            loops = rest.filter("source = target").select("repo", F.col("source").alias("name"))
+            undo.append((followers, loops))
+            rest, idle = rest.filter("source <> target"), 0
+        else:
+            rest, idle = arcs, idle + 1
+        rest = _flip(rest) if flipped else rest
+        if idle == 2:  # neither way
+            part, _ = stage(_colours(rest, f"core-{turn}"), f"part-{turn}")
+            found.append(part)
+            for end in ("source", "target"):
+                rest = rest.join(part.select("repo", F.col("name").alias(end)), ["repo", end], "left_anti")
+            idle = 0
+        if took or idle == 0:
+            left, seen = stage(rest, f"left-{turn}", n=F.count(F.lit(1)))
+        flipped, turn = not flipped, turn + 1
+    reps = _union(found) if found else none
+    for k, (followers, loops) in enumerate(reversed(undo)):
+        alone = loops.join(reps, ["repo", "name"], "left_anti").select("repo", "name", F.col("name").alias("rep"))
+        reps = _unfollow(reps.union(alone), followers, f"undo-{k}")
+    # a component is named by the least of its names
+    names = reps.groupBy("repo", "rep").agg(F.min("name").alias("scc_id"))
+    return reps.join(names, ["repo", "rep"]).select("repo", "name", "scc_id")
 
 
 # --- cycles and depth --------------------------------------------------------
@@ -271,46 +366,34 @@ class _Layers:
 
 def _layers(components: DataFrame, edges: DataFrame, need_depth: bool = True) -> _Layers:
     pairs, _ = stage(_inner_pairs(components, edges), "pairs")
-    removed, stuck = _peel(_seed(pairs), "peel")
-    flat = removed.groupBy("repo", F.col("source").alias("name")).agg((F.max("depth") + 1).alias("depth"))
+    unit = F.lit(1).cast("long")
+    flat, stuck = _settle(pairs.withColumn("w", unit), "depth")
     if stuck is None:
-        none = flat.limit(0).select("repo", "name", F.col("name").alias("scc_id"))
-        return _Layers(none, flat)
-    inner = stuck.select("repo", "source", "target")
+        return _Layers(flat.limit(0).select("repo", "name", F.col("name").alias("scc_id")), flat)
+    flat, _ = stage(flat, "settled")
+    inner, _ = stage(_inside(pairs, stuck), "inner")
     scc, _ = stage(_cycles(inner), "cycles")
     if not need_depth:
         return _Layers(scc, flat)
 
-    # The part above the cycles, with every cycle shrunk to one node. Edges
-    # that went earlier come back as one known depth per source.
-    busy = inner.select("repo", "source").distinct()
-    floors = (
-        removed.join(busy, ["repo", "source"], "left_semi")
-        .groupBy("repo", "source").agg(F.max("depth").alias("known"))
-    )
-    shrink = lambda df, end: df.join(
-        scc.select("repo", F.col("name").alias(end), F.col("scc_id").alias("_scc")), ["repo", end], "left"
-    ).withColumn(end, F.coalesce("_scc", end)).drop("_scc")
-    # '' is no component name, so it can stand for the settled part
-    known = shrink(floors, "source").groupBy("repo", "source").agg(F.max("known").alias("known")).select(
-        "repo", "source", F.lit("").alias("target"), "known"
-    )
-    upper = shrink(shrink(inner, "source"), "target").filter("source <> target").distinct()
-    sources = upper.select("repo", "source").unionByName(known.select("repo", "source")).distinct()
-    ground = upper.join(
-        sources.select("repo", F.col("source").alias("target"), F.lit(True).alias("_busy")), ["repo", "target"], "left"
-    ).select("repo", "source", "target", F.when(F.col("_busy").isNull(), F.lit(0)).alias("known"))
-    shrunk, rest = _peel(ground.unionByName(known), "upper")
+    # The part above the cycles, with every cycle shrunk to one node; what is settled below gives floors.
+    def shrink(df: DataFrame, end: str) -> DataFrame:
+        short = scc.select("repo", F.col("name").alias(end), F.col("scc_id").alias("_scc"))
+        return df.join(short, ["repo", end], "left").withColumn(end, F.coalesce("_scc", end)).drop("_scc")
+
+    below = (
+        pairs.join(stuck.select("repo", F.col("name").alias("source")), ["repo", "source"], "left_semi")
+        .join(stuck.select("repo", F.col("name").alias("target")), ["repo", "target"], "left_anti")
+        .join(flat.select("repo", F.col("name").alias("target"), "depth"), ["repo", "target"], "left")
+        .select("repo", "source", F.lit("").alias("target"), (F.coalesce("depth", F.lit(0)) + 1).alias("w")))
+    above = shrink(inner, "target").withColumn("w", unit).unionByName(below)
+    rows = shrink(above, "source").filter("source <> target").groupBy("repo", "source", "target").agg(F.max("w").alias("w"))
+    by_node, rest = _settle(stage(rows, "shrunk")[0], "above")
     if rest is not None:
         raise RuntimeError("a cycle was left after shrinking the strong components")
-    by_node = shrunk.groupBy("repo", F.col("source").alias("scc_id")).agg((F.max("depth") + 1).alias("depth"))
-    members = (
-        inner.select("repo", F.col("source").alias("name")).union(inner.select("repo", F.col("target").alias("name")))
-        .distinct().join(scc, ["repo", "name"], "left").withColumn("scc_id", F.coalesce("scc_id", "name"))
-    )
-    above = members.join(by_node, ["repo", "scc_id"], "left").select("repo", "name", F.coalesce("depth", F.lit(0)).alias("depth"))
-    below = flat.join(above, ["repo", "name"], "left_anti")
-    return _Layers(scc, below.unionByName(above))
+    members = stuck.join(scc, ["repo", "name"], "left").withColumn("scc_id", F.coalesce("scc_id", "name"))
+    upper = members.join(by_node.select("repo", F.col("name").alias("scc_id"), "depth"), ["repo", "scc_id"], "left")
+    return _Layers(scc, flat.unionByName(upper.select("repo", "name", F.coalesce("depth", F.lit(0).cast("long")).alias("depth"))))
 
 
 def strong_components(components: DataFrame, edges: DataFrame) -> DataFrame:
@@ -348,12 +431,12 @@ def topological_order(subset: DataFrame, edges: DataFrame) -> DataFrame:
     pairs, seen = stage(_inner_pairs(subset, edges, loops=True), "pairs", loops=F.count_if(F.col("source") == F.col("target")))
     if seen["loops"]:
         raise CycleError("the subset has a dependency cycle")
-    removed, stuck = _peel(_seed(pairs), "order")
+    level, stuck = _settle(pairs.withColumn("w", F.lit(1).cast("long")), "order")
     if stuck is not None:
         raise CycleError("the subset has a dependency cycle")
-    level = removed.groupBy("repo", F.col("source").alias("name")).agg((F.max("depth") + 1).alias("level"))
+    level = level.withColumnRenamed("depth", "level")
     return subset.select("repo", "name").distinct().join(level, ["repo", "name"], "left").select(
-        "repo", "name", F.coalesce("level", F.lit(0)).alias("level")
+        "repo", "name", F.coalesce("level", F.lit(0)).cast("int").alias("level")
     )
 
 

@@ -1,10 +1,12 @@
 from __future__ import annotations
 
+import math
 import random
 
 import pytest
 
 from repoloom.operators import graph as kg
+from repoloom.runtime import stage
 
 SHAPES = {
     "empty": [], "chain": ["b>a", "c>b"], "diamond": ["b>a", "c>a", "d>b", "d>c"], "two": ["a>b", "b>a"], "cycle_top": ["a>b", "b>a", "c>a"],
@@ -44,20 +46,64 @@ def test_depths_against_reachability(spark):
         nodes = sorted({n for p in pairs for n in p if n != "zz"} | {"solo"})
         graphs[repo] = (nodes, pairs)
     rng = random.Random(7)
-    for i in range(12):
+    for i in range(30):
         nodes = [f"n{k}" for k in range(14)]
-        graphs[f"random{i}"] = (nodes, [(rng.choice(nodes), rng.choice(nodes)) for _ in range(4 + 2 * i)])
+        graphs[f"random{i}"] = (nodes, [(rng.choice(nodes), rng.choice(nodes)) for _ in range(4 + i)])
     comps, edges = frames(spark, graphs)
     got = {(r.repo, r.name): (r.scc_id, r.depth) for r in kg.depth_levels(comps, edges).collect()}
     want = {(repo, n): v for repo, (nodes, arcs) in graphs.items() for n, v in expected(nodes, [a for a in arcs if a[1] != "zz"]).items()}
     assert got == want
 
 
-def test_long_cycle_and_chain(spark):
-    ring = [(f"n{i:02d}", f"n{(i + 1) % 9:02d}") for i in range(9)]
-    comps, edges = frames(spark, {"ring": ([f"n{i:02d}" for i in range(9)] + ["top"], ring + [("top", "n04")])})
+@pytest.fixture
+def rounds(monkeypatch):
+    """Names of the tables that the graph jobs write."""
+    written = []
+
+    def counted(df, label, **metrics):
+        written.append(label)
+        return stage(df, label, **metrics)
+
+    monkeypatch.setattr(kg, "stage", counted)
+    return written
+
+
+def names(n):
+    return [f"n{i:05d}" for i in range(n)]
+
+
+def test_long_ring_and_chain(spark, rounds):
+    """Ten thousand nodes in a ring, with a chain onto it, and in a chain alone: a logarithm of rounds."""
+    n = 10_000
+    most = 4 * math.log2(n)
+    ids = names(n)
+    ring = [(a, b) for a, b in zip(ids, [*ids[1:], ids[0]], strict=True)]
+    comps, edges = frames(spark, {"ring": ([*ids, "top"], [*ring, ("top", ids[4])])})
+    got = {r.name: (r.scc_id, r.depth) for r in kg.depth_levels(comps, edges).collect()}
+    assert got == {**{i: (ids[0], 0) for i in ids}, "top": ("top", 1)}
+    assert len(rounds) <= most
+    rounds.clear()
+    draw = random.Random(1)
+    shuffled = draw.sample(ids, n)
+    comps, edges = frames(spark, {"chain": (ids, list(zip(shuffled, shuffled[1:], strict=False)))})
+    got = {r.name: r.depth for r in kg.depth_levels(comps, edges).collect()}
+    assert got == {i: n - 1 - k for k, i in enumerate(shuffled)} and len(rounds) <= most
+    rounds.clear()
+    got = {r.name: r.level for r in kg.topological_order(comps, edges).collect()}
+    assert got == {i: n - 1 - k for k, i in enumerate(shuffled)} and len(rounds) <= most
+
+
+def test_long_ring_with_chords_and_tails(spark, rounds):
+    """A ring of 120 with two chords, a chain onto it, a chain from it, and a second ring below that."""
+    n = 120
+    a, b, up, down = ([f"{p}{i:03d}" for i in range(n)] for p in "abud")
+    arcs = [*zip(a, [*a[1:], a[0]], strict=True), (a[10], a[70]), (a[50], a[20]), *zip(b, [*b[1:], b[0]], strict=True)]
+    arcs += [*zip(up, [*up[1:], a[7]], strict=True), (a[33], down[0]), *zip(down, [*down[1:], b[3]], strict=True)]
+    comps, edges = frames(spark, {"r": ([*a, *b, *up, *down], arcs)})
     got = {r.name: (r.scc_id, r.depth) for r in kg.depth_levels(comps, edges).collect()}
-    assert got == {**{f"n{i:02d}": ("n00", 0) for i in range(9)}, "top": ("top", 1)}
+    want = {x: ("b000", 0) for x in b} | {x: (x, n - k) for k, x in enumerate(down)} | {x: ("a000", n + 1) for x in a}
+    assert got == want | {x: (x, 2 * n + 1 - k) for k, x in enumerate(up)}
+    assert len(rounds) <= 100
 
 
 def test_topological_order(spark):
