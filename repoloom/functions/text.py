@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, SparkSession, functions as F
@@ -54,6 +55,47 @@ def all_groups(text: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+def balanced_span(text: Column, opening: str, closing: str) -> Column:
+    """From the first ``opening`` to the ``closing`` that balances it, null if none does.
+
+    A running depth over the brackets alone, each with the text before it, so
+    the cost is one step per bracket whatever the text's length.
+    """
+    tail = F.substr(text, F.nullif(F.instr(text, opening), F.lit(0)))
+    both = re.escape(opening) + re.escape(closing)
+    parts = F.regexp_extract_all(tail, F.lit(f"(?s)[^{both}]*[{both}]"), F.lit(0))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("end"))
+
+    def step(acc: Column, part: Column) -> Column:
+        depth = acc["depth"] + F.when(F.endswith(part, F.lit(opening)), 1).otherwise(-1)
+        at = acc["at"] + F.length(part)
+        end = F.when(acc["end"] > 0, acc["end"]).when(depth == 0, at).otherwise(0)
+        return F.struct(depth.alias("depth"), at.alias("at"), end.alias("end"))
+
+    end = F.aggregate(parts, start, step)["end"]
+    return F.when(end > 0, F.substr(tail, F.lit(1), end))
+
+
+def balanced_spans(text: Column, head: str, opening: str = "(", closing: str = ")") -> Column:
+    """The outermost spans ``head … closing`` whose brackets balance, in order.
+
+    ``head`` is a pattern that ends before its opening bracket. The text is
+    parted at the heads; a head that stands inside an open span belongs to it.
+    """
+    parts = F.split(text, f"(?={head}\\s*{re.escape(opening)})")
+    start = F.struct(F.lit("").alias("open"), F.array().cast("array<string>").alias("spans"))
+
+    def step(acc: Column, part: Column) -> Column:
+        now = F.concat(acc["open"], part)
+        usable = (acc["open"] != "") | F.rlike(part, F.lit(f"^{head}\\s*{re.escape(opening)}"))
+        span = F.when(usable, F.concat(F.substring_index(now, opening, 1), balanced_span(now, opening, closing)))
+        return F.struct(
+            F.when(usable & span.isNull(), now).otherwise("").alias("open"),
+            F.when(span.isNotNull(), F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+
+    return F.aggregate(parts, start, step)["spans"]
+
+
 def strip(text: Column) -> Column:
     """Remove white space of any kind at both ends (``trim`` removes blanks only)."""
     return F.regexp_replace(text, r"^\s+|\s+$", "")

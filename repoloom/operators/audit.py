@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from repoloom.functions.text import json_variant
+from repoloom.functions.text import balanced_span, json_variant
 from repoloom.functions.running import running_totals
 
 # Evidence types by expected category.
@@ -30,31 +30,14 @@ def price_table(spark: SparkSession) -> DataFrame:
 FENCED = r"(?s)```(?:json)?\s*(\{.*?\})\s*```"
 
 
-def _first_balanced(text: Column) -> Column:
-    """The first ``{…}`` whose braces balance (braces in strings count too)."""
-    tail = F.substr(text, F.nullif(F.instr(text, "{"), F.lit(0)))
-    chars = F.split(tail, "")
-    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("end"))
-
-    def step(acc: Column, ch: Column) -> Column:
-        depth = acc["depth"] + F.when(ch == "{", 1).when(ch == "}", -1).otherwise(0)
-        at = acc["at"] + 1
-        end = F.when(acc["end"] > 0, acc["end"]).when((ch == "}") & (depth == 0), at).otherwise(0)
-        return F.struct(depth.alias("depth"), at.alias("at"), end.alias("end"))
-
-    end = F.aggregate(chars, start, step)["end"]
-    return F.when(end > 0, F.substr(tail, F.lit(1), end))
-
-
 def extract_json(answers: DataFrame) -> DataFrame:
     """(repo, status, doc VARIANT) from free-text answers (repo, raw).
 
-    A fenced object is preferred, else the first balanced braces are tried;
-    ``parse_failed`` when neither parses. The slow scan runs only for answers
-    without a usable fence.
+    A fenced object is preferred, else the first balanced braces are tried
+    (braces in strings count too); ``parse_failed`` when neither parses.
     """
     fenced = json_variant(F.nullif(F.regexp_extract("raw", FENCED, 1), F.lit("")))
-    doc = F.when(fenced.isNotNull(), fenced).otherwise(json_variant(_first_balanced(F.col("raw"))))
+    doc = F.when(fenced.isNotNull(), fenced).otherwise(json_variant(balanced_span(F.col("raw"), "{", "}")))
     return answers.select("repo", doc.alias("doc")).select(
         "repo", F.when(F.col("doc").isNull(), "parse_failed").otherwise("ok").alias("status"), "doc"
     )

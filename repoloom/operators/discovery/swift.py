@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from repoloom.functions.paths import join_path, segments
-from repoloom.functions.text import all_groups, contains_any, first_group
+from repoloom.functions.text import all_groups, balanced_span, balanced_spans, contains_any, first_group
 from repoloom.operators.discovery.common import Inventory, ckey, component_rows, external_rows, folder_name, internal_rows, manifests, sources, under, union
 from repoloom.runtime import stage
 
@@ -13,7 +13,8 @@ FILE = "Package.swift"
 # Formats of manifest parts.
 PACKAGE_NAME = r'Package\s*\(\s*name\s*:\s*"([^"]+)"'
 PACKAGE_DEP = r'\.package\s*\([^)]*url\s*:\s*"([^"]+)"[^)]*\)'
-TARGET = r'(?s)\.(target|executableTarget|testTarget|binaryTarget|systemLibrary)\s*\(\s*name\s*:\s*"([^"]+)"([^)]*)\)'
+TARGET_HEAD = r"\.(?:target|executableTarget|testTarget|binaryTarget|systemLibrary)"
+TARGET_NAME = r'^\.(\w+)\s*\(\s*name\s*:\s*"([^"]+)"'
 TARGET_DEP = r'\.(?:product|target)\s*\(\s*name\s*:\s*"([^"]+)"[^)]*\)|"([A-Za-z_][A-Za-z0-9_]*)"'
 # Names and texts that mark a service, an app or a CLI.
 SERVICE_NAMES = ["server", "service", "daemon", "api", "backend", "proxy"]
@@ -37,14 +38,16 @@ def requirements(packages: DataFrame) -> DataFrame:
 
 
 def targets(packages: DataFrame) -> DataFrame:
-    """(repo, manifest_path, dir, pos, type, target, deps, path) of all targets."""
-    rows = packages.select("repo", "manifest_path", "dir", F.posexplode(all_groups(F.col("content"), TARGET, 0)).alias("pos", "t"))
-    part = lambda g: F.regexp_extract("t", TARGET, g)
-    body = part(3)
-    names = F.transform(all_groups(body, TARGET_DEP, 0), lambda d: F.coalesce(first_group(d, TARGET_DEP, 1), first_group(d, TARGET_DEP, 2)))
+    """(repo, manifest_path, dir, pos, type, target, deps, path) of all targets, each read to its own closing bracket."""
+    spans = F.filter(balanced_spans(F.col("content"), TARGET_HEAD), lambda t: F.rlike(t, F.lit(TARGET_NAME)))
+    rows = packages.select("repo", "manifest_path", "dir", F.posexplode(spans).alias("pos", "t"))
+    listed = F.coalesce(balanced_span(first_group(F.col("t"), r"(?s)dependencies\s*:\s*(\[.*)"), "[", "]"), F.lit(""))
+    names = F.transform(all_groups(listed, TARGET_DEP, 0), lambda d: F.coalesce(first_group(d, TARGET_DEP, 1), first_group(d, TARGET_DEP, 2)))
+    # the path of the target itself: dependencies may have one too
+    own = F.replace(F.col("t"), listed, F.lit(""))
     return rows.select(
-        "repo", "manifest_path", "dir", "pos", part(1).alias("type"), part(2).alias("target"), names.alias("deps"),
-        first_group(body, r'path\s*:\s*"([^"]+)"').alias("path"),
+        "repo", "manifest_path", "dir", "pos", F.regexp_extract("t", TARGET_NAME, 1).alias("type"), F.regexp_extract("t", TARGET_NAME, 2).alias("target"),
+        names.alias("deps"), first_group(own, r'path\s*:\s*"([^"]+)"').alias("path"),
     )
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from repoloom.functions.paths import ancestors, dirname, segments
 from repoloom.operators.graph import simple_graph
+from repoloom.runtime import stage
 
 
 def _clean_roots(components: DataFrame) -> DataFrame:
@@ -86,22 +89,29 @@ def change_worklist(changed: DataFrame, components: DataFrame, files_per_compone
     )
 
 
-def affected_dependents(affected: DataFrame, edges: DataFrame, hops: int = 1) -> DataFrame:
-    """(repo, component, hop): what depends on the changed set, at most ``hops``
-    away; the changed components themselves are not repeated."""
-    from repoloom.runtime import stage
+def affected_dependents(affected: DataFrame, edges: DataFrame, hops: int | None = None) -> DataFrame:
+    """(repo, component, hop): what depends on the changed set, directly or
+    through others, with the least number of steps; at most ``hops`` away if
+    that is given. The changed components themselves are not repeated.
 
+    Semi-naive: a round joins only what the round before found, so each edge is
+    met once; there are as many rounds as the farthest dependent is away.
+    """
     pairs = simple_graph(edges).select("repo", F.col("source").alias("component"), F.col("target").alias("_to"))
-    seen = affected.select("repo", "component").distinct().withColumn("hop", F.lit(0))
-    for hop in range(1, hops + 1):
-        front = seen.filter(F.col("hop") == hop - 1).select("repo", F.col("component").alias("_to"))
-        new = pairs.join(front, ["repo", "_to"], "left_semi").select("repo", "component").distinct()
-        new = new.join(seen, ["repo", "component"], "left_anti").withColumn("hop", F.lit(hop))
-        if hops == 1:
-            seen = seen.unionByName(new)
-            break
-        new, got = stage(new, f"hop-{hop}", n=F.count("*"))
+    pairs, _ = stage(pairs, "arcs")
+    front, _ = stage(affected.select("repo", "component").distinct(), "hop-0")
+    seen, found = [front], []
+    hop = 0
+    while hops is None or hop < hops:
+        hop += 1
+        new = pairs.join(front.withColumnRenamed("component", "_to"), ["repo", "_to"], "left_semi").select("repo", "component").distinct()
+        if len(seen) >= 16:
+            seen = [stage(reduce(DataFrame.union, seen), "reached")[0]]
+            found = [stage(reduce(DataFrame.union, found), "found")[0]]
+        new = new.join(reduce(DataFrame.union, seen), ["repo", "component"], "left_anti")
+        front, got = stage(new, f"hop-{hop}", n=F.count("*"))
         if not got["n"]:
             break
-        seen = seen.unionByName(new)
-    return seen.filter("hop > 0")
+        seen.append(front)
+        found.append(front.withColumn("hop", F.lit(hop)))
+    return reduce(DataFrame.union, found) if found else front.limit(0).withColumn("hop", F.lit(0))

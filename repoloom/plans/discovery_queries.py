@@ -220,7 +220,7 @@ _SW = dict(type_="'swift-package'", manifest="concat(root_path, '/Package.swift'
           where="kind <> 'pipeline'", **_SW)
     + " union all " + comps(name="concat('Pkg', name)", kind="case kind when 'pipeline' then 'cli' else 'library' end",
                             description="case kind when 'pipeline' then '' else 'Swift package root' end", where="kind <> 'library'", **_SW)
-    + " union all " + comps(name="concat(name, 'Kit')", kind="'library'", where="kind not in ('library', 'pipeline')", **_SW), C))
+    + " union all " + comps(name="concat(name, 'Kit')", kind="'library'", root="concat(root_path, '/Lib/Kit')", where="kind not in ('library', 'pipeline')", **_SW), C))
 def sw_components(spark, sf_dir):
     return shown(swift.discover(rendered.swift_packages(spark)))
 
@@ -260,9 +260,11 @@ def swift_part(spark):
 _COUNTS = """
 n as (select repo, count(*) as n, count(case when kind = 'frontend' then 1 end) as f from e_components group by repo),
 e as (select repo, count(*) as n from e_edges group by repo), r as (select n.*, coalesce(e.n, 0) as e from n left join e on e.repo = n.repo),
-g as (select repo, count(*) as n, count(case when kind in ('service', 'contract', 'frontend') then 1 end) as e from e_components group by repo),
--- one component per root path: only these kinds have their main target elsewhere than the package and its kit
-sw as (select repo, n + e as n, e from g)"""
+g as (select repo, count(*) as n, count(case when kind in ('service', 'contract', 'frontend') then 1 end) as e,
+  count(case when kind not in ('library', 'pipeline') then 1 end) as k from e_components group by repo),
+-- one component per root path: e kinds have their main target elsewhere than the package, k kinds a kit in a folder of its own;
+-- a kit needs the main target, and a package that is there both
+sw as (select repo, n + e + k as n, k + 2 * e as e from g)"""
 
 
 @query("aud10_discover_corpus", oracle(

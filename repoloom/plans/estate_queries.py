@@ -434,3 +434,12 @@ def worklist(spark, sf_dir):
 def affected(spark, sf_dir):
     start = spark.sql("select repo, name as component from e_components where kind = 'library'")
     return incremental.affected_dependents(start, view(spark, "e_edges"), hops=3)
+
+
+@query("dif4_affected_closure", recursive(
+    "start as (select repo, name from e_components where kind = 'library'), walk as (select repo, name from start union "
+    "select e.repo, e.source from walk w join e_edges e on e.repo = w.repo and e.target = w.name)",
+    "select repo, name as component from walk except select repo, name from start", "e_components", "e_edges"))
+def affected_closure(spark, sf_dir):
+    start = spark.sql("select repo, name as component from e_components where kind = 'library'")
+    return incremental.affected_dependents(start, view(spark, "e_edges")).select("repo", "component")

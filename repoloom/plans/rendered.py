@@ -201,7 +201,8 @@ def swift_packages(spark: SparkSession) -> DataFrame:
     urls = _lines(F.col("exts"), lambda s: F.concat(F.lit('    .package(url: "https://github.com/o/'), s, F.when(F.endswith(s, F.lit("3")), '.git", exact: "2.0.0"),').otherwise('", from: "1.2.0"),')))
     first = F.when(kind == "cli", ".executableTarget").otherwise(".target")
     # libraries have one target besides the tests, pipelines declare none
-    second = F.when(kind == "library", "").otherwise(F.concat(F.lit('    .target(name: "'), "name", F.lit('Kit", dependencies: ["'), "name", F.lit('", "Vapor"]),\n')))
+    second = F.when(kind == "library", "").otherwise(F.concat(F.lit('    .target(name: "'), "name", F.lit('Kit", dependencies: [\n      .product(name: "Vapor", package: "vapor"), .product(name: "NIO", package: "nio", condition: .when(platforms: [.linux])),\n      .target(name: "'), "name",
+        F.lit('")], path: "Lib/Kit", swiftSettings: [.define("X", .when(configuration: .debug))]),\n')))
     body = F.when(kind == "pipeline", "").otherwise(F.concat(
         F.lit("    "), first, F.lit('(name: "'), "name", F.lit('"'), F.when(kind == "frontend", ', path: "App/Main"').otherwise(""), F.lit("),\n"), second,
         F.lit('    .testTarget(name: "'), "name", F.lit('Tests", dependencies: ["'), "name", F.lit('"]),\n')))

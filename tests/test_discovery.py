@@ -175,12 +175,17 @@ def test_swift(tree):
         "quiet": {"Package.swift": manifest.format("Quiet", "", "")},
         "app": {"Package.swift": manifest.format("App", "", '.target(name: "Ui")'), "Sources/Ui/a.swift": "import SwiftUI\n@main struct X {}"},
         "cli": {"Package.swift": manifest.format("C", "", '.target(name: "Run")'), "Sources/Run/main.swift": "1"},
+        "nested": {"Package.swift": manifest.format("N", "", '.target(name: "Core", swiftSettings: [.define("A", .when(configuration: .debug))]), '
+                   '.target(name: "Web", dependencies: [.product(name: "Vapor", package: "vapor"), .product(name: "Core", package: "c", condition: .when(platforms: [.linux])), .target(name: "Base")], path: "Lib/A"), '
+                   '.target(name: "Base", path: "Core")')},
     }))
     k = kinds(inv)
     assert k["multi"] == {"Core": "library", "ApiServer": "service", "Multi": "library"}
     assert k["single"] == {"Only": "library"} and k["bare"] == {"Bare": "cli"} and k["quiet"] == {"Quiet": "library"}
     assert k["app"] == {"Ui": "frontend"} and k["cli"] == {"Run": "cli"}
     assert links(inv)["multi"] == {("ApiServer", "Core"), ("Multi", "Core"), ("Multi", "ApiServer")}
+    assert k["nested"] == {"Core": "library", "Web": "library", "Base": "library", "N": "library"} and roots(inv)["nested"]["Web"] == "Lib/A"
+    assert {x for x in links(inv)["nested"] if x[0] != "N"} == {("Web", "Core"), ("Web", "Base")}
     assert externals(inv) == {("multi", "Multi", "digit"): ">=1.2.0", ("single", "Only", "x"): "2.0.0", ("single", "Only", "y"): ""}
     assert roots(inv)["multi"] == {"Core": "Sources/Core", "ApiServer": ".", "Multi": "."} and roots(inv)["single"]["Only"] == "Lib"
 

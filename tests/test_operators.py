@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
 from repoloom.functions.running import previous_rows, running_totals
+from repoloom.functions.text import balanced_span, balanced_spans
 from repoloom.operators import analyses, artifacts, audit, incremental, inventory, observability
 from repoloom.sources import files as fs
 from repoloom.sources import tables as tb
@@ -34,6 +36,55 @@ def test_resolve_against_all_pairs(spark):
     assert got == {i: want(r, d) for i, (r, _, d) in enumerate(deps) if want(r, d) is not None}
 
 
+def test_resolve_in_one_repository_of_many_names(spark):
+    """100000 names with a common part: found by rare pieces, in joins on more than the repository."""
+    n = 100_000
+    comps = spark.range(n).selectExpr("'big' as repo", "concat('service-', lpad(hex(id * 7919), 8, 'x'), '-core') as name", "concat('p/', id) as root_path", "int(id) as ordinal")
+    want = {r.root_path: r.name for r in comps.filter("ordinal % 997 = 0").collect()}
+    deps = comps.filter("ordinal % 997 = 0").selectExpr("repo", "root_path as component", "case ordinal % 2 when 0 then concat('lib/', name, '/x') else substr(name, 4, 14) end as dep")
+    deps = deps.unionByName(spark.createDataFrame([("big", "none", "service-"), ("big", "none", "nowhere"), ("big", "none", "-")], "repo string, component string, dep string"))
+    out = inventory.resolve_internal_deps(comps, deps)
+    assert {r.component: r.dep for r in out.collect()} == want
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"^[ :+-]*Join \w+, \(repo#\d+ = repo#\d+\)$", plan, re.M) and "Cross" not in plan
+
+
+def test_balanced_spans(spark):
+    """The first balanced brackets and the outermost heads, against a count over characters; also in a long text."""
+    def first(text, a, b):
+        depth, at = 0, text.find(a)
+        for i in range(at, len(text)) if at >= 0 else ():
+            depth += (text[i] == a) - (text[i] == b)
+            if not depth:
+                return text[at : i + 1]
+        return None
+
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("{}ab\n(") for _ in range(rng.randint(0, 14))) for _ in range(300)] + ["", "}{", "x{y}" * 3, "é{" + "a" * 500_000 + "{b}" * 100_000 + "}z{}"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", balanced_span(F.col("t"), "{", "}").alias("s")).collect()
+    assert {r.i: r.s for r in got} == {i: first(t, "{", "}") for i, t in enumerate(texts)}
+    heads = {"f(a(b)c) g f (x f(y)) f(": ["f(a(b)c)", "f (x f(y))"], "none": [], "f()f()": ["f()", "f()"], "(f(1)": ["f(1)"], "": []}
+    rows = spark.createDataFrame([(t,) for t in heads], "t string").select("t", balanced_spans(F.col("t"), "f").alias("s")).collect()
+    assert {r.t: r.s for r in rows} == heads
+
+
+def test_dependents_to_the_end(spark):
+    """Least steps over cycles and branches, all repositories at once; a limit cuts."""
+    rng = random.Random(5)
+    edges = {("r", f"n{a}", f"n{b}") for a, b in ((rng.randrange(40), rng.randrange(40)) for _ in range(60))} | {("s", f"m{i + 1}", f"m{i}") for i in range(25)} | {("s", "m0", "m25"), ("t", "a", "b")}
+    start = {("r", "n1"), ("r", "n2"), ("s", "m3"), ("t", "zz")}
+    hop, front, k = dict.fromkeys(start, 0), start, 0
+    while front:
+        k += 1
+        front = {(r, a) for r, a, b in edges if (r, b) in front} - hop.keys()
+        hop |= dict.fromkeys(front, k)
+    rows = spark.createDataFrame([(*e, "depends_on") for e in edges], "repo string, source string, target string, edge_type string")
+    got = incremental.affected_dependents(spark.createDataFrame(list(start), "repo string, component string"), rows)
+    assert {(r.repo, r.component): r.hop for r in got.collect()} == {n: h for n, h in hop.items() if h}
+    near = incremental.affected_dependents(spark.createDataFrame(list(start), "repo string, component string"), rows, hops=2)
+    assert {(r.repo, r.component): r.hop for r in near.collect()} == {n: h for n, h in hop.items() if 0 < h <= 2}
+
+
 def test_running_totals_with_a_hot_group(spark):
     rows = [("hot" if i % 3 else f"g{i % 7}", i, i % 5) for i in range(600)]
     random.Random(1).shuffle(rows)
