@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from repoloom.functions.running import running_totals
 from repoloom.functions.text import json_type, json_type_name, json_variant
 from repoloom.operators.discovery import go, python, rust, solidity, swift, typescript
-from repoloom.operators.discovery.common import Inventory, manifests, merge
+from repoloom.operators.discovery.common import Inventory, manifests, merge, read_once
 from repoloom.operators.inventory import dedupe_components, resolve_internal_deps
 from repoloom.runtime import stage
 from repoloom.sources import files as file_rules
@@ -27,6 +27,11 @@ ECOSYSTEMS: dict[str, Job] = {
 }
 
 
+#: Ecosystems of the library, which read files through :func:`read_files`; others get the files as they are.
+OWN = tuple(ECOSYSTEMS)
+FACTS = {"go": go.fact_columns, "python": python.fact_columns, "solidity": solidity.fact_columns, "swift": swift.fact_columns}
+
+
 def register(name: str, job: Job, manifests: list[str], excludes: list[str] = ()) -> None:
     """Add an ecosystem after the known ones.
 
@@ -47,6 +52,13 @@ def unregister(name: str) -> None:
     file_rules.MANIFESTS[:] = [m for m in file_rules.MANIFESTS if m[1] != name]
 
 
+def read_files(files: DataFrame, ecosystems: list[str]) -> DataFrame:
+    """``files`` as the jobs of these ecosystems need them, in one pass over the contents; :func:`discover` takes either."""
+    if "part" in files.columns:
+        return files
+    return read_once(files, {name: FACTS[name] for name in ecosystems if name in FACTS})
+
+
 def discover(files: DataFrame, ecosystems: list[str] | None = None, mode: str = "segment") -> Inventory:
     """Inventory of all repositories in ``files`` (repo, path, content).
 
@@ -55,7 +67,9 @@ def discover(files: DataFrame, ecosystems: list[str] | None = None, mode: str =
     dependencies are component names, by ``component``.
     """
     chosen = list(ECOSYSTEMS) if ecosystems is None else ecosystems
-    raw = merge([ECOSYSTEMS[name](files, mode) for name in chosen])
+    known = [name for name in chosen if name in OWN]
+    once = read_files(files, known) if len(known) > 1 else files
+    raw = merge([ECOSYSTEMS[name](once if name in OWN else files, mode) for name in chosen])
     first = dedupe_components(raw.components, F.col("ord"))
     numbered = running_totals(first, ["repo"], ["ord"], {"ordinal": F.lit(1).cast("bigint")})
     components, _ = stage(numbered.drop("ord"), "components")
@@ -85,6 +99,8 @@ def discover_corpus(repos: DataFrame, files: DataFrame, mode: str = "segment") -
     ``ok``; the error names the first unreadable manifest, also of a
     repository that is otherwise fine.
     """
+    if list(ECOSYSTEMS) == list(OWN):  # jobs of the user get whole files
+        files = read_files(files, list(OWN))
     inventory = discover(files, mode=mode)
     bad = manifest_errors(files, mode).groupBy("repo").agg(
         F.min_by(F.concat("path", F.lit(": "), "error"), "path").alias("error"))

@@ -8,12 +8,14 @@ source file is reduced to a few flags or names before any shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from repoloom.functions.paths import ancestors, basename, dirname, glob_regex_col, join_path, segments
+from repoloom.runtime import stage
 from repoloom.sources.files import EXCLUDES, MANIFESTS, excluded
 
 EXTERNAL = ["repo", "ckey", "pos", "name", "version", "category"]
@@ -50,6 +52,8 @@ def manifests(files: DataFrame, filename: str, mode: str = "segment") -> DataFra
     """(repo, manifest_path, dir, content) of one kind of manifest, exclusions applied."""
     eco = next(m[1] for m in MANIFESTS if m[0] == filename)
     path = F.col("path")
+    if "part" in files.columns:
+        files = files.filter(F.col("part") == part_of(F.lit(filename)))
     hit = ((path == filename) | F.endswith(path, F.lit("/" + filename))) & ~excluded(path, EXCLUDES[eco], mode)
     return files.filter(hit).select("repo", path.alias("manifest_path"), dirname(path).alias("dir"), "content")
 
@@ -59,6 +63,42 @@ def sources(files: DataFrame, suffix: str) -> DataFrame:
     return files.filter(F.endswith("path", F.lit(suffix))).select("repo", "path", dirname(F.col("path")).alias("dir"), "content")
 
 
+#: Suffix of the source files whose contents an ecosystem looks into.
+SUFFIXES = {"go": ".go", "python": ".py", "solidity": ".sol", "swift": ".swift"}
+
+
+def part_of(path: Column) -> Column:
+    """Folder of a file in the table that :func:`read_once` writes."""
+    part = F.when(basename(path).isin([m[0] for m in MANIFESTS if not m[0].endswith(tuple(SUFFIXES.values()))]), "manifest")
+    for name, suffix in SUFFIXES.items():
+        part = part.when(F.endswith(path, F.lit(suffix)), name)
+    return part.otherwise("other")
+
+
+def read_once(files: DataFrame, facts: dict[str, Callable[[Column], dict[str, Column]]]) -> DataFrame:
+    """Files with contents of manifests alone and, by ecosystem, the facts of their sources.
+
+    One pass over the contents: what the jobs ask of a source file, as columns
+    of its text, is computed in the scan; what they write is laid out by
+    ecosystem, so that each job reads its own part. ``files`` may hold any
+    columns beside (repo, path, content).
+    """
+    path, text = F.col("path"), F.col("content")
+    own = [
+        F.when(F.endswith(path, F.lit(SUFFIXES[name])), F.struct(*[c.alias(n) for n, c in columns(F.when(F.endswith(path, F.lit(SUFFIXES[name])), text)).items()])).alias(f"facts_{name}")
+        for name, columns in facts.items()]
+    kept = F.when(basename(path).isin([m[0] for m in MANIFESTS]), text).alias("content")
+    return stage(files.select("repo", "path", kept, *own, part_of(path).alias("part")), "files-once", by="part")[0]
+
+
+def source_facts(files: DataFrame, name: str, columns: Callable[[Column], dict[str, Column]]) -> DataFrame:
+    """(repo, path, dir, …) of an ecosystem's sources: from files read once, else from their contents."""
+    folder = dirname(F.col("path")).alias("dir")
+    if f"facts_{name}" in files.columns:
+        return files.filter(F.col("part") == name).select("repo", "path", folder, f"facts_{name}.*")
+    return sources(files, SUFFIXES[name]).select("repo", "path", "dir", *[c.alias(n) for n, c in columns(F.col("content")).items()])
+
+
 def ckey(filename: str, rank: int, label: Column) -> Column:
     return F.concat_ws("|", F.lit(filename), "manifest_path", F.lit(rank), label)
 

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from repoloom.functions.paths import basename, segments
 from repoloom.functions.text import all_groups, first_group, hit_mask, NEWLINE, strip
 from repoloom.operators.discovery.common import (
-    Inventory, component_rows, external_rows, flag, folder_name, folders_holding, internal_rows, manifests, sources, under, union,
+    Inventory, component_rows, external_rows, flag, folder_name, folders_holding, internal_rows, manifests, source_facts, under, union,
 )
 from repoloom.runtime import stage
 
@@ -65,14 +65,15 @@ def imported(content: Column) -> Column:
     return F.array_distinct(F.concat(inner, all_groups(content, r'import\s+"([^"]+)"')))
 
 
-def facts(files: DataFrame) -> DataFrame:
+def fact_columns(text: Column) -> dict[str, Column]:
     """What the job needs from each ``.go`` file: two bit masks of signs, whether
-    it is a main package, and its imports. Contents are read once, here."""
-    low, text = F.lower("content"), F.col("content")
-    return sources(files, ".go").select(
-        "repo", "dir", hit_mask(low, SERVICE_SIGNS).alias("svc"), hit_mask(low, CLI_SIGNS).alias("cli"),
-        is_main(text).alias("main"), imported(text).alias("imports"),
-    )
+    it is a main package, and its imports."""
+    low = F.lower(text)
+    return {"svc": hit_mask(low, SERVICE_SIGNS), "cli": hit_mask(low, CLI_SIGNS), "main": is_main(text), "imports": imported(text)}
+
+
+def facts(files: DataFrame) -> DataFrame:
+    return source_facts(files, "go", fact_columns).drop("path")
 
 
 def executable_kinds(code: DataFrame, folders: DataFrame) -> DataFrame:

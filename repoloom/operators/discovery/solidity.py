@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from repoloom.functions.paths import join_path, segments
 from repoloom.functions.text import all_groups, first_group, NEWLINE, strip, strip_chars
-from repoloom.operators.discovery.common import Inventory, ckey, component_rows, external_rows, folder_name, internal_rows, manifests, merge, sources, union
+from repoloom.operators.discovery.common import Inventory, ckey, component_rows, external_rows, folder_name, internal_rows, manifests, merge, source_facts, union
 from repoloom.runtime import stage
 from repoloom.sources.files import exclude_vendored
 
@@ -42,14 +42,15 @@ def remapped(path: Column, table: Column) -> Column:
     return F.when(hit.isNotNull(), F.concat(hit["target"], F.substr(path, F.length(hit["prefix"]) + 1))).otherwise(path)
 
 
-def facts(files: DataFrame) -> DataFrame:
-    """(repo, path, declared, imports, pragma) per ``.sol`` file; contents are read once."""
-    text = F.col("content")
+def fact_columns(text: Column) -> dict[str, Column]:
+    """What the job needs from each ``.sol`` file."""
     declared = F.transform(all_groups(text, DECLARATION), lambda d: F.regexp_replace(d, r"\s+", " "))
-    return sources(files, ".sol").select(
-        "repo", "path", declared.alias("declared"), F.array_distinct(all_groups(text, IMPORT)).alias("imports"),
-        strip(first_group(text, PRAGMA)).alias("pragma"),
-    )
+    return {"declared": declared, "imports": F.array_distinct(all_groups(text, IMPORT)), "pragma": strip(first_group(text, PRAGMA))}
+
+
+def facts(files: DataFrame) -> DataFrame:
+    """(repo, path, declared, imports, pragma) per ``.sol`` file."""
+    return source_facts(files, "solidity", fact_columns).drop("dir")
 
 
 def _below(rows: DataFrame, projects: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from repoloom.functions.paths import join_path, segments
 from repoloom.functions.text import all_groups, balanced_span, balanced_spans, contains_any, first_group
-from repoloom.operators.discovery.common import Inventory, ckey, component_rows, external_rows, folder_name, internal_rows, manifests, sources, under, union
+from repoloom.operators.discovery.common import Inventory, ckey, component_rows, external_rows, folder_name, internal_rows, manifests, source_facts, under, union
 from repoloom.runtime import stage
 
 FILE = "Package.swift"
@@ -51,11 +51,16 @@ def targets(packages: DataFrame) -> DataFrame:
     )
 
 
-def facts(files: DataFrame) -> DataFrame:
-    """(repo, path, dir, main, sign) per ``.swift`` file; contents are read once."""
-    text, low = F.col("content"), F.lower("content")
+def fact_columns(text: Column) -> dict[str, Column]:
+    """What the job needs from each ``.swift`` file."""
+    low = F.lower(text)
     sign = F.when(contains_any(low, SERVER_SIGNS), "service").when(contains_any(low, APP_SIGNS), "frontend")
-    return sources(files, ".swift").select("repo", "path", "dir", F.rlike(text, F.lit(r"@main\b")).alias("main"), sign.alias("sign"))
+    return {"main": F.rlike(text, F.lit(r"@main\b")), "sign": sign}
+
+
+def facts(files: DataFrame) -> DataFrame:
+    """(repo, path, dir, main, sign) per ``.swift`` file."""
+    return source_facts(files, "swift", fact_columns)
 
 
 def _signals(code: DataFrame, folders: DataFrame) -> DataFrame:

@@ -43,12 +43,13 @@ def stage_root(spark: SparkSession) -> str:
     return _LOCAL_ROOTS[app]
 
 
-def stage(df: DataFrame, label: str, **metrics: Column) -> tuple[DataFrame, dict]:
+def stage(df: DataFrame, label: str, by: str | None = None, **metrics: Column) -> tuple[DataFrame, dict]:
     """Write ``df`` as a Parquet table under the shared folder and read it back.
 
     The written table survives executor loss, cuts the lineage of iterative
     jobs, and gives later joins real size statistics. ``metrics`` are
     aggregates collected while writing, so loops need no extra count job.
+    ``by`` is a column by which the table is laid out in folders.
     """
     spark = df.sparkSession
     path = f"{stage_root(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
@@ -57,10 +58,10 @@ def stage(df: DataFrame, label: str, **metrics: Column) -> tuple[DataFrame, dict
     if metrics:
         obs = Observation()
         df = df.observe(obs, *[c.alias(n) for n, c in metrics.items()])
-        df.write.parquet(path)
+    writer = df.write.partitionBy(by) if by else df.write
+    writer.parquet(path)
+    if metrics:
         found = obs.get
-    else:
-        df.write.parquet(path)
     return spark.read.schema(schema).parquet(path), found
 
 

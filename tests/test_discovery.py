@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrameWriter, functions as F
 
 from repoloom.operators import discovery
 from repoloom.operators.discovery import go, python, rust, solidity, swift, typescript
@@ -212,6 +212,37 @@ def test_discover_all_and_registry(tree):
         discovery.unregister("recipe")
 
 
+def test_contents_are_read_once(spark, tree, tmp_path, monkeypatch):
+    """All ecosystems together scan the contents of the files in one place, and find what each finds alone."""
+    texts = {
+        "go.mod": "module m/x", "cmd/x/main.go": 'package main\nimport "m/x/lib"', "py/pyproject.toml": '[project]\nname = "p"\ndependencies = ["requests"]',
+        "web/package.json": '{"name": "web"}', "rs/Cargo.toml": '[package]\nname = "c"', "sol/foundry.toml": "[profile.default]\nsrc = 'src'", "sol/src/A.sol": "contract A {}",
+        "sw/Package.swift": 'let package = Package(name: "S", targets: [.target(name: "T")])', "sw/Sources/T/main.swift": "1",
+        **{f"py/src/p/{s}/{f}.py": f"import p.{'b' if s == 'a' else 'a'}.x" for s in "ab" for f in ("__init__", "x", "y")}, "py/src/p/__init__.py": "",
+    }
+    place = str(tmp_path / "estate")
+    tree({"r": texts}).write.parquet(place)
+    files = spark.read.parquet(place)
+    alone = [discovery.discover(files, [name]) for name in discovery.OWN]
+    plans = []
+    write = DataFrameWriter.parquet
+
+    def noted(self, *args, **options):
+        plans.append(self._df._jdf.queryExecution().executedPlan().toString())
+        return write(self, *args, **options)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", noted)
+    inv = discovery.discover(files)
+    plans += [df._jdf.queryExecution().executedPlan().toString() for df in (inv.components, inv.internal, inv.external, inv.metadata)]
+    scans = [line for plan in plans for line in plan.splitlines() if "FileScan" in line and "estate" in line]
+    assert sum("content:string" in line.split("ReadSchema:")[1] for line in scans) == 1
+    rows = lambda df, *columns: {tuple(r) for r in df.select(*columns).collect()}
+    named = ("name", "kind", "type", "root_path", "manifest_path")
+    assert rows(inv.components, *named) == set().union(*(rows(i.components, *named) for i in alone)) and inv.components.count() >= 9
+    assert rows(inv.external, "component", "name") == set().union(*(rows(i.external, "component", "name") for i in alone))
+    assert {("a", "b"), ("b", "a")} <= rows(inv.internal, "component", "dep")
+
+
 def test_corpus_status(spark, tree):
     files = tree({
         "good": {"package.json": '{"name": "g"}', "x/package.json": "[]"}, "bad": {"package.json": "{"}, "none": {"readme.md": "nothing here"}, "twice": {"package.json": '{"name": "a", "name": "b"}'},
