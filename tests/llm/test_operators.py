@@ -109,6 +109,19 @@ def test_decontamination(spark, docs, none):
     assert decontaminate.decontaminate(none, items).count() == 0
 
 
+def test_decontamination_with_clashing_columns_and_shared_ids(spark):
+    """Rows of one id each by their own text, columns of any name, and the same hits without broadcasts."""
+    data = [(1, "a b c d", 1, 2, "x", "y", 0), (1, "a x c d", 3, 4, "x", "y", 0), (None, "q a b c", 5, 6, "x", "y", 0), (None, "q", 5, 6, "x", "y", 0), (2, None, 7, 8, None, None, None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, h long, n long, hit string, `_id` string, n_hit long")
+    items = spark.createDataFrame([(7, "b c"), (8, "A b")], "item_id long, text string")
+    want = [(None, 1, 0, []), (None, 4, 3, ["7", "8"]), (1, 4, 0, []), (1, 4, 3, ["7", "8"]), (2, 0, 0, [])]
+    for most in (64 << 20, 0):
+        got = decontaminate.word_hits(docs, items, broadcast_bytes=most)
+        assert sorted(((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in got.collect()), key=lambda r: (r[0] or 0, r[1:])) == want
+    left = decontaminate.decontaminate(docs, items)
+    assert left.columns == docs.columns and sorted((r.doc_id or 0, r.text or "") for r in left.collect()) == [(0, "q"), (1, "a x c d"), (2, "")]
+
+
 def test_quality(spark, docs, none):
     good = [(i, " ".join(f"the{(i * k) % 50} of" for k in range(30)), 1) for i in range(100, 140)]
     bad = [(i, " ".join(f"BUY{(i * k) % 50}!!" for k in range(30)), 0) for i in range(140, 180)]
