@@ -1,21 +1,24 @@
 """Incremental secret scan over a ledger of content-addressed blobs.
 
 A table of versions (any columns, one of them the text) is reduced to blobs by
-SHA-256. The ledger says which blob was scanned under which version of the
-rules and what was found. Only blobs without an entry for the current rules
-are scanned, once each, however many paths or versions hold them; the findings
-then join back to every row by blob. Run again after a commit or a rule
-change, the scan costs only what is new.
+SHA-256. The ledger has a row for each blob and each version of a rule that
+was run over it, with the spans found, also where there are none. Only the
+missing pairs of blob and rule version are scanned, each once, however many
+paths or versions hold the blob; the findings then join back to every row by
+blob. Run again after a commit, the scan costs the new blobs only; after a
+change of one rule it runs that rule alone.
 
 Defined cases: null text is the empty blob. Repeated rows each get their
-findings. An empty table gives empty results. Very long texts are scanned
-whole. Positions are code points, ends exclusive.
+findings, as do rows without an id. An empty table gives empty results. Very
+long texts are scanned whole. Other columns are not looked at, whatever their
+names. Positions are code points, ends exclusive.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -23,40 +26,65 @@ from pyspark.sql import functions as F
 
 from repoloom.runtime import stage
 
-#: Raise with any change below; scanned blobs are then scanned again.
-RULES = "secrets-1"
 
-#: kind, pattern, group whose length counts, least length. Letters of the
-#: assignment's names match in either case.
-DETECTORS = [
-    ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII), 2, 12),
-    ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 18),
+class Rule(NamedTuple):
+    """A kind of secret; raise ``version`` with any change, and all blobs are scanned for it again."""
+
+    kind: str
+    version: int
+    pattern: re.Pattern
+    group: int  # whose length, from the start of the match to its end, counts
+    least: int
+
+    @property
+    def name(self) -> str:
+        return f"{self.kind}@{self.version}"
+
+    def spans(self, text: str) -> list[tuple[int, int]]:
+        return [(m.start(), m.end()) for m in self.pattern.finditer(text) if m.end(self.group) - m.start(self.group) >= self.least]
+
+
+#: Letters of the assignment's names match in either case.
+RULES = [
+    Rule("assign", 1, re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII), 2, 12),
+    Rule("access", 1, re.compile(r"AKIA[A-Z0-9]+"), 0, 18),
     # a run of 16 or more is the same as a run of any length that is then measured
-    ("hex", re.compile(r"[0-9a-f]{16,}"), 0, 16),
+    Rule("hex", 1, re.compile(r"[0-9a-f]{16,}"), 0, 16),
 ]
-LEDGER_SCHEMA = "blob string, rules string, n_assign long, n_access long, n_hex long, spans string"
+LEDGER_SCHEMA = "blob string, rule string, spans array<struct<start:int,end:int>>"
+#: Blobs above this share of all rows are joined by broadcast, so fewer than this many, below so many bytes of spans.
+HOT_BLOBS, HOT_BYTES = 1000, 16 << 20
+
+
+def _scan(rules: list[Rule]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    by_name = {rule.name: rule for rule in rules}
 
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [
+                (blob, name, [{"start": a, "end": b} for a, b in by_name[name].spans(text)])
+                for blob, text, lacking in zip(batch["blob"], batch["text"], batch["lacking"], strict=True) for name in lacking
+            ]
+            yield pd.DataFrame(rows, columns=["blob", "rule", "spans"])
 
-def spans_of(text: str) -> list[tuple[int, int, int]]:
-    """(start, index of the kind, end) of every finding, by start, then kind."""
-    found = []
-    for rank, (_, pattern, group, least) in enumerate(DETECTORS):
-        found += [(m.start(), rank, m.end()) for m in pattern.finditer(text) if m.end(group) - m.start(group) >= least]
-    return sorted(found)
+    return scan
 
 
-def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for blob, text in zip(batch["blob"], batch["text"], strict=True):
-            found = spans_of(text)
-            count = [sum(f[1] == rank for f in found) for rank in range(len(DETECTORS))]
-            rows.append((blob, RULES, *count, ",".join(f"{DETECTORS[k][0]}:{a}:{b}" for a, k, b in found)))
-        yield pd.DataFrame(rows, columns=["blob", "rules", "n_assign", "n_access", "n_hex", "spans"])
+def _findings(ledger: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Ledger rows to ``blob``, a count per kind and ``spans`` (kind:start:end, by start, then by the order of the rules)."""
+    kinds = F.array(*[F.lit(rule.kind) for rule in rules])
+    rank = F.array_position(F.array(*[F.lit(rule.name) for rule in rules]), F.col("rule")).cast("int")
+    placed = ledger.withColumn("rank", rank).select(
+        "blob", "rule", F.size("spans").alias("n"), F.expr("transform(spans, s -> struct(s.start AS start, rank, s.end AS end))").alias("placed"))
+    per = placed.groupBy("blob").agg(
+        *[F.sum(F.when(F.col("rule") == rule.name, F.col("n")).otherwise(0)).alias(f"n_{rule.kind}") for rule in rules],
+        F.array_sort(F.flatten(F.collect_list("placed"))).alias("placed"))
+    said = F.transform("placed", lambda s: F.concat_ws(":", F.element_at(kinds, s["rank"]), s["start"], s["end"]))
+    return per.withColumn("spans", F.array_join(said, ",")).drop("placed")
 
 
 def scan_versions(
-    versions: DataFrame, ledger: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text"
+    versions: DataFrame, ledger: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", rules: list[Rule] = RULES,
 ) -> tuple[DataFrame, DataFrame]:
     """Scan what ``ledger`` lacks.
 
@@ -64,19 +92,28 @@ def scan_versions(
     new ledger rows (``LEDGER_SCHEMA``), to be appended to the ledger.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    paths, _ = stage(versions.select(F.col(id_col).alias("id"), F.sha2(text, 256).alias("blob")), "blob-paths")
-    todo = paths.groupBy("blob").agg(F.min("id").alias("id"))
+    paths, all_ = stage(versions.select(F.col(id_col).alias("id"), F.sha2(text, 256).alias("blob")), "blob-paths", n=F.count(F.lit(1)))
+    blobs, _ = stage(paths.groupBy("blob").agg(F.min("id").alias("at"), F.count(F.lit(1)).alias("rows")), "blobs")
+    names = [rule.name for rule in rules]
+    pairs = blobs.select("blob", "at", F.explode(F.array(*map(F.lit, names))).alias("rule"))
     known = None
     if ledger is not None:
-        known = ledger.filter(F.col("rules") == RULES).dropDuplicates(["blob"]).select(*[c.split()[0] for c in LEDGER_SCHEMA.split(", ")])
-        todo = todo.join(known, "blob", "left_anti")
+        seen = ledger.filter(F.col("rule").isin(names)).select("blob", "rule", "spans").dropDuplicates(["blob", "rule"])
+        known = seen.join(blobs.select("blob"), "blob", "left_semi")
+        pairs = pairs.join(seen, ["blob", "rule"], "left_anti")
+    todo, _ = stage(pairs.groupBy("blob", "at").agg(F.collect_set("rule").alias("lacking")), "blobs-to-scan")
     # the text travels once, to the row chosen for its blob
-    texts = versions.select(F.col(id_col).alias("id"), text.alias("text"))
-    fresh = (
-        texts.join(todo.withColumnRenamed("id", "_at"), F.col("id").eqNullSafe(F.col("_at")))
-        .filter(F.sha2("text", 256) == F.col("blob")).select("blob", "text")
-        .mapInPandas(_scan, LEDGER_SCHEMA).dropDuplicates(["blob"])
-    )
-    fresh, _ = stage(fresh, "blob-findings")
-    findings = fresh if known is None else fresh.unionByName(known)
-    return paths.join(findings.drop("rules"), "blob").withColumnRenamed("id", id_col), fresh
+    texts = versions.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("blob", F.sha2("text", 256))
+    chosen = (texts["blob"] == todo["blob"]) & texts["id"].eqNullSafe(todo["at"])
+    scanned = texts.join(todo, chosen).select(texts["blob"], "text", "lacking").mapInPandas(_scan(rules), LEDGER_SCHEMA)
+    fresh, _ = stage(scanned.dropDuplicates(["blob", "rule"]), "blob-findings")
+    large = F.col("rows") * HOT_BLOBS > all_["n"]
+    found = _findings(fresh if known is None else fresh.unionByName(known), rules).join(blobs.select("blob", large.alias("hot")), "blob")
+    found, hot = stage(found, "findings", bytes=F.sum(F.when(F.col("hot"), F.length("spans")).otherwise(0)))
+    if (hot["bytes"] or 0) > HOT_BYTES:
+        joined = paths.join(found.drop("hot"), "blob")
+    else:
+        few = F.broadcast(found.filter("hot").drop("hot"))
+        rest = paths.join(few.select("blob"), "blob", "left_anti").join(found.filter("not hot").drop("hot"), "blob")
+        joined = paths.join(few, "blob").unionByName(rest)
+    return joined.withColumnRenamed("id", id_col), fresh

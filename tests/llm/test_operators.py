@@ -13,6 +13,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from repoloom.llm import chat, decontaminate, exactdup, histpack, lmscore, neardup, packing, pii, quality, resample, secrets, tokens, warc, whitening
 from tokenizers import Tokenizer
@@ -55,6 +56,26 @@ def test_repeated_row_stays_once(spark):
     assert sorted(r.doc_id for r in exactdup.exact_dedup(twice).collect()) == [1, 3]
 
 
+def test_exact_rounds(spark):
+    """Sorted runs: one exchange by place and a sort aggregate per round, whatever the number of runs."""
+    data = [(i, f"text {i % 7}  x" if i % 3 else "copied") for i in range(900)]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(40)
+    want = {}
+    for i, t in data:
+        want.setdefault(" ".join(t.split()), []).append(i)
+    runs = exactdup.digest_runs(docs)
+    for partitions, rounds in ((1, 1), (16, 1), (17, 2), (40, 2), (4096, 3)):
+        merged = exactdup.merge_runs(runs, partitions)
+        assert sorted((r.keep_id, r.copies) for r in merged.collect()) == sorted((min(v), len(v)) for v in want.values())
+        plan = merged._jdf.queryExecution().sparkPlan().toString()
+        assert "HashAggregate" not in plan and plan.count("SortAggregate") == 2 * (rounds + 1)
+        full = merged._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+        assert full.count("Exchange hashpartitioning(") == rounds + 1
+    odd = docs.withColumn("digest", F.lit(1)).withColumn("id", F.lit(2)).withColumn("row", F.lit(3)).withColumn("kept", F.lit(4))
+    left = exactdup.exact_dedup(odd)
+    assert left.columns == odd.columns and sorted(r.doc_id for r in left.collect()) == sorted(min(v) for v in want.values())
+
+
 def test_near_groups(docs, none):
     got = {r.doc_id: r for r in neardup.near_groups(docs).collect()}
     assert [got[i].component_id for i in (1, 2, 3, 8, 9)] == [1, 1, 1, 8, 8]
@@ -389,7 +410,15 @@ def test_secret_ledger(spark, docs, none):
     assert got[1].n_assign == 2 and got[3].spans == "access:2:20,hex:21:37" == got[4].spans and got[2].spans == got[5].spans == ""
     more = versions.union(spark.createDataFrame([(6, "token=abcdefghijklmnop")], versions.schema))
     again, new = secrets.scan_versions(more, ledger)
-    assert new.count() == 1 and again.count() == 6
+    assert {r.rule for r in new.collect()} == {"assign@1", "access@1", "hex@1"} and new.count() == 3 and again.count() == 6
+    assert {r.doc_id: r.spans for r in again.collect()} == {**{i: r.spans for i, r in got.items()}, 6: "assign:0:22"}
+    # one rule changes: it alone runs again, over all blobs
+    rules = [secrets.RULES[0], secrets.RULES[1]._replace(version=2, least=30), secrets.RULES[2]]
+    after, new = secrets.scan_versions(more, ledger.unionByName(new), rules=rules)
+    assert {r.rule for r in new.collect()} == {"access@2"} and new.count() == 5
+    assert {r.doc_id: r.spans for r in after.collect()}[3] == "hex:21:37"
+    same = spark.createDataFrame([(None, "token=abcdefghijklmnop"), (7, "token=abcdefghijklmnop")] * 400 + [(None, "")], versions.schema)
+    assert [r.n for r in secrets.scan_versions(same)[0].groupBy("spans").agg(F.count("*").alias("n")).orderBy("n").collect()] == [1, 800]
     assert secrets.scan_versions(docs)[0].count() == 11 and secrets.scan_versions(none)[0].count() == 0
 
 
