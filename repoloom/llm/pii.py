@@ -6,21 +6,27 @@ surrogates of the same type, format, script and, for names, gender. A
 surrogate is the image of the entity's canonical form under a keyed
 permutation of all strings of the same shape (a Feistel network on the mixed
 radix number that the string is): letters stay letters of their script and
-case, vowels vowels, digits digits, signs and layout stay. The same entity
-gets the same surrogate everywhere, different ones get different ones.
+case, vowels vowels, digits digits, signs and layout stay. A given name between a
+title that tells a gender and a surname becomes a given name of that gender,
+made of syllables of its script. A person's gender is what all titles before
+the name agree on in the whole corpus; without a title that tells, or where
+they differ, none. The same entity gets the same surrogate everywhere,
+different ones get different ones.
 
 A surrogate can still be somebody else's real value. A distributed check joins
 all surrogates with all entities of the corpus; entities that collide, or that
 share a surrogate, take the next image. Where a shape has fewer free strings
 than values, or does not settle in ``TURNS`` images, all its values keep their
 first image: one permutation, so they stay distinct; those that equal another
-real value are marked ``real`` in the table and counted in a warning. The few
+real value are marked ``real`` in the table and counted in a warning (made
+given names have millions of forms per surname, so theirs settle). The few
 exceptions are joined back to the documents that need them, broadcast only
 below a counted size.
 
 Defined cases: null text stays null, texts without entities stay as they are.
 Repeated rows get equal results. Rows without an id are rewritten without
-exceptions' help only if no exception touches them; ids should be set. An
+exceptions' help only if no exception touches them; ids are whole numbers and
+should be set. Other columns pass, whatever their names. An
 empty table gives no rows. Positions are code points of the original text.
 """
 
@@ -31,6 +37,7 @@ import hmac
 import logging
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import cache
 
@@ -47,11 +54,20 @@ OTHER_TITLES = ["Dr", "Prof", "Doctor", "Professor", "Mx"]
 MALE_NAMES = ["James", "John", "Robert", "Michael", "William", "David", "Thomas", "Daniel", "Paul", "Mark", "Peter", "Hans", "Karl", "Pierre", "Jean", "Luis", "Carlos", "Juan"]
 FEMALE_NAMES = ["Mary", "Anna", "Linda", "Susan", "Sarah", "Karen", "Laura", "Emma", "Julia", "Alice", "Maria", "Greta", "Heidi", "Claire", "Marie", "Carmen", "Elena", "Lucia"]
 
+#: Onsets, vowels and endings by gender of made given names; fixed values of the scripts covered.
+_GIVEN = {
+    "LATIN": ("b d f g h j k l m n p r s t v z".split(), "a e i o u".split(), {"f": "a ia ina ella etta essa".split(), "m": "an ard en ik o us".split()}),
+    "CYRILLIC": ("б в г д з к л м н п р с т ф".split(), "а е и о у".split(), {"f": "а ия ина ена юша яна".split(), "m": "ан ей ий ил ислав ор".split()}),
+    "GREEK": ("β γ δ ζ θ κ λ μ ν π ρ σ τ φ".split(), "α ε ι ο".split(), {"f": "α ία ίνα ούλα ώ".split(), "m": "ας ης ιος ος ων".split()}),
+}
+_SYLLABLES = 3
+
 _TITLES = "|".join(sorted(MALE_TITLES + FEMALE_TITLES + OTHER_TITLES, key=len, reverse=True))
 _WORD = r"[^\W\d_][\w'’-]*"
 #: kind and pattern, in order of precedence where spans overlap.
 DETECTORS = [
-    ("email", re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")),
+    # the host; what may stand before it is taken from there to the left
+    ("email", re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")),
     ("ip", re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)")),
     ("iban", re.compile(r"\b[A-Z]{2}\d{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?\b")),
     ("card", re.compile(r"(?<![\w.])\d(?:[ -]?\d){12,18}(?![\w])")),
@@ -59,6 +75,7 @@ DETECTORS = [
     ("phone", re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{2,4}(?:[ .-]\d{2,4}){1,3}(?![\w])|(?<![\w.])\+\d{8,14}(?![\w])")),
     ("name", re.compile(rf"\b(?:{_TITLES})\.?\x20((?-i:(?=[^\W\d_a-z])){_WORD}(?:\x20(?=[^\W\d_a-zà-ÿ]){_WORD})?)")),
 ]
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 #: A document holds mail addresses, numbers or titles only if it holds one of these.
 _DIGIT = re.compile(r"\d")
 
@@ -153,12 +170,37 @@ def canonical(kind: str, text: str) -> str:
     return text if kind == "name" else re.sub(r"\D", "", text.split("+")[-1] if kind == "phone" else text)
 
 
+def _made(value: str, gender: str) -> str:
+    """The script in which the first word is made anew as a given name, or nothing."""
+    first, _, last = value.partition(" ")
+    if not last or not gender or first in MALE_NAMES or first in FEMALE_NAMES:
+        return ""
+    script = unicodedata.name(first[0], "").split(" ")[0]
+    return script if script in _GIVEN else ""
+
+
+def _given_name(key: bytes, word: str, gender: str, script: str) -> str:
+    onsets, vowels, endings = _GIVEN[script]
+    number = int.from_bytes(hmac.digest(key, f"given|{gender}|{word}".encode(), "sha256"), "big")
+    out = ""
+    for turn in range(_SYLLABLES):
+        number, at = divmod(number, len(onsets))
+        out += onsets[at]
+        if turn < _SYLLABLES - 1:
+            number, at = divmod(number, len(vowels))
+            out += vowels[at]
+    out += endings[gender][number % len(endings[gender])]
+    return out.upper() if len(word) > 1 and word.isupper() else out.capitalize()
+
+
 def _name_image(key: bytes, value: str, gender: str) -> str:
-    """Known given names change within their gender's list, other words within their shape."""
+    """Known given names change within their gender's list, others are made anew by gender, other words change within their shape."""
     lists = {"m": MALE_NAMES, "f": FEMALE_NAMES}
     known = set(MALE_NAMES + FEMALE_NAMES)
-    out = []
-    for word in value.split(" "):
+    out, words = [], value.split(" ")
+    if script := _made(value, gender):
+        out.append(_given_name(key, words.pop(0), gender, script))
+    for word in words:
         own = next((n for g, n in lists.items() if word in n and (gender in (g, ""))), next((n for n in lists.values() if word in n), None))
         if own:
             own = lists.get(gender, own) if word in lists.get(gender, own) else own
@@ -199,7 +241,7 @@ def image(key: bytes, kind: str, value: str, gender: str = "", times: int = 1) -
     return out
 
 
-def shape_of(kind: str, value: str) -> tuple[str, float]:
+def shape_of(kind: str, value: str, gender: str = "") -> tuple[str, float]:
     """What all images of a canonical value have in common, and how many strings have it."""
     if kind == "ip":
         return kind, 2.0**32
@@ -207,6 +249,11 @@ def shape_of(kind: str, value: str) -> tuple[str, float]:
     if kind == "name":
         lists = {"m": MALE_NAMES, "f": FEMALE_NAMES}
         words = [(w, next((g for g, n in lists.items() if w in n), "")) for w in value.split(" ")]
+        if script := _made(value, gender):
+            onsets, vowels, endings = _GIVEN[script]
+            out.append(f"<{script} {gender}>")
+            size *= len(onsets) ** _SYLLABLES * len(vowels) ** (_SYLLABLES - 1) * len(endings[gender])
+            words.pop(0)
     else:
         kept = len(value) - 10 if kind == "phone" and 10 < len(value) <= 13 else 2 * (kind == "iban")
         top = value.rpartition(".")[2] if kind == "email" else ""
@@ -245,45 +292,65 @@ def _dressed(kind: str, original: str, value: str) -> str:
     return original[:head] + "".join(next(rest) if keep(c) else c for c in original[head:])
 
 
+def _mails(hosts: Iterator[re.Match], text: str) -> Iterator[tuple[int, int]]:
+    done = 0
+    for m in hosts:
+        start = m.start()
+        while start > done and text[start - 1] in _LOCAL:
+            start -= 1
+        if start < m.start():
+            done = m.end()
+            yield start, done
+
+
 def find(text: str) -> list[tuple[int, int, str, str, str]]:
     """(start, end, kind, canonical value, gender) of the entities, left to right, without overlap."""
     spans: list[tuple[int, int, str, str, str]] = []
     has = {"email": "@" in text, "name": True}
     digits = bool(_DIGIT.search(text))
+
+    def add(start: int, end: int, kind: str, gender: str = "") -> None:
+        # spans are sorted and apart, so only the neighbours can overlap
+        at = bisect_left(spans, (start,))
+        if (at == 0 or spans[at - 1][1] <= start) and (at == len(spans) or end <= spans[at][0]):
+            spans.insert(at, (start, end, kind, canonical(kind, text[start:end]), gender))
+
     for kind, pattern in DETECTORS:
         if not has.get(kind, digits):
             continue
+        if kind == "email":
+            for start, end in _mails(pattern.finditer(text), text):
+                add(start, end, kind)
+            continue
         for m in pattern.finditer(text):
-            start, end = m.span(1) if kind == "name" else m.span()
             if kind == "phone" and "+" not in m.group() and sum(map(str.isdigit, m.group())) < 9:
                 continue  # dates and versions
-            if any(start < e and s < end for s, e, *_ in spans):
-                continue
-            gender = ""
             if kind == "name":
                 title = m.group().split(" ")[0].rstrip(".")
-                gender = "m" if title in MALE_TITLES else "f" if title in FEMALE_TITLES else ""
-            spans.append((start, end, kind, canonical(kind, text[start:end]), gender))
-    return sorted(spans)
+                add(*m.span(1), kind, "m" if title in MALE_TITLES else "f" if title in FEMALE_TITLES else "")
+            else:
+                add(*m.span(), kind)
+    return spans
 
 
-def rewrite(text: str | None, key: bytes, times: dict[tuple[str, str], int] | None = None) -> tuple[str | None, list[tuple[int, int, str]]]:
-    """The text with surrogates, and what was replaced where (start, end, kind)."""
+def rewrite(text: str | None, key: bytes, known: dict[tuple[str, str], tuple[int, str]] | None = None) -> tuple[str | None, list[tuple[int, int, str]]]:
+    """The text with surrogates, and what was replaced where (start, end, kind).
+
+    ``known`` has image number and gender of entities for which they are not 1 and what the title says.
+    """
     spans = find(text) if text else []
     out, at = [], 0
     for start, end, kind, value, gender in spans:
-        out += [text[at:start], _dressed(kind, text[start:end], image(key, kind, value, gender, (times or {}).get((kind, value), 1)))]
+        times, gender = (known or {}).get((kind, value), (1, gender))
+        out += [text[at:start], _dressed(kind, text[start:end], image(key, kind, value, gender, times))]
         at = end
     return (text if not spans else "".join(out) + text[at:]), [s[:3] for s in spans]
 
 
-def _entities(key: bytes) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    def entities(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(i, k, v, g, image(key, k, v, g)) for i, t in zip(batch["id"], batch["text"], strict=True) if t for _, _, k, v, g in find(t)]
-            yield pd.DataFrame(rows, columns=["id", "kind", "value", "gender", "surrogate"]).astype({"id": "Int64"})
-
-    return entities
+def _entities(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        rows = [(i, k, v, g) for i, t in zip(batch["id"], batch["text"], strict=True) if t for k, v, g in {f[2:] for f in find(t)}]
+        yield pd.DataFrame(rows, columns=["id", "kind", "value", "gender"]).astype({"id": "Int64"})
 
 
 def _next_image(key: bytes) -> Callable:
@@ -296,54 +363,70 @@ def _next_image(key: bytes) -> Callable:
 
 def _shape() -> Callable:
     @F.pandas_udf("shape string, room double")
-    def shape(kind: pd.Series, value: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([shape_of(k, v) for k, v in zip(kind, value, strict=True)], columns=["shape", "room"])
+    def shape(kind: pd.Series, value: pd.Series, gender: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([shape_of(k, v, g) for k, v, g in zip(kind, value, gender, strict=True)], columns=["shape", "room"])
 
     return shape
 
 
 def _rewriter(key: bytes) -> Callable:
     @F.pandas_udf("text string, entities string, n_entities long")
-    def rewritten(texts: pd.Series, times: pd.Series) -> pd.DataFrame:
+    def rewritten(texts: pd.Series, known: pd.Series) -> pd.DataFrame:
         rows = []
-        for text, own in zip(texts, times, strict=True):
-            new, spans = rewrite(text, key, {(t["kind"], t["value"]): t["times"] for t in own} if own is not None else None)
+        for text, own in zip(texts, known, strict=True):
+            new, spans = rewrite(text, key, {(t["kind"], t["value"]): (t["times"], t["gender"]) for t in own} if own is not None else None)
             rows.append((new, ",".join(f"{k}:{a}:{b}" for a, b, k in spans), len(spans)))
         return pd.DataFrame(rows, columns=["text", "entities", "n_entities"])
 
     return rewritten
 
 
-def _checked(table: DataFrame) -> tuple[DataFrame, dict]:
-    """The table with ``real`` (the surrogate is another real value) and ``bad`` (that, or another value's surrogate)."""
-    real = table.select("kind", F.col("value").alias("surrogate")).withColumn("_real", F.lit(True))
-    twice = table.groupBy("kind", "surrogate").agg(F.min("value").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
-    checked = table.drop("real", "bad").join(real, ["kind", "surrogate"], "left").join(twice, ["kind", "surrogate"], "left")
+def _checked(table: DataFrame, beside: DataFrame | None = None) -> tuple[DataFrame, dict]:
+    """The table with ``real`` (the surrogate is another real value) and ``bad`` (that, or another value's surrogate).
+
+    ``beside`` has further values and surrogates that are taken.
+    """
+    taken = table.select("kind", "value", "surrogate")
+    taken = taken if beside is None else taken.unionByName(beside.select("kind", "value", "surrogate"))
+    real = taken.select("kind", F.col("value").alias("surrogate")).withColumn("_real", F.lit(True))
+    twice = taken.groupBy("kind", "surrogate").agg(F.min("value").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    if beside is not None:
+        # what is settled keeps its surrogate
+        own = beside.select("kind", "surrogate", F.lit("").alias("_settled")).distinct()
+        twice = twice.join(own, ["kind", "surrogate"], "left").withColumn("_first", F.coalesce("_settled", "_first")).drop("_settled")
+    checked = table.drop("real", "bad").join(real, ["kind", "surrogate"], "left").join(twice.drop("_n"), ["kind", "surrogate"], "left")
     # a value with no other string of its shape keeps its image
     checked = checked.withColumn("real", F.col("_real").isNotNull() & (F.col("surrogate") != F.col("value")))
     checked = checked.withColumn("bad", F.col("real") | (F.col("_first").isNotNull() & (F.col("_first") != F.col("value"))))
-    return stage(checked.drop("_real", "_first"), "checked-surrogates", n=F.sum(F.col("bad").cast("int")))
+    made = F.sum((F.col("bad") & (F.col("kind") == "name") & (F.col("gender") != "")).cast("int"))
+    return stage(checked.drop("_real", "_first"), "checked-surrogates", n=F.sum(F.col("bad").cast("int")), made=made)
 
 
 def surrogates(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Entities per document, and the table ``kind, value, gender, times, surrogate, real``; no two values of a kind share a surrogate."""
+    """Entities per document, and the table ``kind, value, gender, mixed, times, surrogate, real``; no two values of a kind share a surrogate.
+
+    ``mixed`` says that not every occurrence tells the gender that the table has.
+    """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    found, _ = stage(texts.mapInPandas(_entities(key), "id long, kind string, value string, gender string, surrogate string"), "entities")
-    table, _ = stage(
-        found.groupBy("kind", "value").agg(F.min("gender").alias("gender"), F.min("surrogate").alias("surrogate")).withColumn("times", F.lit(1)), "surrogates")
-    columns = ["kind", "value", "gender", "times", "surrogate", "real"]
+    found, _ = stage(texts.mapInPandas(_entities, "id long, kind string, value string, gender string"), "entities")
+    told = F.expr("nullif(gender, '')")
+    agreed = F.when(F.min(told) == F.max(told), F.min(told)).otherwise("")
+    table = found.groupBy("kind", "value").agg(agreed.alias("gender"), (F.min("gender") != F.max("gender")).alias("mixed")).withColumn("times", F.lit(1))
+    table, _ = stage(table.withColumn("surrogate", _next_image(key)("kind", "value", "gender", "times")), "surrogates")
+    columns = ["kind", "value", "gender", "mixed", "times", "surrogate", "real"]
     table, left = _checked(table)
     if not left["n"]:
         return found, table.select(*columns)
-    # images stay inside a shape: only shapes with a collision go on
-    table, _ = stage(table.withColumn("_s", _shape()("kind", "value")).select(*columns, "bad", "_s.*"), "shaped-surrogates")
+    # images stay inside a shape, but for made given names: only shapes with a collision go on
+    table, _ = stage(table.withColumn("_s", _shape()("kind", "value", "gender")).select(*columns, "bad", "_s.*"), "shaped-surrogates")
     shapes = table.groupBy("shape").agg(F.max("bad").alias("open"), (2 * F.count(F.lit(1)) > F.first("room")).alias("full"))
     shapes, _ = stage(shapes.filter("open"), "open-shapes")
-    done = table.join(shapes.filter("not full"), "shape", "left_anti").select(*columns)
+    done, _ = stage(table.join(shapes.filter("not full"), "shape", "left_anti").select(*columns), "done-surrogates")
     first, _ = stage(table.join(shapes.filter("not full"), "shape", "left_semi"), "open-surrogates")
     going, turn = first, 1
     while True:
-        going, left = _checked(going)
+        # made names can meet values of any shape, so where one moved, the settled ones are looked at too
+        going, left = _checked(going, done.filter("kind = 'name'") if left["made"] else None)
         if not left["n"] or turn == TURNS:
             break
         turn += 1
@@ -364,10 +447,14 @@ def replace_entities(
 ) -> DataFrame:
     """``docs`` with the text rewritten and the columns ``entities`` (kind:start:end) and ``n_entities``; such columns are replaced."""
     found, table = surrogates(docs, key, id_col, text_col)
+    moved, n = stage(table.filter("times > 1 or mixed").select("kind", "value", "times", "gender"), "moved", n=F.count(F.lit(1)))
+    moved = F.broadcast(moved) if n["n"] <= broadcast_rows else moved
     late, n = stage(
-        found.join(table.filter("times > 1").select("kind", "value", "times"), ["kind", "value"]).groupBy(F.col("id").alias("_id"))
-        .agg(F.collect_set(F.struct("kind", "value", "times")).alias("_times")), "exceptions", n=F.count(F.lit(1)))
-    rows = docs.join(F.broadcast(late) if n["n"] <= broadcast_rows else late, F.col(id_col) == F.col("_id"), "left")
-    return rows.withColumn("_new", _rewriter(key)(text_col, "_times")).select(
-        *[F.col("_new.text").alias(text_col) if c == text_col else F.col(c) for c in docs.columns if c not in ("entities", "n_entities")],
-        "_new.entities", "_new.n_entities")
+        found.select("id", "kind", "value").join(moved, ["kind", "value"]).groupBy("id")
+        .agg(F.collect_set(F.struct("kind", "value", "times", "gender")).alias("known")), "exceptions", n=F.sum(F.size("known")))
+    others = [c for c in docs.columns if c not in (text_col, "entities", "n_entities")]
+    rows = docs.select(F.struct(*others).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = rows.join(F.broadcast(late) if (n["n"] or 0) <= broadcast_rows else late, "id", "left").withColumn("new", _rewriter(key)("text", "known"))
+    return rows.select(
+        *[F.col("new.text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("entities", "n_entities")],
+        "new.entities", "new.n_entities")

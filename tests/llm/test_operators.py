@@ -7,6 +7,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import unicodedata
 import zlib
 
@@ -376,6 +377,53 @@ def test_pii_corpus(spark, docs, none):
     assert pii.replace_entities(none, b"k").count() == 0
 
 
+def test_pii_gender_and_coreference(spark):
+    """Against plain Python: one surrogate per entity, distinct ones for distinct ones, given names of the gender told anywhere."""
+    rng = random.Random(5)
+    firsts = ["".join(rng.choice("BDKLMR")) + "".join(rng.choice("aeiou") + rng.choice("dlnrst") for _ in range(2)) + rng.choice(["", "a"]) for _ in range(60)]
+    people = {}
+    for first in firsts:
+        for last in ("Stone", "Hill", "Иванов"):
+            people[f"{first} {last}"] = rng.choice(["m", "f", "", "mf"])
+    people |= {"Ольга Петрова": "f", "Νίκος Παππάς": "m"}
+    titles = {"m": ["Mr", "Dr"], "f": ["Mrs", "Prof"], "": ["Dr"], "mf": ["Mr", "Ms"]}
+    said = [(t, n) for n, g in people.items() for t in titles[g]]
+    data = [(i, f"{t}. {n} and again {t} {n}, a{i % 7}@x.org") for i, (t, n) in enumerate(said)]
+    docs = spark.createDataFrame(data, "doc_id long, text string").withColumn("_id", F.lit(1)).withColumn("_times", F.lit(2)).withColumn("row", F.lit(3)).withColumn("known", F.lit(4))
+    out = pii.replace_entities(docs, b"k")
+    assert out.columns == [*docs.columns, "entities", "n_entities"]
+    became, mails = collections.defaultdict(set), collections.defaultdict(set)
+    for r in out.collect():
+        t, n = said[r.doc_id]
+        m = re.fullmatch(rf"{t}\. (\S+ \S+) and again {t} (\S+ \S+), (\S+)", r.text)
+        became[n] |= {m[1], m[2]}
+        mails[f"a{r.doc_id % 7}@x.org"].add(m[3])
+    assert all(len(v) == 1 for v in [*became.values(), *mails.values()]) and len(set.union(*became.values())) == len(people)
+    assert not set.union(*became.values()) & set(people) and len(set.union(*mails.values())) == 7
+    for n, g in people.items():
+        first = next(iter(became[n])).split(" ")[0]
+        script = unicodedata.name(n[0]).split(" ")[0]
+        assert unicodedata.name(first[0]).startswith(script)
+        if g in ("m", "f"):
+            assert first.endswith(tuple(pii._GIVEN[script][2][g]))
+        else:
+            assert len(first) == len(n.split(" ")[0])
+    assert pii.image(b"k", "name", "Olivia Stone", "f") != pii.image(b"k", "name", "Olivia Stone", "m")
+
+
+def test_pii_found_in_linear_time():
+    """Mail addresses as one pattern finds them; time grows with the text."""
+    whole = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
+    rng = random.Random(3)
+    for _ in range(3000):
+        text = "".join(rng.choice("ab@@..- é_") for _ in range(30))
+        assert [s[:2] for s in pii.find(text) if s[2] == "email"] == [m.span() for m in whole.finditer(text)]
+    for text in ("a" * 200_000, "@a." * 60_000, " ".join(f"m{i}@x.org" for i in range(16_000)), "1-" * 100_000, "Mr A" * 50_000):
+        start = time.monotonic()
+        pii.find(text)
+        assert time.monotonic() - start < 3
+
+
 def test_pii_dense_shapes(spark):
     """All strings of a shape but a few, whole lists of given names, scripts beyond Latin."""
     short = [c + v for c in "BCDFGHJKLMNPQRSTVWXYZ" for v in "aeiou"]
