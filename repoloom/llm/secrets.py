@@ -1,8 +1,8 @@
 """Incremental secret scan over a ledger of content-addressed blobs.
 
 A table of versions (any columns, one of them the text) is reduced to blobs by
-SHA-256. The ledger has a row for each blob and each version of a rule that
-was run over it, with the spans found, also where there are none. Only the
+SHA-256. The ledger has a row for each scan of a blob with the versions of the
+rules that were run over it and the spans found, also where there are none. Only the
 missing pairs of blob and rule version are scanned, each once, however many
 paths or versions hold the blob; the findings then join back to every row by
 blob. Run again after a commit, the scan costs the new blobs only; after a
@@ -51,7 +51,7 @@ RULES = [
     # a run of 16 or more is the same as a run of any length that is then measured
     Rule("hex", 1, re.compile(r"[0-9a-f]{16,}"), 0, 16),
 ]
-LEDGER_SCHEMA = "blob string, rule string, spans array<struct<start:int,end:int>>"
+LEDGER_SCHEMA = "blob string, found array<struct<rule:string,spans:array<struct<start:int,end:int>>>>"
 #: Blobs above this share of all rows are joined by broadcast, so fewer than this many, below so many bytes of spans.
 HOT_BLOBS, HOT_BYTES = 1000, 16 << 20
 
@@ -62,25 +62,26 @@ def _scan(rules: list[Rule]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.D
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [
-                (blob, name, [{"start": a, "end": b} for a, b in by_name[name].spans(text)])
-                for blob, text, lacking in zip(batch["blob"], batch["text"], batch["lacking"], strict=True) for name in lacking
+                (blob, [{"rule": name, "spans": [{"start": a, "end": b} for a, b in by_name[name].spans(text)]} for name in lacking])
+                for blob, text, lacking in zip(batch["blob"], batch["text"], batch["lacking"], strict=True)
             ]
-            yield pd.DataFrame(rows, columns=["blob", "rule", "spans"])
+            yield pd.DataFrame(rows, columns=["blob", "found"])
 
     return scan
 
 
-def _findings(ledger: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Ledger rows to ``blob``, a count per kind and ``spans`` (kind:start:end, by start, then by the order of the rules)."""
-    kinds = F.array(*[F.lit(rule.kind) for rule in rules])
-    rank = F.array_position(F.array(*[F.lit(rule.name) for rule in rules]), F.col("rule")).cast("int")
-    placed = ledger.withColumn("rank", rank).select(
-        "blob", "rule", F.size("spans").alias("n"), F.expr("transform(spans, s -> struct(s.start AS start, rank, s.end AS end))").alias("placed"))
-    per = placed.groupBy("blob").agg(
-        *[F.sum(F.when(F.col("rule") == rule.name, F.col("n")).otherwise(0)).alias(f"n_{rule.kind}") for rule in rules],
-        F.array_sort(F.flatten(F.collect_list("placed"))).alias("placed"))
+def _findings(found: DataFrame, rules: list[Rule]) -> DataFrame:
+    """``found`` of a blob as a count per kind and ``spans`` (kind:start:end, by start, then by the order of the rules)."""
+    kinds, names = (F.array(*map(F.lit, part)) for part in zip(*[(rule.kind, rule.name) for rule in rules], strict=True))
+
+    def ranked(one):
+        return F.transform(one["spans"], lambda s: F.struct(s["start"].alias("start"), F.array_position(names, one["rule"]).cast("int").alias("rank"), s["end"].alias("end")))
+
+    placed = found.withColumn("placed", F.array_sort(F.flatten(F.transform("found", ranked)))).drop("found")
+    for rank, rule in enumerate(rules, 1):
+        placed = placed.withColumn(f"n_{rule.kind}", F.expr(f"cast(size(filter(placed, s -> s.rank = {rank})) AS long)"))
     said = F.transform("placed", lambda s: F.concat_ws(":", F.element_at(kinds, s["rank"]), s["start"], s["end"]))
-    return per.withColumn("spans", F.array_join(said, ",")).drop("placed")
+    return placed.withColumn("spans", F.array_join(said, ",")).drop("placed")
 
 
 def scan_versions(
@@ -93,23 +94,25 @@ def scan_versions(
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     paths, all_ = stage(versions.select(F.col(id_col).alias("id"), F.sha2(text, 256).alias("blob")), "blob-paths", n=F.count(F.lit(1)))
-    blobs, _ = stage(paths.groupBy("blob").agg(F.min("id").alias("at"), F.count(F.lit(1)).alias("rows")), "blobs")
-    names = [rule.name for rule in rules]
-    pairs = blobs.select("blob", "at", F.explode(F.array(*map(F.lit, names))).alias("rule"))
-    known = None
-    if ledger is not None:
-        seen = ledger.filter(F.col("rule").isin(names)).select("blob", "rule", "spans").dropDuplicates(["blob", "rule"])
-        known = seen.join(blobs.select("blob"), "blob", "left_semi")
-        pairs = pairs.join(seen, ["blob", "rule"], "left_anti")
-    todo, _ = stage(pairs.groupBy("blob", "at").agg(F.collect_set("rule").alias("lacking")), "blobs-to-scan")
+    large = F.count(F.lit(1)) * HOT_BLOBS > all_["n"]
+    blobs = paths.groupBy("blob").agg(F.min("id").alias("at"), large.alias("hot"))
+    names = F.array(*[F.lit(rule.name) for rule in rules])
+    none = F.from_json(F.lit("[]"), LEDGER_SCHEMA.split(" ", 3)[3])
+    if ledger is None:
+        blobs = blobs.withColumn("had", none)
+    else:
+        scans = F.array_distinct(F.flatten(F.collect_list("found")))
+        seen = ledger.groupBy("blob").agg(F.filter(scans, lambda one: F.array_contains(names, one["rule"])).alias("had"))
+        blobs = blobs.join(seen, "blob", "left").withColumn("had", F.coalesce("had", none))
+    blobs, _ = stage(blobs.withColumn("lacking", F.array_except(names, F.col("had.rule"))), "blobs")
+    todo = blobs.filter(F.size("lacking") > 0).select("blob", "at", "lacking")
     # the text travels once, to the row chosen for its blob
     texts = versions.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("blob", F.sha2("text", 256))
     chosen = (texts["blob"] == todo["blob"]) & texts["id"].eqNullSafe(todo["at"])
     scanned = texts.join(todo, chosen).select(texts["blob"], "text", "lacking").mapInPandas(_scan(rules), LEDGER_SCHEMA)
-    fresh, _ = stage(scanned.dropDuplicates(["blob", "rule"]), "blob-findings")
-    large = F.col("rows") * HOT_BLOBS > all_["n"]
-    found = _findings(fresh if known is None else fresh.unionByName(known), rules).join(blobs.select("blob", large.alias("hot")), "blob")
-    found, hot = stage(found, "findings", bytes=F.sum(F.when(F.col("hot"), F.length("spans")).otherwise(0)))
+    fresh, _ = stage(scanned.dropDuplicates(["blob"]), "blob-findings")
+    found = blobs.join(fresh, "blob", "left").select("blob", "hot", F.concat("had", F.coalesce("found", none)).alias("found"))
+    found, hot = stage(_findings(found, rules), "findings", bytes=F.sum(F.when(F.col("hot"), F.length("spans")).otherwise(0)))
     if (hot["bytes"] or 0) > HOT_BYTES:
         joined = paths.join(found.drop("hot"), "blob")
     else:
