@@ -20,6 +20,16 @@ def completions(lines: DataFrame) -> DataFrame:
     return found.dropDuplicates(["repo", "name"])
 
 
+def announcements(lines: DataFrame) -> DataFrame:
+    """Each repo whose transcript says that all of its components are done, once; batches and streams."""
+    return lines.filter(F.contains("line", F.lit(ALL_DONE_MARK))).select("repo").dropDuplicates(["repo"])
+
+
+def unkept(announced: DataFrame, complete: DataFrame) -> DataFrame:
+    """(repo, expected, done) of repositories that announced the end before all was done; counts are null without expectations."""
+    return announced.join(complete, "repo", "left").filter(~F.coalesce("all_complete", F.lit(False))).select("repo", "expected", "done")
+
+
 def transcript_stream(spark: SparkSession, path: str) -> DataFrame:
     """Lines below ``path/<repo>/`` as they are appended file by file."""
     rows = spark.readStream.option("recursiveFileLookup", "true").text(path)

@@ -12,6 +12,7 @@ from repoloom.functions.text import balanced_span, balanced_spans
 from repoloom.operators import analyses, artifacts, audit, incremental, inventory, observability
 from repoloom.sources import files as fs
 from repoloom.sources import tables as tb
+from repoloom.streaming import markers
 
 
 def test_resolve_against_all_pairs(spark):
@@ -287,3 +288,25 @@ def test_load_dependencies_keeps_whole_lists(spark):
     got = sorted((r.repo, r.name, r.scope, r.dependency) for r in catalog.RUNS["src8_load_dependencies"](spark, "/root/testdata/sf0.001").collect() if r.scope)
     want = [(r.repo, r.source, scope, r.target) for scope, name in (("external", "e_integrations"), ("internal", "e_edges")) for r in view(spark, name).collect()]
     assert got == sorted(want) and len(got) > 2 * len({g[:3] for g in got})
+
+
+def test_announced_ends(spark, tmp_path):
+    said = {
+        "a": ["[APPLICATION_ANALYSIS_COMPLETE] x", "[APPLICATION_ANALYSIS_COMPLETE] y", "so [ALL_APPLICATION_ANALYSIS_COMPLETE]", "[ALL_APPLICATION_ANALYSIS_COMPLETE]"],
+        "b": ["[APPLICATION_ANALYSIS_COMPLETE] x", "[ALL_APPLICATION_ANALYSIS_COMPLETE]"],
+        "c": ["[APPLICATION_ANALYSIS_COMPLETE] x", "ALL_APPLICATION_ANALYSIS_COMPLETE"],
+        "d": ["[ALL_APPLICATION_ANALYSIS_COMPLETE]"],
+    }
+    for repo, lines in said.items():
+        (tmp_path / "in" / repo).mkdir(parents=True)
+        (tmp_path / "in" / repo / "t.txt").write_text("\n".join(lines))
+    stream = markers.announcements(markers.transcript_stream(spark, str(tmp_path / "in")))
+    stream.writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option(
+        "checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    announced = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(r.repo for r in announced.collect()) == ["a", "b", "d"]
+    rows = spark.createDataFrame([(r, line) for r, lines in said.items() for line in lines], "repo string, line string")
+    assert sorted(r.repo for r in markers.announcements(rows).collect()) == ["a", "b", "d"]
+    expected = spark.createDataFrame([(r, n) for r in "abc" for n in "xy"], "repo string, name string")
+    complete = markers.completeness(markers.completions(rows), expected)
+    assert sorted(map(tuple, markers.unkept(announced, complete).collect())) == [("b", 2, 1), ("d", None, None)]
