@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from repoloom.functions.text import balanced_span, json_variant
-from repoloom.functions.running import running_totals
+from repoloom.functions.running import ranks, running_totals
 
 # Evidence types by expected category.
 DYNAMIC_EVIDENCE = ["http_call", "shared_db", "other"]
@@ -144,9 +144,7 @@ def findings(mismatches: DataFrame, discrepancies: DataFrame, languages: DataFra
 
 def exemplars(found: DataFrame, k: int | None = None, order: list[str] | None = None) -> DataFrame:
     """Findings ranked per (language, bucket); the first ``k`` if given."""
-    w = Window.partitionBy("language", "bucket").orderBy(*(order or ["repo", "item"]))
-    ranked = found.withColumn("pos", F.row_number().over(w))
-    return ranked if k is None else ranked.filter(F.col("pos") <= k)
+    return ranks(found, ["language", "bucket"], order or ["repo", "item"], k)
 
 
 def audit_totals(audits: DataFrame, discrepancies: DataFrame, languages: DataFrame) -> DataFrame:

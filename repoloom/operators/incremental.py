@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from repoloom.functions.paths import ancestors, dirname, segments
+from repoloom.functions.running import ranks
 from repoloom.operators.graph import simple_graph
 from repoloom.runtime import stage
 
@@ -77,16 +78,15 @@ def change_worklist(changed: DataFrame, components: DataFrame, files_per_compone
         changed.select("repo", "path", F.explode(ancestors(F.col("path"))).alias("root"))
         .join(touched, ["repo", "root"]).select("repo", "component", "path").distinct()
     )
-    path_order = segments(F.col("path"))
-    first = below.withColumn("pos", F.row_number().over(Window.partitionBy("repo", "component").orderBy(path_order)))
-    if files_per_component is not None:
-        first = first.filter(F.col("pos") <= files_per_component)
-    loose = unmapped.withColumn("pos", F.row_number().over(Window.partitionBy("repo").orderBy(path_order)))
-    if unmapped_files is not None:
-        loose = loose.filter(F.col("pos") <= unmapped_files)
-    return first.select("repo", F.lit("changed").alias("section"), "component", "pos", "path").unionByName(
-        loose.select("repo", F.lit("unmapped").alias("section"), F.lit(None).cast("string").alias("component"), "pos", "path")
-    )
+    rows = below.select("repo", F.lit("changed").alias("section"), "component", "path").unionByName(
+        unmapped.select("repo", F.lit("unmapped").alias("section"), F.lit(None).cast("string").alias("component"), "path")
+    ).withColumn("_parts", segments(F.col("path")))
+    limits = {"changed": files_per_component, "unmapped": unmapped_files}
+    given = {section: cap for section, cap in limits.items() if cap is not None}
+    ranked = ranks(rows, ["repo", "section", "component"], ["_parts"], max(given.values()) if len(given) == len(limits) else None)
+    for section, cap in given.items():
+        ranked = ranked.filter((F.col("section") != section) | (F.col("pos") <= cap))
+    return ranked.select("repo", "section", "component", "pos", "path")
 
 
 def affected_dependents(affected: DataFrame, edges: DataFrame, hops: int | None = None) -> DataFrame:

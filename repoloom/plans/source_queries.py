@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from repoloom.plans.bindings import oracle, view
 from repoloom.plans.registry import query
-from repoloom.runtime import stage_root
+from repoloom.runtime import stage, stage_root
 from repoloom.sources import files as files_
 from repoloom.sources import tables as tables_
 
@@ -185,6 +185,31 @@ def changed(spark, sf_dir):
     return tables_.changed_files(view(spark, "e_docs"), view(spark, "e_docs_next"))
 
 
+@query("src10_folder_digests", oracle("""
+with hashed as (select repo, path, sha256(concat(path, chr(10), sha256(content))) as h from e_docs),
+spread as (select repo, array_to_string(string_split(path, '/')[1:i], '/') as folder, h
+  from (select *, unnest(range(0, len(string_split(path, '/')))) as i from hashed) u),
+total as (select repo, folder, count(*) as files,
+    sum(cast(cast('0x' || substr(h, 1, 15) as bigint) as hugeint)) as a, sum(cast(cast('0x' || substr(h, 16, 15) as bigint) as hugeint)) as b,
+    sum(cast(cast('0x' || substr(h, 31, 15) as bigint) as hugeint)) as c, sum(cast(cast('0x' || substr(h, 46, 15) as bigint) as hugeint)) as d
+  from spread group by repo, folder)
+select repo, folder, files, sha256(concat_ws(':', cast(files as varchar), cast(a as varchar), cast(b as varchar), cast(c as varchar), cast(d as varchar))) as digest from total""", "e_docs"))
+def folder_digests(spark, sf_dir):
+    return tables_.folder_digests(tables_.file_digests(view(spark, "e_docs")))
+
+
+@query("src10_changed_below", oracle(
+    "select coalesce(a.repo, b.repo) as repo, coalesce(a.path, b.path) as path, "
+    "case when a.path is null then 'added' when b.path is null then 'removed' else 'modified' end as change "
+    "from e_docs a full join e_docs_next b on a.repo = b.repo and a.path = b.path "
+    "where a.content is distinct from b.content", "e_docs", "e_docs_next"))
+def changed_below(spark, sf_dir):
+    # the earlier snapshot is known by its kept digests alone
+    kept, _ = stage(tables_.file_digests(view(spark, "e_docs")), "file-digests")
+    folders, _ = stage(tables_.folder_digests(kept), "folder-digests")
+    return tables_.changed_below(kept, view(spark, "e_docs_next"), folders)
+
+
 @query("src11_select_corpus", oracle("""
 select repo_id, full_name, language, stars, size_kb, pick from (
   select *, row_number() over (partition by language order by r) as pick from (

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from repoloom.functions.paths import basename, glob_regex, segments
+from repoloom.functions.running import ranks
 from repoloom.functions.text import lines, line_count
 
 # Manifest files with ecosystem, precedence and pattern position.
@@ -97,10 +98,8 @@ def glob_files(files: DataFrame, pattern: str, prefix: str | None = None, cap: i
 
     ``cap`` keeps the first ones; :func:`glob_overflow` counts what it leaves out.
     """
-    hit = _globbed(files, pattern, prefix)
-    order = Window.partitionBy("repo").orderBy(segments(F.col("path")))
-    ranked = hit.select("repo", "path", F.row_number().over(order).alias("pos"))
-    return ranked if cap is None else ranked.filter(F.col("pos") <= cap)
+    hit = _globbed(files, pattern, prefix).withColumn("_parts", segments(F.col("path")))
+    return ranks(hit, ["repo"], ["_parts"], cap).drop("_parts")
 
 
 def glob_overflow(files: DataFrame, pattern: str, prefix: str | None = None, cap: int = 500) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 
 from repoloom.functions.text import json_variant
 from repoloom.functions.kinds import parse_kind, slugify
+from repoloom.functions.paths import ancestors, dirname
 
 TRACE_SCHEMA = T.StructType([
     T.StructField("event", T.StringType()),
@@ -81,12 +82,72 @@ def latest_manifest(manifests: DataFrame) -> DataFrame:
     return top.select("service", "_m.*")
 
 
+def _digest(files: DataFrame) -> Column:
+    return F.col("digest") if "digest" in files.columns else F.sha2("content", 256)
+
+
+def file_digests(files: DataFrame) -> DataFrame:
+    """(repo, path, digest): what to keep of a snapshot for later comparisons."""
+    return files.select("repo", "path", _digest(files).alias("digest"))
+
+
+DIGEST_PARTS = 4
+
+
+def folder_digests(digests: DataFrame) -> DataFrame:
+    """(repo, folder, files, digest) of every folder with all that is below it; '' is the repository.
+
+    A digest covers the set of (path, file digest) below the folder. It is a
+    sum over files of 60-bit parts of their hashes, so files are added up
+    within tasks, folders of any size are shuffled as one row per task, and no
+    level waits for another. A file of null digest counts by its path alone.
+    """
+    own = F.sha2(F.concat("path", F.lit("\n"), F.coalesce("digest", F.lit(""))), 256)
+    part = lambda i: F.conv(F.substr("_h", F.lit(15 * i + 1), F.lit(15)), 16, 10).cast("decimal(19,0)")
+    names = [f"_s{i}" for i in range(DIGEST_PARTS)]
+    hashed = digests.select("repo", dirname(F.col("path")).alias("_dir"), own.alias("_h"))
+    direct = hashed.groupBy("repo", "_dir").agg(F.count("*").alias("files"), *[F.sum(part(i)).alias(n) for i, n in enumerate(names)])
+    above = F.concat(F.array(F.lit("")), F.filter(ancestors(F.col("_dir")), lambda a: a != ""))
+    spread = direct.select("repo", F.explode(above).alias("folder"), "files", *names)
+    total = spread.groupBy("repo", "folder").agg(F.sum("files").alias("files"), *[F.sum(n).cast("decimal(38,0)").alias(n) for n in names])
+    return total.select("repo", "folder", "files", F.sha2(F.concat_ws(":", "files", *names), 256).alias("digest"))
+
+
+def changed_folders(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(repo, folder) of folders that differ between two tables of folder digests.
+
+    Repositories that are equal as a whole leave before their folders are compared.
+    """
+    def differing(old: DataFrame, new: DataFrame) -> DataFrame:
+        both = old.select("repo", "folder", F.col("digest").alias("_old")).join(
+            new.select("repo", "folder", F.col("digest").alias("_new")), ["repo", "folder"], "full")
+        return both.filter(~F.col("_old").eqNullSafe(F.col("_new"))).select("repo", "folder")
+
+    repos = differing(before.filter("folder = ''"), after.filter("folder = ''")).select("repo")
+    return differing(before.join(repos, "repo", "left_semi"), after.join(repos, "repo", "left_semi"))
+
+
+def changed_below(before: DataFrame, after: DataFrame, folders_before: DataFrame | None = None, folders_after: DataFrame | None = None) -> DataFrame:
+    """:func:`changed_files`, descending only into folders that differ.
+
+    ``before`` and ``after`` are files (repo, path, and digest or content).
+    With folder digests at hand, as kept from an earlier run or taken from a
+    listing, contents are hashed in differing folders alone; files of equal
+    folders are not shuffled either way. Without them they are made here.
+    """
+    folders = lambda files, given: folder_digests(file_digests(files)) if given is None else given
+    open_ = changed_folders(folders(before, folders_before), folders(after, folders_after)).withColumnRenamed("folder", "_dir")
+    some = lambda files: files.withColumn("_dir", dirname(F.col("path"))).join(open_, ["repo", "_dir"], "left_semi").drop("_dir")
+    return changed_files(some(before), some(after))
+
+
 def changed_files(before: DataFrame, after: DataFrame) -> DataFrame:
     """(repo, path, change) of paths that differ between two snapshots.
 
-    Contents are reduced to a digest before the shuffle.
+    Contents are reduced to a digest before the shuffle; a side that has a
+    column ``digest`` (see :func:`file_digests`) is taken at its word.
     """
-    digest = lambda df, name: df.select("repo", "path", F.sha2("content", 256).alias(name))
+    digest = lambda df, name: df.select("repo", "path", _digest(df).alias(name))
     both = digest(before, "old").join(digest(after, "new"), ["repo", "path"], "full")
     change = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").otherwise("modified")
     return both.filter(~F.col("old").eqNullSafe(F.col("new"))).select("repo", "path", change.alias("change"))

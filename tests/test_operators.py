@@ -7,7 +7,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from repoloom.functions.running import previous_rows, running_totals
+from repoloom.functions.running import previous_rows, ranks, running_totals
 from repoloom.functions.text import balanced_span, balanced_spans
 from repoloom.operators import analyses, artifacts, audit, incremental, inventory, observability
 from repoloom.sources import files as fs
@@ -99,6 +99,20 @@ def test_running_totals_with_a_hot_group(spark):
     assert got == {k: v[0] for k, v in want.items()} and prev == {k: v[1] for k, v in want.items()}
 
 
+def test_ranks_with_a_hot_group(spark):
+    """Nine tenths of the rows in one group, the null one: its rows are ranked in many tasks."""
+    df = spark.range(20_000).selectExpr("if(id % 10 = 0, concat('g', id % 70), null) as g", "hash(id) as t", "id")
+    got = ranks(df, ["g"], ["t", "id"])
+    places: dict = {}
+    for r in sorted(df.collect(), key=lambda r: (r.t, r.id)):
+        places.setdefault(r.g, []).append(r.id)
+    assert {r.id: r.pos for r in got.collect()} == {i: n for ids in places.values() for n, i in enumerate(ids, 1)}
+    window = next(line for line in got._jdf.queryExecution().executedPlan().toString().splitlines() if "Window [" in line)
+    assert "_slice" in window
+    assert {r.id for r in ranks(df, ["g"], ["t", "id"], 2).collect()} == {i for ids in places.values() for i in ids[:2]}
+    assert ranks(df.limit(0), ["g"], ["t"]).count() == 0
+
+
 def test_incremental(spark):
     comps = spark.createDataFrame(
         [("r", "all", "src", 0), ("r", "api", "src/api/", 1), ("r", "rootless", "", 2), ("r", "doc", "docs/a.md", 3), ("q", "x", "src", 0)],
@@ -220,6 +234,27 @@ def test_files(spark, tree, tmp_path):
     assert [(r.repo, r.path, r.content, r.size_bytes) for r in got] == [("one", "sub/f.txt", "ok �", 4)]
 
 
+def test_snapshots_by_folder(spark, tree):
+    old = {"same": {"a/b/x.py": "1", "top.md": "t"}, "moved": {"a/x.py": "1", "b/y.py": "2"}, "edit": {"a/b/c/x.py": "1", "a/d/y.py": "2", "z.md": "3"}, "gone": {"x": ""}}
+    new = {"same": old["same"], "moved": {"b/x.py": "1", "a/y.py": "2"}, "edit": {"a/b/c/x.py": "9", "a/d/y.py": "2", "z.md": "3"}, "fresh": {"x/y": ""}}
+    before, after = tb.file_digests(tree(old)), tree(new)
+    assert before.columns == ["repo", "path", "digest"]
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    kept, made = tb.folder_digests(before), tb.folder_digests(tb.file_digests(after))
+    sizes = {(r.repo, r.folder): r.files for r in kept.collect()}
+    assert {k[1]: n for k, n in sizes.items() if k[0] == "edit"} == {"": 3, "a": 2, "a/b": 1, "a/b/c": 1, "a/d": 1}
+    assert {r.folder for r in tb.changed_folders(kept, made).filter("repo = 'edit'").collect()} == {"", "a", "a/b", "a/b/c"}
+    want = rows(tb.changed_files(tree(old), after))
+    assert ("edit", "a/b/c/x.py", "modified") in want and len(want) == 7
+    assert rows(tb.changed_below(before, after)) == want == rows(tb.changed_below(before, after, kept, made))
+    assert rows(tb.changed_files(before, after)) == want
+    # folders given as equal are not looked into: contents there are never compared
+    assert rows(tb.changed_below(before, after, kept, kept)) == []
+    # the digest tells a set of files apart from the same contents under other names, and is the same in any order
+    assert rows(tb.folder_digests(before.repartition(7, "path"))) == rows(kept)
+    assert tb.changed_below(before.limit(0), after.limit(0)).count() == 0
+
+
 def test_inventory_documents_and_manifests(spark):
     docs = spark.createDataFrame([
         ("obj", '{"components": [{"name": "a", "kind": "CLI", "external_dependencies": ["x", {"name": "y", "version": "1"}]}]}'), ("arr", '[{"name": "b"}]'), ("bad", "{"), ("none", "{}"),
