@@ -38,8 +38,8 @@ RESULT_FIELDS = {
 RESULT_SCHEMA = ", ".join(f"{name} {kind}" for name, kind in RESULT_FIELDS.items())
 
 
-def summary_of(markdown: Column) -> Column:
-    """First lines of the summary section, else the first line of prose."""
+def summary_of(markdown: Column, max_lines: int | None = SUMMARY_LINES, max_chars: int | None = FALLBACK_CHARS) -> Column:
+    """First lines of the summary section, else the first line of prose; without limits, whole."""
     rows = F.split(markdown, "\n")
     heading = lambda l: F.contains(l, F.lit(SUMMARY_HEADINGS[0])) | F.contains(l, F.lit(SUMMARY_HEADINGS[1]))
     visible = lambda l: F.rlike(l, F.lit(r"\S"))
@@ -47,13 +47,15 @@ def summary_of(markdown: Column) -> Column:
     after = F.filter(F.slice(rows, at + 1, F.size(rows)), lambda l: ~heading(l))
     stop = F.array_position(F.transform(after, lambda l: F.startswith(l, F.lit("## "))), F.lit(True)).cast("int")
     section = F.when(stop > 0, F.slice(after, F.lit(1), stop - 1)).otherwise(after)
-    told = F.array_join(F.slice(F.filter(section, visible), 1, SUMMARY_LINES), "\n")
+    seen = F.filter(section, visible)
+    told = F.array_join(seen if max_lines is None else F.slice(seen, 1, max_lines), "\n")
     prose = F.get(F.filter(rows, lambda l: visible(l) & ~F.startswith(l, F.lit("#"))), F.lit(0))
-    return F.coalesce(F.when(at > 0, F.nullif(told, F.lit(""))), F.substring(prose, 1, FALLBACK_CHARS), F.lit(NO_SUMMARY))
+    return F.coalesce(F.when(at > 0, F.nullif(told, F.lit(""))), prose if max_chars is None else F.substring(prose, 1, max_chars), F.lit(NO_SUMMARY))
 
 
-def extract_summary(analyses: DataFrame) -> DataFrame:
-    return analyses.select("repo", "component", summary_of(F.col("markdown")).alias("summary"))
+def extract_summary(analyses: DataFrame, max_lines: int | None = SUMMARY_LINES, max_chars: int | None = FALLBACK_CHARS) -> DataFrame:
+    """(repo, component, summary); with None for both limits the summaries are whole."""
+    return analyses.select("repo", "component", summary_of(F.col("markdown"), max_lines, max_chars).alias("summary"))
 
 
 def upstream_context(deps: DataFrame, summaries: DataFrame) -> DataFrame:

@@ -67,26 +67,38 @@ def token_ledger(messages: DataFrame) -> DataFrame:
     )
 
 
-def truncate_text(value: Column) -> Column:
-    return F.when(F.length(value) > MAX_TEXT, F.concat(F.substring(value, 1, MAX_TEXT), F.lit(CUT_MARK))).otherwise(value)
+def truncate_text(value: Column, max_text: int = MAX_TEXT) -> Column:
+    return F.when(F.length(value) > max_text, F.concat(F.substring(value, 1, max_text), F.lit(CUT_MARK))).otherwise(value)
 
 
-def truncate_items(value: Column) -> Column:
+def truncate_items(value: Column, max_items: int = MAX_ITEMS) -> Column:
     """JSON of an array, or its size when it is long."""
-    return F.when(F.size(value) > MAX_ITEMS, F.concat(F.lit("["), F.size(value).cast("string"), F.lit(" items]"))).otherwise(F.to_json(value))
+    return F.when(F.size(value) > max_items, F.concat(F.lit("["), F.size(value).cast("string"), F.lit(" items]"))).otherwise(F.to_json(value))
 
 
-def truncate_map(value: Column) -> Column:
+def truncate_map(value: Column, max_text: int = MAX_TEXT) -> Column:
     """JSON of a map, or its number of keys when it is long."""
     text = F.to_json(value)
-    return F.when(F.length(text) > MAX_TEXT, F.concat(F.lit("{..."), F.size(value).cast("string"), F.lit(" keys}"))).otherwise(text)
+    return F.when(F.length(text) > max_text, F.concat(F.lit("{..."), F.size(value).cast("string"), F.lit(" keys}"))).otherwise(text)
 
 
-def truncate_values(rows: DataFrame) -> DataFrame:
-    """Shorten every text, array and map column of ``rows`` for logs."""
-    out = []
-    for f in rows.schema.fields:
-        kind, c = f.dataType.typeName(), F.col(f"`{f.name}`")
-        by_type = {"string": truncate_text, "array": truncate_items, "map": truncate_map}
-        out.append(by_type[kind](c).alias(f.name) if kind in by_type else c)
-    return rows.select(*out)
+def truncate_values(rows: DataFrame, max_text: int = MAX_TEXT, max_items: int = MAX_ITEMS, whole: str | None = None) -> DataFrame:
+    """Shorten every text, array and map column of ``rows`` for logs.
+
+    With ``whole`` each of them stays as it is, and what is shown in a log
+    stands beside it in a column of the same name with that ending.
+    """
+    shorten = {
+        "string": lambda c: truncate_text(c, max_text),
+        "array": lambda c: truncate_items(c, max_items),
+        "map": lambda c: truncate_map(c, max_text),
+    }
+    kinds = {f.name: f.dataType.typeName() for f in rows.schema.fields}
+    col = lambda name: F.col("`" + name.replace("`", "``") + "`")
+    short = {name: shorten[kind](col(name)) for name, kind in kinds.items() if kind in shorten}
+    if whole is None:
+        return rows.select(*[short[name].alias(name) if name in short else col(name) for name in kinds])
+    taken = [name + whole for name in short if name + whole in kinds]
+    if not whole or taken:
+        raise ValueError(f"ending {whole!r} gives columns that are there already: {taken}")
+    return rows.select(*[col(name) for name in kinds], *[c.alias(name + whole) for name, c in short.items()])

@@ -194,11 +194,19 @@ select repo, component, coalesce(case when hd > 0 then nullif(array_to_string(to
         from (select *, string_split(markdown, chr(10)) as rows from ({_MD}) m) a) b) c) d) e"""
 
 
+_WHOLE_SUMMARY = _SUMMARY.replace("told[1:5]", "told").replace("left(prose[1], 500)", "prose[1]")
+
+
 @query("ana1_extract_summary", _SUMMARY)
 def summaries(spark, sf_dir):
     return analyses.extract_summary(spark.sql(_MD.replace("chr(10)", "char(10)")))
 
 
+@query("ana1_whole_summary", _WHOLE_SUMMARY)
+def whole_summaries(spark, sf_dir):
+    return analyses.extract_summary(spark.sql(_MD.replace("chr(10)", "char(10)")), None, None)
+
+
 # Summaries of components: their retail name, for those that are analysed.
 _TOLD = f"select d.repo, d.component, concat(p_name, ' of ', d.component) as summary from ({_DONE}) d join part on d.component = concat('c', cast(p_partkey as varchar(20)))"
 
@@ -529,6 +537,19 @@ def tokens(spark, sf_dir):
     return observability.token_ledger(spark.sql(_TOKENS))
 
 
+@query("obs4_shown_beside_whole", """
+select doc_id, text, lines, facts, case when length(text) > 500 then concat(left(text, 500), '...(truncated)') else text end as text_shown,
+  case when len(lines) > 10 then concat('[', len(lines), ' items]') else cast(to_json(lines) as varchar) end as lines_shown,
+  case when length(facts) > 500 then '{...3 keys}' else facts end as facts_shown
+from (select doc_id, text, string_split(text, chr(10)) as lines,
+  cast(to_json(map {'lang': lang, 'source': source, 'text': text}) as varchar) as facts from documents) d""")
+def shown(spark, sf_dir):
+    rows = spark.table("documents").select(
+        "doc_id", "text", F.split("text", "\n").alias("lines"),
+        F.create_map(F.lit("lang"), "lang", F.lit("source"), "source", F.lit("text"), "text").alias("facts"))
+    return observability.truncate_values(rows, whole="_shown").withColumn("facts", F.to_json("facts"))
+
+
 @query("obs4_truncate_values", """
 select doc_id, case when length(text) > 500 then concat(left(text, 500), '...(truncated)') else text end as text,
   case when words > 10 then concat('[', words, ' items]') else '[short]' end as words from (select *, len(string_split(text, ' ')) as words from documents) d""")

@@ -219,6 +219,14 @@ def corpus(spark, sf_dir):
     return tables_.select_corpus(view(spark, "e_corpus"))
 
 
+@query("src11_select_from_all", oracle("""
+select repo_id, full_name, language, stars, size_kb, pick from (
+  select *, row_number() over (partition by language order by stars desc, full_name) as pick from e_corpus where size_kb <= 100000) a
+where pick <= 4""", "e_corpus"))
+def corpus_of_all(spark, sf_dir):
+    return tables_.select_corpus(view(spark, "e_corpus"), max_size_kb=100_000, pool=None)
+
+
 @query("src12_load_audits", """
 select c_name as full_name, 'ok' as status, replace(c_name, '/', '__') as slug, n as audits
 from customer join (select o_custkey, count(*) as n from orders group by 1) o on o_custkey = c_custkey where c_acctbal > 0""")

@@ -153,14 +153,15 @@ def changed_files(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.filter(~F.col("old").eqNullSafe(F.col("new"))).select("repo", "path", change.alias("change"))
 
 
-def select_corpus(candidates: DataFrame, per_lang: int = 4, max_size_kb: int = 200_000) -> DataFrame:
+def select_corpus(candidates: DataFrame, per_lang: int = 4, max_size_kb: int = 200_000, pool: int | None = 2) -> DataFrame:
     """The first ``per_lang`` repositories per language that are small enough,
-    among the ``2 * per_lang`` with most stars (name breaks ties)."""
+    among the ``pool * per_lang`` with most stars (name breaks ties), or among
+    all where ``pool`` is None: then large favourites leave no language short."""
     order = Window.partitionBy("language").orderBy(F.desc("stars"), "full_name")
-    head = candidates.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= 2 * per_lang)
-    again = Window.partitionBy("language").orderBy("_r")
-    small = head.filter(F.col("size_kb") <= max_size_kb).withColumn("pick", F.row_number().over(again))
-    return small.filter(F.col("pick") <= per_lang).drop("_r")
+    if pool is not None:
+        candidates = candidates.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= pool * per_lang).drop("_r")
+    small = candidates.filter(F.col("size_kb") <= max_size_kb).withColumn("pick", F.row_number().over(order))
+    return small.filter(F.col("pick") <= per_lang)
 
 
 def load_audits(discovery: DataFrame, audits: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from repoloom.functions.running import previous_rows, ranks, running_totals
@@ -213,6 +214,29 @@ def test_traces(spark):
     assert r.t == "x" * 500 + "...(truncated)" and r.l == "[11 items]" and r.m == '{"k":"v"}'
 
 
+def test_limits_that_can_be_lifted(spark):
+    """Summaries, logged values and the choice of repositories: as the limits have them, and whole."""
+    many = "# t\n## Summary\n" + "\n".join(f"line {i}" for i in range(9)) + "\n## Next\nx"
+    df = spark.createDataFrame([("r", "a", many), ("r", "b", "y" * 900), ("r", "c", None)], "repo string, component string, markdown string")
+    short = {r.component: r.summary for r in analyses.extract_summary(df).collect()}
+    whole = {r.component: r.summary for r in analyses.extract_summary(df, None, None).collect()}
+    assert short["a"].count("\n") == 4 and whole["a"] == "\n".join(f"line {i}" for i in range(9))
+    assert len(short["b"]) == 500 and whole["b"] == "y" * 900 and short["c"] == whole["c"]
+
+    values = spark.sql("select 1 as n, repeat('t', 600) as t, sequence(1, 20) as l, array('x') as s, map('k', 'v') as m, map('a', repeat('b', 600), 'c', 'd') as big, cast(null as string) as z")
+    r = observability.truncate_values(values, whole="_log").first()
+    assert r.t == "t" * 600 and r.l == list(range(1, 21)) and r.m == {"k": "v"} and r.z is None and r.n == 1
+    assert (len(r.t_log), r.l_log, r.s_log, r.m_log, r.big_log, r.z_log) == (514, "[20 items]", '["x"]', '{"k":"v"}', "{...2 keys}", None)
+    assert observability.truncate_values(values, max_text=5, max_items=50).first().t == "ttttt...(truncated)"
+    with pytest.raises(ValueError):
+        observability.truncate_values(values.withColumn("t_log", F.lit("")), whole="_log")
+
+    repos = spark.range(20).selectExpr("concat('r', lpad(id, 2, '0')) as full_name", "'go' as language", "100 - id as stars", "if(id < 9, 900, 1) as size_kb")
+    assert tb.select_corpus(repos, 4, 10).count() == 0
+    got = sorted((r.pick, r.full_name) for r in tb.select_corpus(repos, 4, 10, pool=None).collect())
+    assert got == [(1, "r09"), (2, "r10"), (3, "r11"), (4, "r12")]
+
+
 def test_files(spark, tree, tmp_path):
     files = tree({"r": {
         "a/go.mod": "m", "a/env/x.py": "import os\r\nprint(1)\n", "environment/y.py": "", "lib/oz/foundry.toml": "", "foundry.toml": "", "p/lib/q/foundry.toml": "",
