@@ -11,7 +11,8 @@ import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
-from repoloom.llm import queries
+from pyspark.sql import functions as F
+from repoloom.llm import quality, queries
 from tokenizers import Tokenizer
 
 SF = "/root/testdata/sf0.001"
@@ -177,3 +178,82 @@ def test_whitening_equals_exact_sums(spark):
         assert abs(r.explained - values[r.component - 1] / np.trace(cov)) < 1e-9
     sign = np.sign((table * want).sum(axis=0))
     assert len(got) == 32 * n and np.abs(table - want * sign).max() < 1e-6
+
+
+def backed_off(own, total, size, words):
+    """Sum of a document's log scores, from plain counts with its own taken off."""
+    rest = lambda g: total[g] - own[g]
+    score = 0.0
+    for k in range(len(words)):
+        for n in (3, 2, 1):
+            if k < n - 1:
+                continue
+            gram = tuple(words[k - n + 1 : k + 1])
+            if n == 1:
+                score += math.log((rest(gram) + 1) / (size - len(words) + 1))
+            elif rest(gram) > 0:
+                score += math.log(rest(gram) / rest(gram[:-1]))
+                break
+            else:
+                score += math.log(0.4)
+    return score
+
+
+def test_lm_query_equals_plain_counts(spark):
+    """Every document of the table, its score from n-gram counts of the whole table."""
+    words = {i: [w for w in re.split(r"[ \t-\r]+", lowered(t)) if w] for i, t in texts(spark.read.parquet(f"{SF}/documents.parquet")).items()}
+    grams = {i: collections.Counter(tuple(w[k : k + n]) for n in (1, 2, 3) for k in range(len(w) - n + 1)) for i, w in words.items()}
+    total = collections.Counter()
+    for own in grams.values():
+        total.update(own)
+    size = sum(map(len, words.values()))
+    got = {r.doc_id: r for r in queries.RUNS["op10_lm_scoring"](spark, SF).collect()}
+    assert got.keys() == words.keys()
+    for i, w in words.items():
+        assert got[i].n_words == len(w) and got[i].score == pytest.approx(backed_off(grams[i], total, size, w), rel=1e-9, abs=1e-9)
+        assert got[i].mean_score == (pytest.approx(got[i].score / len(w)) if w else None)
+
+
+def test_quality_query_equals_plain_votes(spark):
+    """Scores are the votes of the nearest labelled vectors, compared one by one; held-out labels have no say."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.train(docs, labels.filter(~quality.held_out(F.col("doc_id"))))
+    flipped = labels.withColumn("quality", F.when(quality.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
+    again = quality.train(docs, flipped.filter(~quality.held_out(F.col("doc_id"))))
+    assert np.array_equal(model.labels, again.labels) and np.allclose(model.vectors, again.vectors)
+    learnt = sum(1 for r in labels.collect() if r.quality is not None and zlib.crc32(str(r.doc_id).encode()) % 3 != 1)
+    assert len(model.labels) == learnt
+
+    def vote(text):
+        at, values = quality.features(text)
+        vector = [math.fsum(float(v) * float(b) for v, b in zip(values, model.basis[at, j], strict=True)) for j in range(model.basis.shape[1])]
+        norm = max(math.sqrt(math.fsum(v * v for v in vector)), 1e-9)
+        near = sorted(((math.fsum(a * float(b) for a, b in zip(vector, other, strict=True)) / norm, float(label)) for other, label in zip(model.vectors, model.labels, strict=True)), reverse=True)
+        weights = [(max(c, 0.0) ** 4 + 1e-6, label) for c, label in near[: model.neighbours]]
+        return sum(w * label for w, label in weights) / sum(w for w, _ in weights)
+
+    by_id = texts(docs)
+    got = {r.doc_id: r for r in queries.RUNS["op2_quality_classifier"](spark, SF).collect()}
+    assert got.keys() == by_id.keys()
+    for i, text in by_id.items():
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 3 == 1) and got[i].predicted == int(got[i].score >= 0.5)
+    for i in sorted(by_id)[::3]:
+        assert got[i].score == pytest.approx(vote(by_id[i]), abs=1e-3), i
+
+
+def test_pipeline_rows_are_the_kept_documents(spark):
+    """run(): every token of every kept document once, in sequences without gaps."""
+    encoder = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    by_id = texts(spark.read.parquet(f"{SF}/documents.parquet"))
+    rows = corpus_pipeline.run(spark, SF).collect()
+    per_doc = collections.defaultdict(list)
+    for r in rows:
+        per_doc[r.doc_id].append(r)
+    for i, pieces in per_doc.items():
+        ids = np.array([*encoder.encode(by_id[i] or "", add_special_tokens=False).ids, 1], dtype="<u4")
+        at = 0
+        for r in sorted(pieces, key=lambda r: r.start):
+            assert r.start == at and r.ids_crc32 == zlib.crc32(ids[at : at + r.length].tobytes())
+            at += r.length
+        assert at == len(ids)
+    sequences(rows)
