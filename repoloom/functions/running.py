@@ -11,7 +11,10 @@ from repoloom.runtime import stage
 
 def _same(keys: list[str]) -> Column:
     """Equality of ``keys`` between sides l and r, in which nulls are a value like others."""
-    return reduce(Column.__and__, [F.col(f"l.`{k}`").eqNullSafe(F.col(f"r.`{k}`")) for k in keys])
+    same = [F.col(f"l.`{k}`").eqNullSafe(F.col(f"r.`{k}`")) for k in keys if k != "_slice"]
+    if "_slice" in keys:  # never null
+        same.append(F.col("l._slice") == F.col("r._slice"))
+    return reduce(Column.__and__, same)
 
 
 def running_totals(
