@@ -22,6 +22,10 @@ bounds by set size and position) are compared on their full sets. Hot heads
 and hot shingles are salted. At a similarity of 0.75 a pair shares no band
 with probability 5e-6.
 
+Texts are not shuffled to find out which are needed: a broadcast bitmap of
+hashed ids, of at most 32 MB, lets those through in the scan, and a few more.
+The joins that follow are on ids, so these change no result.
+
 Defined cases: null, empty and blank texts have empty sets, link with nothing
 and stay. Rows without an id take no part and stay. Rows that share an id are
 one node. Texts of fewer than five words are one shingle. Shingles are
@@ -36,7 +40,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repoloom.runtime import stage
@@ -50,6 +54,8 @@ PER_SALT = 256
 #: Shingles are ordered by how often their highest bits occur among the open documents.
 RARITY_BITS = 18
 ROWS_PER_FILE = 200_000
+#: Bits of a bitmap per id; of one block, a row; and at most, as powers of two.
+BITS_PER_ID, BLOCK_BITS, MOST_BITS = 32, 15, 28
 
 _draw = np.random.default_rng(20240229)
 _SCALE = _draw.integers(1, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -189,6 +195,19 @@ def _verified(docs: DataFrame, pairs: DataFrame, part: int, whole: int) -> DataF
     return rows.mapInPandas(_verifier(part, whole), "id long, head long").distinct()
 
 
+def _marked(id_: Column, ids: DataFrame, n: int) -> tuple[DataFrame, Column]:
+    """Bits to join by and the condition, true where ``id_`` is among the ``n`` values of the only column of ``ids``, and for a few others."""
+    slots = 1 << min(max((BITS_PER_ID * n - 1).bit_length(), BLOCK_BITS), MOST_BITS)
+    slot = lambda c: F.xxhash64(c.cast("long")).bitwiseAND(F.lit(slots - 1))
+    block = lambda c: F.shiftright(slot(c), BLOCK_BITS)
+    at = lambda c: slot(c).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).cast("int")
+    own = ids[ids.columns[0]]
+    # dealt out by block first: each block is made once, not once a task
+    bits = ids.select(block(own).alias("block"), at(own).alias("at")).repartition("block").groupBy("block").agg(F.bitmap_construct_agg("at").alias("bits"))
+    byte = F.conv(F.hex(F.substring(bits["bits"], F.shiftright(at(id_), 3) + 1, F.lit(1))), 16, 10).cast("int")
+    return F.broadcast(bits), (block(id_) == bits["block"]) & (F.getbit(byte, at(id_).bitwiseAND(F.lit(7))) == 1)
+
+
 def _rarity(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     counts = np.zeros(1 << RARITY_BITS, dtype=np.int64)
     for batch in batches:
@@ -253,11 +272,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         bands.groupBy("key").agg(F.max(F.struct("copies", (-F.col("id")).alias("minus"))).alias("most"), F.min("id").alias("least"), F.count(F.lit(1)).alias("rows"))
         .filter(F.col("rows") > 1).select("key", (-F.col("most.minus")).alias("most"), "least")
     )
-    shared, _ = stage(bands.select("key", "id").join(heads, "key"), "shared-bands")
+    shared, met = stage(bands.select("key", "id").join(heads, "key"), "shared-bands", n=F.approx_count_distinct("id"))
     pairs = shared.select("id", F.explode(F.array_distinct(F.array("most", "least"))).alias("head")).filter("id <> head")
     side = reps.select("id", "n", "regs")
-    # the texts that may need comparing travel once; later turns read this table
-    texts, _ = stage(texts.hint("merge").join(shared.select("id").distinct(), "id", "left_semi"), "candidate-texts")
+    # the texts that may need comparing; all turns read this table
+    texts, _ = stage(texts.join(*_marked(texts["id"], shared.select("id"), met["n"]), "left_semi"), "candidate-texts")
     tested, labels, turn, at = None, None, 0, None
     while True:
         pairs = pairs.select("id", "head").distinct()
@@ -303,5 +322,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, one document per group, with all their columns."""
-    out = near_groups(docs, id_col, text_col).filter("not kept").select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(out, docs[id_col] == out["_gone"], "left_anti")
+    out, gone = stage(near_groups(docs, id_col, text_col).filter("not kept").select(F.col(id_col).alias("_gone")).distinct(), "near-copies", n=F.count(F.lit(1)))
+    # only rows that may go meet the list of those that do
+    marked = _marked(docs[id_col], out, gone["n"])
+    unsure = docs.join(*marked, "left_semi")
+    return docs.join(*marked, "left_anti").union(unsure.join(out, docs[id_col] == out["_gone"], "left_anti"))

@@ -105,6 +105,44 @@ def test_near_groups_inside_a_template_family(spark):
     assert {k: c for k, c in got.items() if k != c} == {545: 234}
 
 
+def test_marked_ids(spark):
+    """The bits let every id through, few others, and no null by mistake; capped bits still lose none."""
+    ids = spark.range(-2000, 2000).selectExpr("id * 1000003 as gone").unionByName(spark.createDataFrame([(2**63 - 1,), (-(2**63),)], "gone long"))
+    df = spark.range(-40_000, 40_000).selectExpr("id * 1000003 as block", "id as bits", "id as at").unionByName(
+        spark.createDataFrame([(2**63 - 1, None, None), (-(2**63), None, None), (None, None, None)], "block long, bits long, at long"))
+    want = {r.gone for r in ids.collect()}
+    for n in (ids.count(), 0):
+        bits = neardup._marked(df["block"], ids, n)
+        met, rest = ([r.block for r in df.join(*bits, how).collect()] for how in ("left_semi", "left_anti"))
+        assert want <= set(met) and len(met) + len(rest) == df.count()
+        assert len(met) < 4002 + 0.05 * 76_001 or not n
+    assert df.join(*neardup._marked(df["block"], ids.limit(0), 0), "left_semi").count() == 0
+
+
+def test_near_dedup_shuffles_only_the_texts_it_needs(spark, monkeypatch):
+    """No join by id over all texts, neither to find candidates nor to drop rows; rows of null, repeated and unknown ids as before."""
+    plans, write = {}, neardup.stage
+
+    def noted(df, label, *args, **metrics):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, label, *args, **metrics)
+
+    monkeypatch.setattr(neardup, "stage", noted)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        alone = [(100 + k, " ".join(f"own{k}x{i}" for i in range(30))) for k in range(300)]
+        data = [(1, BASE), (2, NEAR), (2, NEAR), (None, BASE), (None, None), (3, BASE), (4, ""), *alone]
+        docs = spark.createDataFrame(rows(*data), SCHEMA)
+        left = neardup.near_dedup(docs)
+        assert sorted(r.doc_id or 0 for r in left.collect()) == [0, 0, 1, 4, *(i for i, _ in alone)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    texts = plans["candidate-texts"]
+    assert "SortMergeJoin" not in texts and re.findall(r"Exchange hashpartitioning\((\w+)#", texts) == ["block"]
+    sure, unsure = left._jdf.queryExecution().optimizedPlan().toString().split("\n+- Join LeftAnti", 1)
+    assert sure.startswith("Union") and "strategy=broadcast" in sure and "LeftSemi" in unsure
+
+
 def test_estimate_follows_similarity():
     import numpy as np
 
