@@ -9,6 +9,10 @@ of rounds there are as many pieces as before, no piece holds a whole table,
 and a digest meets itself at most 16 times in a round. A record only merges
 with one of equal SHA-256 and equal length; nothing else counts as verified.
 
+Texts are not shuffled to find out which rows go: a broadcast bitmap of hashed
+ids lets those through in the scan, and a few more; only these meet the list
+of dropped copies, by id and digest.
+
 Defined cases: null text is the empty text. Rows without an id are counted;
 they stay only if no copy has an id. A repeated row (same id and text) counts
 as a copy; ``exact_groups`` marks both rows as kept, ``exact_dedup`` leaves
@@ -21,6 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from repoloom.functions.marks import marked
 from repoloom.runtime import stage
 
 #: One hex digit of the digest, and so 16 runs, per round.
@@ -97,9 +102,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     if not several["n"]:
         return docs
     # copies are told apart by id, so no group meets in one place with its texts
-    gone, _ = stage(marks.filter("not kept").select("id", "digest").distinct(), "dropped-copies")
+    gone, dropped = stage(marks.filter("not kept").select("id", "digest").distinct(), "dropped-copies", n=F.count(F.lit(1)))
     again, twice = stage(marks.filter("kept").groupBy("id", "digest").count().filter("count > 1").drop("count"), "repeated-rows", n=F.count(F.lit(1)))
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), digest(F.col(text_col)).alias("digest"))
+    # only rows that may be in one of these lists meet them with their texts
+    met = marked(docs[id_col], gone.select("id").unionByName(again.select("id")), dropped["n"] + twice["n"])
+    rows = docs.join(*met, "left_semi").select(F.struct("*").alias("row"), F.col(id_col).alias("id"), digest(F.col(text_col)).alias("digest"))
 
     def same(other: DataFrame) -> Column:
         return (rows["digest"] == other["digest"]) & rows["id"].eqNullSafe(other["id"])
@@ -108,4 +115,4 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     if twice["n"]:
         once = left.join(again, same(again), "left_semi").groupBy("id", "digest").agg(F.any_value("row").alias("row"))
         left = left.join(again, same(again), "left_anti").select("row").unionByName(once.select("row"))
-    return left.select("row.*")
+    return docs.join(*met, "left_anti").union(left.select("row.*"))

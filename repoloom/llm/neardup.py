@@ -43,6 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from repoloom.functions.marks import marked
 from repoloom.runtime import stage
 
 REGISTERS, BAND, FINE = 128, 4, 64
@@ -54,8 +55,6 @@ PER_SALT = 256
 #: Shingles are ordered by how often their highest bits occur among the open documents.
 RARITY_BITS = 18
 ROWS_PER_FILE = 200_000
-#: Bits of a bitmap per id; of one block, a row; and at most, as powers of two.
-BITS_PER_ID, BLOCK_BITS, MOST_BITS = 32, 15, 28
 
 _draw = np.random.default_rng(20240229)
 _SCALE = _draw.integers(1, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -196,16 +195,9 @@ def _verified(docs: DataFrame, pairs: DataFrame, part: int, whole: int) -> DataF
 
 
 def _marked(id_: Column, ids: DataFrame, n: int) -> tuple[DataFrame, Column]:
-    """Bits to join by and the condition, true where ``id_`` is among the ``n`` values of the only column of ``ids``, and for a few others."""
-    slots = 1 << min(max((BITS_PER_ID * n - 1).bit_length(), BLOCK_BITS), MOST_BITS)
-    slot = lambda c: F.xxhash64(c.cast("long")).bitwiseAND(F.lit(slots - 1))
-    block = lambda c: F.shiftright(slot(c), BLOCK_BITS)
-    at = lambda c: slot(c).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).cast("int")
-    own = ids[ids.columns[0]]
-    # dealt out by block first: each block is made once, not once a task
-    bits = ids.select(block(own).alias("block"), at(own).alias("at")).repartition("block").groupBy("block").agg(F.bitmap_construct_agg("at").alias("bits"))
-    byte = F.conv(F.hex(F.substring(bits["bits"], F.shiftright(at(id_), 3) + 1, F.lit(1))), 16, 10).cast("int")
-    return F.broadcast(bits), (block(id_) == bits["block"]) & (F.getbit(byte, at(id_).bitwiseAND(F.lit(7))) == 1)
+    """``marked`` for ids of any whole type, compared as longs."""
+    own = ids.columns[0]
+    return marked(id_.cast("long"), ids.select(ids[own].cast("long").alias(own)), n)
 
 
 def _rarity(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

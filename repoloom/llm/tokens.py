@@ -29,6 +29,8 @@ _RUNS = re.compile(f"\n|'s|'t|'re|'ve|'m|'ll|'d|[{''.join(sorted(set(LETTERS.low
 _BREAK = b"\xff\xff\xff\xff"
 #: Characters after which a long text is cut at the next white space.
 _LONG = 1 << 20
+#: Places, by hash, where a word leaves a mark when it is met: only words met again are kept.
+_MARKS = 1 << 21
 
 
 def _stretches(text: str) -> Iterator[str]:
@@ -44,9 +46,12 @@ def _stretches(text: str) -> Iterator[str]:
 
 
 class Encoder:
-    """Ids of texts; known words are kept in two generations of at most ``most``, frequent ones move to the newer."""
+    """Ids of texts; words met in two calls are kept, in two generations of at most ``most``, frequent ones move to the newer.
 
-    def __init__(self, path: str, most: int = 700_000) -> None:
+    Many words of a corpus are met once. They would fill a worker's memory, which stays taken while the worker lives.
+    """
+
+    def __init__(self, path: str, most: int = 200_000) -> None:
         from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -57,6 +62,7 @@ class Encoder:
         self.known: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
         self.runs: dict[str, bytes] = {"\n": _BREAK}
+        self.marks = bytearray(_MARKS)
 
     def _whole(self, words: list[str]) -> None:
         """Words as the tokenizer itself takes them."""
@@ -78,18 +84,25 @@ class Encoder:
             runs[run] = b"".join([raw[t.id] for t in tokenize(spelled)])
         self.known.update(zip(words, b"".join(map(runs.__getitem__, found)).split(_BREAK), strict=True))
 
-    def _meet(self, words: set[str]) -> None:
-        """From now on every one of ``words`` is known."""
+    def _meet(self, words: set[str]) -> list[str]:
+        """From now on every one of ``words`` is known; returns those that were not met before."""
         if len(self.known) > self.most:
-            self.known, self.older = {"": b""}, self.known
+            self.known, self.older, self.marks = {"": b""}, self.known, bytearray(_MARKS)
         new = words.difference(self.known)
         met = [w for w in new if w in self.older]  # intersection() would walk the whole dictionary
         self.known.update((w, self.older[w]) for w in met)
         new.difference_update(met)
+        first, marks = [], self.marks
+        for w in new:
+            at = hash(w) % _MARKS
+            if not marks[at]:
+                marks[at] = 1
+                first.append(w)
         odd = set(filter(_ODD.search, new)) if _ODD.search("\n".join(new)) else set()
         self._whole(list(odd))
         if new - odd:
             self._by_runs(list(new - odd))
+        return first
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -100,9 +113,12 @@ class Encoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         plain = (t if _ODD.search(t) else t.lower() for t in texts)
         words = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in plain]
-        self._meet(set().union(*words))
+        first = self._meet(set().union(*words))
         get = self.known.__getitem__
-        return [b"".join(map(get, w)) for w in words]
+        found = [b"".join(map(get, w)) for w in words]
+        for w in first:
+            del self.known[w]
+        return found
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -57,6 +57,24 @@ def test_repeated_row_stays_once(spark):
     assert sorted(r.doc_id for r in exactdup.exact_dedup(twice).collect()) == [1, 3]
 
 
+def test_exact_dedup_shuffles_only_the_texts_it_needs(spark):
+    """Texts of rows that surely stay meet no list of copies; rows of null, repeated and shared ids as before."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        alone = [(100 + k, f"own text {k}") for k in range(300)]
+        data = [(1, "a b"), (2, "a  b"), (2, "c"), (3, "d"), (3, "d"), (4, "d"), (None, "a b"), (None, "e"), (None, "e"), (None, None), (5, ""), *alone]
+        docs = spark.createDataFrame(rows(*data), SCHEMA)
+        left = exactdup.exact_dedup(docs)
+        got = collections.Counter((r.doc_id, r.text) for r in left.collect())
+        assert got == collections.Counter([(1, "a b"), (2, "c"), (3, "d"), (None, "e"), (5, ""), *alone])
+        named = docs.withColumn("doc_id", F.concat(F.lit("n"), F.coalesce(F.col("doc_id"), F.lit(999)).cast("string")))
+        assert sum(r.doc_id.startswith("n1") for r in exactdup.exact_dedup(named).collect()) == 101
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    _, sure, *unsure = re.split(r"\n[:+]- ", left._jdf.queryExecution().optimizedPlan().toString())
+    assert "strategy=broadcast" in sure and "sha2" not in sure and len(unsure) == 2 and all("LeftSemi" in part for part in unsure)
+
+
 def test_exact_rounds(spark):
     """Sorted runs: one exchange by place and a sort aggregate per round, whatever the number of runs."""
     data = [(i, f"text {i % 7}  x" if i % 3 else "copied") for i in range(900)]
@@ -271,6 +289,17 @@ def histogram_of(plan, counts, capacity):
     return ends
 
 
+def test_encoder_keeps_only_words_met_again():
+    """Words met once do not stay in the worker's memory; their ids are right, as are those of words met again."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole, own = Tokenizer.from_file(path), tokens.Encoder(path)
+    for k in range(12):
+        texts = [" ".join(f"common Often{i % 7} w{k}x{i} \u0435\u0434{k}y{i}" for i in range(100)), f"w{k}x1 common"]
+        want = [np.array(whole.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+        assert own.encode(texts) == want
+    assert "common" in own.known and "often3" in own.known | {w.lower(): 0 for w in own.known} and len(own.known) < 40
+
+
 def test_shortest_pack_first():
     draw = random.Random(3)
     cases = [{3000: 40}, {k: 300 for k in range(1, 21)}, {1: 1}, {4096: 3}, {1: 5000, 5: 3}, {draw.randint(1, 4096): draw.randint(1, 9) for _ in range(300)}]
