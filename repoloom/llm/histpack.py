@@ -48,14 +48,14 @@ PIECE_SCHEMA = "id string, start long, length int, doc_tokens long, ids_crc32 lo
 PLACED_SCHEMA = "id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def _cutter(path: str, closing_id: int, capacity: int, texts_at_once: int = 64) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _cutter(path: str, closing_id: int, capacity: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         closing = np.array([closing_id], dtype="<u4").tobytes()
         for batch in batches:
-            for first in range(0, len(batch), texts_at_once):
-                part = batch.iloc[first : first + texts_at_once]
+            owners = iter(batch["id"])
+            for texts in tokens.parts([t or "" for t in batch["text"]]):
                 rows = []
-                for own, ids in zip(part["id"], tokens.encoder(path).encode([t or "" for t in part["text"]]), strict=True):
+                for ids, own in zip(tokens.encoder(path).encode(texts), owners):  # the last part ends both
                     ids += closing
                     for at in range(0, len(ids), 4 * capacity):
                         piece = ids[at : at + 4 * capacity]

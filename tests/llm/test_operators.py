@@ -561,3 +561,25 @@ def test_lm_scores(spark, docs, none):
     for a, b in zip(got, sorted(want), strict=True):
         assert a[:2] == b[:2] and a[2] == pytest.approx(b[2])
     assert lmscore.lm_scores(docs, batch_tokens=10_000).count() == 11 and lmscore.lm_scores(none).count() == 0
+
+
+def test_encoder_tokenizes_words_once_for_their_signs():
+    """A word that a sign follows, or that is met again soon, is not tokenized again (before: once for each sign and twice at least)."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole, own = Tokenizer.from_file(path), tokens.Encoder(path)
+    tokenized, of_runs = collections.Counter(), own._of_runs
+
+    def counted(runs):
+        tokenized.update(runs)
+        return of_runs(runs)
+
+    own._of_runs = counted
+    for sign in ["", ",", ".", "?", ";"]:
+        texts = [" ".join(f"{a}öd{b}n{sign}" for a in "kqvxz" for b in "aeiou") + " end", "", "ends. 'S, 9. x.. A! İ. <|ENDOFTEXT|>. q|. é. \n"]
+        want = [np.array(whole.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+        assert own.encode(texts) == want
+    assert max(tokenized[f"{a}öd{b}n"] for a in "kqvxz" for b in "aeiou") == 1 and "ködan" in own.known
+    for letter in tokens.LETTERS:
+        text = f"{letter}x{letter} x{letter}. {letter}{letter}9, "
+        assert own.encode([text])[0] == np.array(whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    assert list(tokens.parts(["a", "", "b" * (1 << 21), "c"])) == [["a", ""], ["b" * (1 << 21)], ["c"]] and list(tokens.parts([])) == []
