@@ -33,12 +33,12 @@ _RUNS = re.compile(f"\n|'s|'t|'re|'ve|'m|'ll|'d|[{''.join(sorted(set(LETTERS.low
 _LAST = f"([{re.escape(LETTERS)}0-9])([.,;:!?]) "
 #: No id has these bytes, at no alignment, as ids stay below 2^24.
 _BREAK = b"\xff\xff\xff\xff"
-#: Characters after which a long text is cut at the next white space.
-_LONG = 1 << 20
+#: Characters after which a long text is cut at the next white space, and that short ones are encoded together up to.
+_LONG = 1 << 18
 
 
 def _stretches(text: str) -> Iterator[str]:
-    """A text in stretches of about a million characters, cut at white space."""
+    """A text in stretches of about ``_LONG`` characters, cut at white space."""
     at = 0
     while len(text) - at > _LONG:
         cut = re.compile(f"[{PLAIN}]").search(text, at + _LONG)
@@ -50,7 +50,7 @@ def _stretches(text: str) -> Iterator[str]:
 
 
 def parts(texts: list[str]) -> Iterator[list[str]]:
-    """Texts in order, in lists of about a million characters; a longer text has one for itself."""
+    """Texts in order, in lists of at most ``_LONG`` characters; a longer text has one for itself."""
     part, size = [], 0
     for t in texts:
         if part and size + len(t) > _LONG:

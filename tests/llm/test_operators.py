@@ -583,3 +583,18 @@ def test_encoder_tokenizes_words_once_for_their_signs():
         text = f"{letter}x{letter} x{letter}. {letter}{letter}9, "
         assert own.encode([text])[0] == np.array(whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
     assert list(tokens.parts(["a", "", "b" * (1 << 21), "c"])) == [["a", ""], ["b" * (1 << 21)], ["c"]] and list(tokens.parts([])) == []
+
+
+def test_histogram_pieces_of_texts_in_parts(spark):
+    """Owners keep their ids where texts are encoded in parts: long, null and empty texts between short ones."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole = Tokenizer.from_file(path)
+    rows = [(1, "Some words. " * 30_000), (None, "of nobody, 9."), (2, None), (3, ""), (2**60 + 1, "x.. it's É."), (4, "ends. " * 25_000), (4, "ends. " * 25_000), (5, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    want = collections.Counter((own, len(whole.encode(text or "", add_special_tokens=False).ids) + 1) for own, text in rows)
+    firsts = [r for r in histpack.document_pieces(docs, path).select("id", "start", "length", "doc_tokens", "ids_crc32").collect()]
+    assert collections.Counter((r.id, r.doc_tokens) for r in firsts if r.start == 0) == want
+    total = collections.Counter()
+    for r in firsts:
+        total[r.id] += r.length
+    assert total == sum((collections.Counter({own: n * times}) for (own, n), times in want.items()), collections.Counter())
