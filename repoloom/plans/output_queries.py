@@ -11,6 +11,7 @@ from repoloom.plans.bindings import oracle, view
 from repoloom.plans.estate_queries import DEPTHS, acyclic_levels, as_deps, recursive
 from repoloom.plans.registry import query
 from repoloom.plans.source_queries import scratch
+from repoloom.runtime import many_files
 from repoloom.sources import sinks
 from repoloom.streaming import markers
 from repoloom.streaming import traces as live
@@ -141,9 +142,10 @@ def completion(spark, sf_dir):
     lines = spark.sql("""select concat('r', user_id) as repo, case when event_type = 'error' then concat('working on ', event_type)
         else concat('x [APPLICATION_ANALYSIS_COMPLETE] ', event_type, ' ok') end as value from events""")
     source, out, state = scratch(spark, "transcripts"), scratch(spark, "markers"), scratch(spark, "markers-state")
-    lines.write.partitionBy("repo").text(source)
-    stream = markers.transcript_stream(spark, source).withColumn("repo", F.substring_index("repo", "=", -1))
-    markers.follow_completions(stream, out, state).awaitTermination()
+    sinks.write_lines(lines, source)
+    with many_files(spark):
+        stream = markers.transcript_stream(spark, source).withColumn("repo", F.substring_index("repo", "=", -1))
+        markers.follow_completions(stream, out, state).awaitTermination()
     expected = spark.sql("select distinct concat('r', user_id) as repo, event_type as name from events")
     return markers.completeness(spark.read.schema("repo string, name string").parquet(out), expected)
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
@@ -65,6 +67,29 @@ def stage(df: DataFrame, label: str, by: str | None = None, **metrics: Column) -
     return spark.read.schema(schema).parquet(path), found
 
 
+@contextmanager
+def many_files(spark: SparkSession) -> Iterator[None]:
+    """Settings for folders of very many small files, put back at the end.
+
+    Spark lists with a task for each of up to 10000 folders and counts every
+    file as 4 MB, so that scheduling takes longer than reading. Here a few
+    tasks per core list, and small files share tasks. File streams look the
+    settings up in each batch, so they are to hold until a stream ends.
+    """
+    wanted = {
+        "spark.sql.sources.parallelPartitionDiscovery.parallelism": str(max(32, 4 * spark.sparkContext.defaultParallelism)),
+        "spark.sql.files.openCostInBytes": "64k",
+    }
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 class StagedLevels:
     """A staged table in folders by level, so that one level is read without the others."""
 

@@ -9,7 +9,9 @@ component are nested, as they come from one manifest.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import groupby
 
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from repoloom.functions.kinds import parse_kind
@@ -226,3 +228,34 @@ def write_by_repo(rows: DataFrame, path: str, order: list[str], mode: str = "ove
     """JSON lines in one folder per repository (``repo=…``), ordered inside."""
     keys = ["repo", *[c for c in order if c != "repo"]]
     rows.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode(mode).partitionBy("repo").json(path)
+
+
+def write_lines(rows: DataFrame, path: str) -> None:
+    """Text lines (repo, value) in one folder per repository (``repo=…``), laid out as the text writer does.
+
+    Made for very many repositories: the rows of one meet in one task, or in a
+    few if it is large, which writes them as one file through ``pyarrow.fs``.
+    """
+    from pyarrow import fs
+
+    def write(batches):
+        store, base = fs.FileSystem.from_uri(path)
+        part, repo, out = TaskContext.get().partitionId(), None, None
+        for batch in batches:
+            for key, run in groupby(zip(batch["folder"].to_pylist(), batch["value"].to_pylist()), lambda row: row[0]):
+                if key != repo:
+                    if out:
+                        out.close()
+                    repo, folder = key, f"{base.rstrip('/')}/{key}"
+                    store.create_dir(folder)
+                    out = store.open_output_stream(f"{folder}/part-{part:05d}.txt")
+                out.write("".join(f"{value or ''}\n" for _, value in run).encode())
+        if out:
+            out.close()
+        yield from ()
+
+    store, base = fs.FileSystem.from_uri(path)
+    store.create_dir(base)
+    folder = F.concat(F.lit("repo="), F.coalesce("repo", F.lit("__HIVE_DEFAULT_PARTITION__"))).alias("folder")
+    dealt = rows.select(folder, "value").hint("rebalance", "folder").sortWithinPartitions("folder")
+    dealt.mapInArrow(write, "done boolean").write.format("noop").mode("overwrite").save()

@@ -31,7 +31,11 @@ def unkept(announced: DataFrame, complete: DataFrame) -> DataFrame:
 
 
 def transcript_stream(spark: SparkSession, path: str) -> DataFrame:
-    """Lines below ``path/<repo>/`` as they are appended file by file."""
+    """Lines below ``path/<repo>/`` as they are appended file by file.
+
+    With very many files it is best made, started and awaited under
+    :func:`repoloom.runtime.many_files`.
+    """
     rows = spark.readStream.option("recursiveFileLookup", "true").text(path)
     rel = F.substring_index(F.col("_metadata.file_path"), path.rstrip("/") + "/", -1)
     return rows.select(F.substring_index(rel, "/", 1).alias("repo"), F.col("value").alias("line"))

@@ -369,3 +369,30 @@ def test_announced_ends(spark, tmp_path):
     expected = spark.createDataFrame([(r, n) for r in "abc" for n in "xy"], "repo string, name string")
     complete = markers.completeness(markers.completions(rows), expected)
     assert sorted(map(tuple, markers.unkept(announced, complete).collect())) == [("b", 2, 1), ("d", None, None)]
+
+
+def test_transcripts_of_many_repositories(spark, tmp_path):
+    """A file per repository, however its lines are dealt, and few tasks to list and read them."""
+    from repoloom.runtime import many_files
+    from repoloom.sources import sinks
+
+    text = F.expr("case when id % 900 = 7 then null when id < 900 then 'x [APPLICATION_ANALYSIS_COMPLETE] a ok' else 'so [APPLICATION_ANALYSIS_COMPLETE] b ok' end")
+    repo = F.expr("case when id % 900 > 0 then concat('r', id % 900) end")
+    lines = spark.range(0, 1800, 1, 6).select(repo.alias("repo"), text.alias("value"))
+    path, out = f"{tmp_path}/in", f"{tmp_path}/out"
+    sinks.write_lines(lines, f"file://{path}")
+    names = sorted(p.relative_to(path).parent.as_posix() for p in (tmp_path / "in").rglob("*.txt"))
+    assert names == sorted(["repo=__HIVE_DEFAULT_PARTITION__", *(f"repo=r{i}" for i in range(1, 900))])
+    assert spark.read.text(path).select("repo", "value").exceptAll(lines.select(F.when(F.col("repo").isNull(), None).otherwise(F.col("repo")), F.coalesce("value", F.lit("")))).count() == 0
+    assert spark.read.text(path).count() == 1800
+
+    kept = spark.conf.get("spark.sql.files.openCostInBytes")
+    with many_files(spark):
+        stream = markers.follow_completions(markers.transcript_stream(spark, path), out, f"{tmp_path}/state")
+        stream.awaitTermination()
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == kept
+    done = spark.read.parquet(out)
+    assert done.count() == 2 * 899 and done.select("repo").distinct().count() == 899
+    said = spark.sparkContext.statusTracker()
+    stages = {s for j in said.getJobIdsForGroup(str(stream.runId)) for s in said.getJobInfo(j).stageIds}
+    assert sum(said.getStageInfo(s).numTasks for s in stages) < 200
