@@ -396,3 +396,18 @@ def test_transcripts_of_many_repositories(spark, tmp_path):
     said = spark.sparkContext.statusTracker()
     stages = {s for j in said.getJobIdsForGroup(str(stream.runId)) for s in said.getJobInfo(j).stageIds}
     assert sum(said.getStageInfo(s).numTasks for s in stages) < 200
+
+
+def joins(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+
+
+def test_resolve_is_planned_in_pieces(spark, monkeypatch):
+    """No single plan holds all look-ups, nor the plan of the dependencies more than once."""
+    planned = []
+    monkeypatch.setattr(inventory, "stage", lambda df, label: planned.append(joins(df)) or (spark.createDataFrame(df.collect(), df.schema), {}))
+    comps = spark.createDataFrame([("r", n, f"p/{n}", i) for i, n in enumerate(["ab", "core", "util"])], "repo string, name string, root_path string, ordinal int")
+    deps = spark.createDataFrame([("r", "ab", d) for d in ("core", "p/util", "lib-core", "til", "xaby", "none")], "repo string, component string, dep string")
+    got = inventory.resolve_internal_deps(comps, deps)
+    assert sorted(r.dep for r in got.collect()) == ["ab", "core", "core", "util", "util"]
+    assert len(planned) == 3 and max(*planned, joins(got)) <= 5
