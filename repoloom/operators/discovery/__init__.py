@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -59,6 +60,18 @@ def read_files(files: DataFrame, ecosystems: list[str]) -> DataFrame:
     return read_once(files, {name: FACTS[name] for name in ecosystems if name in FACTS})
 
 
+def _written(inventory: Inventory, name: str) -> Inventory:
+    """Components and internal dependencies of one ecosystem as tables of their own.
+
+    One plan over all ecosystems has some hundred exchanges and broadcasts,
+    which the driver holds together; written one by one, those of a single
+    job are the most at a time.
+    """
+    components, _ = stage(inventory.components, f"{name}-components")
+    internal, _ = stage(inventory.internal, f"{name}-internal")
+    return replace(inventory, components=components, internal=internal)
+
+
 def discover(files: DataFrame, ecosystems: list[str] | None = None, mode: str = "segment") -> Inventory:
     """Inventory of all repositories in ``files`` (repo, path, content).
 
@@ -69,7 +82,7 @@ def discover(files: DataFrame, ecosystems: list[str] | None = None, mode: str =
     chosen = list(ECOSYSTEMS) if ecosystems is None else ecosystems
     known = [name for name in chosen if name in OWN]
     once = read_files(files, known) if len(known) > 1 else files
-    raw = merge([ECOSYSTEMS[name](once if name in OWN else files, mode) for name in chosen])
+    raw = merge([_written(ECOSYSTEMS[name](once if name in OWN else files, mode), name) for name in chosen])
     first = dedupe_components(raw.components, F.col("ord"))
     numbered = running_totals(first, ["repo"], ["ord"], {"ordinal": F.lit(1).cast("bigint")})
     components, _ = stage(numbered.drop("ord"), "components")
@@ -102,6 +115,7 @@ def discover_corpus(repos: DataFrame, files: DataFrame, mode: str = "segment") -
     if list(ECOSYSTEMS) == list(OWN):  # jobs of the user get whole files
         files = read_files(files, list(OWN))
     inventory = discover(files, mode=mode)
+    inventory = replace(inventory, internal=stage(inventory.internal, "resolved")[0])
     bad = manifest_errors(files, mode).groupBy("repo").agg(
         F.min_by(F.concat("path", F.lit(": "), "error"), "path").alias("error"))
     there = files.select("repo").distinct().withColumn("_there", F.lit(True))
@@ -113,4 +127,4 @@ def discover_corpus(repos: DataFrame, files: DataFrame, mode: str = "segment") -
         F.when(F.col("_there").isNull(), "clone_failed")
         .when(F.col("_has").isNull() & F.col("error").isNotNull(), "discovery_failed").otherwise("ok")
     )
-    return inventory, joined.select("repo", status.alias("status"), "error")
+    return inventory, stage(joined.select("repo", status.alias("status"), "error"), "outcome")[0]

@@ -137,7 +137,7 @@ def binaries(files: DataFrame, pkgs: DataFrame) -> DataFrame:
 
 def _monorepos(files: DataFrame, code: DataFrame, pkgs: DataFrame) -> Inventory:
     bins, _ = stage(binaries(files, pkgs), "go-binaries")
-    kinds = executable_kinds(code, bins)
+    kinds, _ = stage(executable_kinds(code, bins), "go-binary-kinds")
     lib = F.lit("go-module")
     pkg_rows = component_rows(
         pkgs, FILE, name=F.col("pkg"), kind=F.lit("library"), type=lib, root=F.col("pkg"), rank=1, label=F.col("pkg")
@@ -180,7 +180,7 @@ def _single_modules(files: DataFrame, code: DataFrame, mods: DataFrame) -> Inven
         "repo", F.regexp_replace("path", "/main\\.go$", "").alias("root"), F.regexp_extract("path", r"^(?:(.*)/)?cmd/[^/]+/main\.go$", 1).alias("dir"),
     ).join(own, ["repo", "dir"])
     folders = marked.filter(runs).select("repo", F.col("dir").alias("root")).unionByName(cmd.select("repo", "root"))
-    kinds = executable_kinds(code, folders)
+    kinds, _ = stage(executable_kinds(code, folders), "go-kinds")
     short = F.substring_index("module", "/", -1)
     first = marked.join(kinds.withColumnRenamed("root", "dir"), ["repo", "dir"], "left")
     lib = F.lit("go-module")

@@ -254,3 +254,27 @@ def test_corpus_status(spark, tree):
         "good": ("ok", "x/package.json: must be a JSON object, got list"), "bad": ("discovery_failed", "package.json: Invalid JSON"),
         "none": ("ok", None), "twice": ("ok", None), "gone": ("clone_failed", None),
     }
+
+
+def test_corpus_is_planned_by_ecosystem(spark, tree, monkeypatch):
+    """Of several ecosystems each is written from a plan of its own; what is returned reads tables."""
+    from repoloom.operators import discovery, inventory
+
+    planned = {}
+
+    def noted(df, label, *args, **more):
+        planned[label] = df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+        return stage(df, label, *args, **more)
+
+    stage = discovery.stage
+    for module in (discovery, inventory):
+        monkeypatch.setattr(module, "stage", noted, raising=False)
+    files = tree({"a": {"package.json": '{"name": "x", "dependencies": {"y": "1"}}', "y/package.json": '{"name": "y"}'}, "b": {"go.mod": "module example.org/b\n", "main.go": "package main\n"}, "c": {"Cargo.toml": '[package]\nname = "c"\n'}})
+    repos = files.select("repo").union(spark.createDataFrame([("none",)], "repo string"))
+    inv, outcome = discovery.discover_corpus(repos, files)
+    assert sorted(map(tuple, outcome.collect())) == [("a", "ok", None), ("b", "ok", None), ("c", "ok", None), ("none", "clone_failed", None)]
+    assert sorted((r.repo, r.name) for r in inv.components.collect()) == [("a", "x"), ("a", "y"), ("b", "b"), ("c", "c")]
+    assert {f"{name}-{part}" for name in discovery.ECOSYSTEMS for part in ("components", "internal")} <= set(planned)
+    assert planned["components"] <= 4 and max(planned.values()) < 25
+    for df in (inv.components, inv.internal, outcome):
+        assert "Join " not in df._jdf.queryExecution().optimizedPlan().toString()
