@@ -411,3 +411,19 @@ def test_resolve_is_planned_in_pieces(spark, monkeypatch):
     got = inventory.resolve_internal_deps(comps, deps)
     assert sorted(r.dep for r in got.collect()) == ["ab", "core", "core", "util", "util"]
     assert len(planned) == 3 and max(*planned, joins(got)) <= 5
+
+
+def test_analyses_are_validated_in_one_pass(spark):
+    comps = spark.createDataFrame([("r", n) for n in ("a", "b", "none")], "repo string, name string")
+    done = spark.createDataFrame([("r", "a"), ("r", "b")], "repo string, component string")
+    cites = [("x.py", 1, 2), ("/tmp/run/project/x.py", 1, 2), ("", 1, 2), ("/tmp/run/project/", 1, 2), (None, 1, 2), ("y.py", 0, 2),
+             ("x.py", 0, 2), ("x.py", 3, 2), ("x.py", 9, 9), ("x.py", None, 2), ("x.py", 1, None)]
+    rows = spark.createDataFrame([("r", "a", i, *c) for i, c in enumerate(cites)], "repo string, component string, idx int, file_path string, start_line int, end_line int")
+    files = spark.createDataFrame([("r", "x.py", 5), ("r", "", 5)], "repo string, path string, line_count int")
+    got = inventory.validate_analyses(comps, done, rows, files)
+    assert sorted((r.check, r.message) for r in got.collect()) == [
+        ("bad_range", "[a] Invalid line range 0-2 in x.py"), ("bad_range", "[a] Invalid line range 3-2 in x.py"),
+        ("beyond_end", "[a] Citation start_line 9 > file length 5 in x.py"), ("missing_analysis", "Missing analysis file for component 'none'"),
+        ("missing_file", "[a] Citation file not found: y.py"), ("missing_path", "[a] Citation [2] missing file_path"),
+        ("no_citations", "[b] citations array is empty (expected 10+)")]
+    assert joins(got) <= 6
