@@ -18,6 +18,7 @@ from repoloom.functions.kinds import parse_kind
 from repoloom.operators.citations import source_url
 from repoloom.operators.graph import Graph, graph_stats, simple_graph, typed_edges
 from repoloom.operators.inventory import inventory_counts
+from repoloom.runtime import stage
 
 SHOWN_DEPS = 5
 DEP_TYPE = "array<struct<name:string,version:string,category:string,purpose:string>>"
@@ -225,7 +226,12 @@ def write_records(records: DataFrame, path: str, order: list[str], mode: str = "
 
 
 def write_by_repo(rows: DataFrame, path: str, order: list[str], mode: str = "overwrite") -> None:
-    """JSON lines in one folder per repository (``repo=…``), ordered inside."""
+    """JSON lines in one folder per repository (``repo=…``), ordered inside.
+
+    The rows are written before they are dealt out: the slices are found by
+    reading all rows once more, which would make them a second time.
+    """
+    rows, _ = stage(rows, "records")
     keys = ["repo", *[c for c in order if c != "repo"]]
     rows.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode(mode).partitionBy("repo").json(path)
 
